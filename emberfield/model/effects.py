@@ -17,7 +17,7 @@ def effect_grid(df: DataFrame, numeric: Sequence[str], factors: Mapping[str, Seq
     """Grid rows per predictor: numeric ones from minimum to maximum, factors over their levels.
 
     The other numeric columns stand at their mean, the other factors at their first level.
-    Columns: effect, point, x_value (numeric), level (factor), then the predictors.
+    Columns: effect, grid_point, x_value (numeric), level (factor), then the predictors.
     """
     stats = df.agg(*[
         f(c).cast("double").alias(f"_{t}_{c}") for c in numeric for t, f in (("lo", F.min), ("hi", F.max), ("mid", F.avg))
@@ -25,24 +25,24 @@ def effect_grid(df: DataFrame, numeric: Sequence[str], factors: Mapping[str, Seq
     cells = [(c, points) for c in numeric] + [(c, len(levels)) for c, levels in factors.items()]
     rows = stats.select("*", F.inline(F.array(*[
         F.struct(F.lit(c).alias("effect"), F.sequence(F.lit(0), F.lit(n - 1)).alias("_points")) for c, n in cells
-    ]))).withColumn("point", F.explode("_points"))
+    ]))).withColumn("grid_point", F.explode("_points"))
     columns = {}
     for c in numeric:
-        along = F.col(f"_lo_{c}") + F.col("point") * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / F.lit(float(max(points - 1, 1)))
+        along = F.col(f"_lo_{c}") + F.col("grid_point") * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / F.lit(float(max(points - 1, 1)))
         columns[c] = F.when(F.col("effect") == c, along).otherwise(F.col(f"_mid_{c}"))
     for c, levels in factors.items():
         values = F.array(*[F.lit(v) for v in levels])
-        columns[c] = F.when(F.col("effect") == c, F.get(values, F.col("point"))).otherwise(F.lit(levels[0]))
+        columns[c] = F.when(F.col("effect") == c, F.get(values, F.col("grid_point"))).otherwise(F.lit(levels[0]))
     x_value = F.coalesce(*[F.when(F.col("effect") == c, columns[c]) for c in numeric], F.lit(None).cast("double"))
     level = F.coalesce(
         *[F.when(F.col("effect") == c, columns[c].cast("string")) for c in factors], F.lit(None).cast("string")
     )
-    return rows.select("effect", "point", x_value.alias("x_value"), level.alias("level"), *[v.alias(c) for c, v in columns.items()])
+    return rows.select("effect", "grid_point", x_value.alias("x_value"), level.alias("level"), *[v.alias(c) for c, v in columns.items()])
 
 
 def conditional_effects(grid: DataFrame, draws: Draws, family: str, spec: Mapping, width: float = 0.95) -> DataFrame:
     """Median and interval of the expected response at each grid row."""
-    keys = ["effect", "point", "x_value", "level"]
+    keys = ["effect", "grid_point", "x_value", "level"]
     values = expected_draws(design(grid, spec), draws, family)
     # A group holds one value per draw, so the exact aggregate is bounded.
     return median_qi(values, keys, "value", width, method="exact")

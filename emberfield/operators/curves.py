@@ -15,16 +15,16 @@ from .quantiles import group_quantiles
 
 def density_curve(
     df: DataFrame, by: Sequence[str], value: str, grid: int = 256, clip: tuple[float | None, float | None] = (None, None),
-    method: str = "auto",
+    method: str = "auto", largest: int | None = None,
 ) -> DataFrame:
     """Gaussian kernel density of each group on ``grid`` points from min - 3h to max + 3h.
 
-    The bandwidth h is 0.9 min(sd, IQR/1.34) n^(-1/5). Values are first counted in bins of h/8, so
-    the kernel sum runs over a group's bins, never over its rows. A single value has no density, so
+    The bandwidth h is 0.9 min(sd, IQR/1.34) n^(-1/5). Values are first counted in bins of width h/8 centred at the
+    minimum, so the kernel sum runs over a group's bins, never over its rows. A single value has no density, so
     groups of one are left out. Columns: keys, x, density.
     """
     rows = clip_range(df.filter(F.col(value).isNotNull()), value, *clip).select(*by, F.col(value).alias("_v"))
-    q = group_quantiles(rows, by, "_v", [0.25, 0.75], method)
+    q = group_quantiles(rows, by, "_v", [0.25, 0.75], method, largest=largest)
     q = q.select(*[F.col(c).alias(f"_q_{c}") for c in by], (F.col("q")[1] - F.col("q")[0]).alias("_iqr"))
     moments = rows.groupBy(*by).agg(
         F.count("_v").alias("_n"), F.stddev("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
@@ -40,7 +40,7 @@ def density_curve(
         .withColumn("_h", F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
         .filter(F.col("_n") > 1)
         .select(
-            *[F.col(c).alias(f"_s_{c}") for c in by], "_n", "_h",
+            *[F.col(c).alias(f"_s_{c}") for c in by], "_n", "_h", "_min",
             (F.col("_min") - 3 * F.col("_h")).alias("_lo"),
             ((F.col("_max") - F.col("_min") + 6 * F.col("_h")) / F.lit(float(grid - 1))).alias("_step"),
         )
@@ -51,12 +51,12 @@ def density_curve(
     width = F.col("_h") / 8
     bins = (
         rows.join(broadcast_if_small(stats), match)
-        .groupBy(*by, "_n", "_h", "_lo", "_step", F.floor((F.col("_v") - F.col("_lo")) / width).alias("_bin"))
+        .groupBy(*by, "_n", "_h", "_min", "_lo", "_step", F.floor((F.col("_v") - F.col("_min")) / width + 0.5).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
     points = bins.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     x = F.col("_lo") + F.col("_i") * F.col("_step")
-    center = F.col("_lo") + (F.col("_bin") + 0.5) * width
+    center = F.col("_min") + F.col("_bin") * width
     u = (x - center) / F.col("_h")
     kernel = F.sum(F.col("_c") * F.exp(-0.5 * u * u))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))

@@ -49,6 +49,10 @@ def _ascending(names: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in names]
 
 
+def _descending(names: Sequence[str]) -> list[Column]:
+    return [F.col(c).desc_nulls_last() for c in names]
+
+
 def _same(left: str, right: str, names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names])
 

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .ordered import ALL, MAX_GROUP_ROWS, largest_group
+from .ordered import ALL, largest_group
+
+# Up to this many values of one group fit into the hash map of one task.
+MAX_EXACT_ROWS = 1_000_000
 
 # percentile_approx misses a rank by at most n / accuracy.
 ACCURACY = 10_000
@@ -89,19 +92,21 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], method: str = "auto",
-    frequency: str | None = None, accuracy: int | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+    frequency: str | None = None, accuracy: int | None = None, largest: int | None = None,
+    max_exact_rows: int = MAX_EXACT_ROWS,
 ) -> DataFrame:
     """One row per group: its keys, ``n`` values and the array ``q`` of quantiles.
 
     ``exact`` aggregates each group in one task: for groups of known, bounded size. ``bracketed``
     gives the same numbers for groups of any size in two passes. ``auto`` counts the largest
-    group and picks one of these. ``approximate`` returns stored values whose rank is off by at
+    group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored values whose rank is off by at
     most n / accuracy. ``frequency`` repeats a row and needs ``exact``.
     """
     by = list(by)
     if method == "auto":
-        largest = 0 if frequency else largest_group(df, by)
-        method = "bracketed" if largest > max_group_rows else "exact"
+        if largest is None:
+            largest = 0 if frequency else largest_group(df, by)
+        method = "bracketed" if largest > max_exact_rows else "exact"
         if accuracy is None:
             # Few values stay inside a bracket: about ten thousand per side for any group size.
             accuracy = int(min(MAX_ACCURACY, max(ACCURACY, largest // 10_000)))

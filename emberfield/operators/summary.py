@@ -39,7 +39,7 @@ def scale_by_max(
 
 def median_qi(
     df: DataFrame, by: Sequence[str], value: str | Column, width: float = 0.95, method: str = "auto",
-    frequency: str | None = None, strict_nulls: bool = False,
+    frequency: str | None = None, strict_nulls: bool = False, largest: int | None = None,
 ) -> DataFrame:
     """Median and central interval of a column or expression per group.
 
@@ -50,7 +50,7 @@ def median_qi(
     rows = df.withColumn("_value", expr)
     tail = (1.0 - width) / 2.0
     probs = [0.5, tail, 1.0 - tail]
-    q = group_quantiles(rows, by, "_value", probs, method, frequency)
+    q = group_quantiles(rows, by, "_value", probs, method, frequency, largest=largest)
     cells = {"value": F.col("q")[0], "lower": F.col("q")[1], "upper": F.col("q")[2]}
     if strict_nulls:
         gaps = rows.groupBy(*by).agg(F.count_if(F.col("_value").isNull()).alias("_gaps"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import RANGE, _ascending, needs_ranges, row_rank, split_ranges
+from .ordered import RANGE, _ascending, _descending, needs_ranges, row_rank, split_ranges
 
 
 def _frame(k: int, align: str) -> tuple[int, int]:
@@ -69,16 +69,21 @@ def rolling_mean(
     return inner.select(*names).unionByName(edges.select(*names))
 
 
+def _so_far(group, order: list[Column]):
+    """Rows up to the current one. Looking ahead is written as looking back in reverse order:
+    a growing frame is updated row by row, a shrinking one is computed anew for each row."""
+    return group.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def fill_down_up(
     df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = (),
     method: str = "auto", ranges: int | None = None,
 ) -> DataFrame:
     """Fill gaps with the last known value, and leading gaps with the first known one."""
     if not needs_ranges(df, by, method):
-        w = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(*_ascending(order))
-        down = w.rowsBetween(Window.unboundedPreceding, 0)
-        up = w.rowsBetween(0, Window.unboundedFollowing)
-        return df.withColumns({c: F.coalesce(F.last(c, True).over(down), F.first(c, True).over(up)) for c in columns})
+        group = Window.partitionBy(*(list(by) or [F.lit(0)]))
+        down, up = _so_far(group, _ascending(order)), _so_far(group, _descending(order))
+        return df.withColumns({c: F.coalesce(F.last(c, True).over(down), F.last(c, True).over(up)) for c in columns})
     cut = split_ranges(df, by, order, ranges)
     # Only rows with a value compete, so the pick is the first or last known value of the piece.
     place = F.struct(*cut.order)
@@ -86,18 +91,18 @@ def fill_down_up(
         pick(c, F.when(F.col(c).isNotNull(), place)).alias(f"{tag}{c}")
         for c in columns for tag, pick in (("_head_", F.min_by), ("_tail_", F.max_by))
     ])
-    pieces = Window.partitionBy(*cut.by).orderBy(RANGE)
-    earlier = pieces.rowsBetween(Window.unboundedPreceding, -1)
-    later = pieces.rowsBetween(1, Window.unboundedFollowing)
+    pieces = Window.partitionBy(*cut.by)
+    earlier = pieces.orderBy(F.col(RANGE).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = pieces.orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     summary = known.select(
         RANGE, *cut.by,
         *[F.last(f"_tail_{c}", True).over(earlier).alias(f"_down_{c}") for c in columns],
-        *[F.first(f"_head_{c}", True).over(later).alias(f"_up_{c}") for c in columns],
+        *[F.last(f"_head_{c}", True).over(later).alias(f"_up_{c}") for c in columns],
     )
-    down = cut.window().rowsBetween(Window.unboundedPreceding, 0)
-    up = cut.window().rowsBetween(0, Window.unboundedFollowing)
+    piece = Window.partitionBy(RANGE, *cut.by)
+    down, up = _so_far(piece, _ascending(cut.order)), _so_far(piece, _descending(cut.order))
     rows = cut.attach(summary).withColumns({
-        c: F.coalesce(F.last(c, True).over(down), f"_down_{c}", F.first(c, True).over(up), f"_up_{c}") for c in columns
+        c: F.coalesce(F.last(c, True).over(down), f"_down_{c}", F.last(c, True).over(up), f"_up_{c}") for c in columns
     })
     return rows.select(*df.columns)
 
