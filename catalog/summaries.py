@@ -35,17 +35,17 @@ def rounded(df, digits: int = 6):
     return df.withColumns({c: r(c, digits) for c in ("value", "lower", "upper")})
 
 
-PRICE_SQL = interval_sql("lineitem", "l_returnflag", "l_extendedprice", 4)
+PRICE_SQL = interval_sql("lineitem", "l_returnflag", "l_extendedprice")
 
 
 @query("median_qi", PRICE_SQL)
 def interval(spark, d):
-    return rounded(median_qi(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice"), 4)
+    return rounded(median_qi(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice"))
 
 
 @query("median_qi_bracketed", PRICE_SQL)
 def interval_bracketed(spark, d):
-    return rounded(median_qi(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", method="bracketed"), 4)
+    return rounded(median_qi(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", method="bracketed"))
 
 
 @query("median_qi_by_order", interval_sql("lineitem", "l_orderkey", "l_extendedprice"))
@@ -59,11 +59,11 @@ def interval_by_level(spark, d):
 
 
 @query("median_qi_weighted", f"""WITH x AS (SELECT l_returnflag, l_extendedprice FROM lineitem, range(CAST(l_quantity AS BIGINT)))
-{interval_sql('x', 'l_returnflag', 'l_extendedprice', 4)}""")
+{interval_sql('x', 'l_returnflag', 'l_extendedprice')}""")
 def interval_weighted(spark, d):
     """A row counts as often as its quantity says."""
     li = table(spark, d, "lineitem").withColumn("times", F.col("l_quantity").cast("bigint"))
-    return rounded(median_qi(li, ["l_returnflag"], "l_extendedprice", frequency="times"), 4)
+    return rounded(median_qi(li, ["l_returnflag"], "l_extendedprice", frequency="times"))
 
 
 VECTOR_SQL = """(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""

@@ -111,7 +111,7 @@ def stack_types(spark, d):
 
 # The feature table on these tables: line items are the samples, orders the daily weather. Days
 # without an urgent order have no rainfall, so the filled column has real gaps.
-@query("weather_features", f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS total
+WEATHER_SQL = f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS total
   FROM lineitem WHERE l_extendedprice IS NOT NULL),
 sun AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS solar_exposure FROM orders GROUP BY 1),
 wet AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(max(o_custkey) AS DOUBLE) AS rainfall FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
@@ -125,21 +125,29 @@ CASE WHEN date BETWEEN DATE '1998-12-01' AND DATE '1999-01-31' THEN 'high' ELSE
 CAST(month(date) AS BIGINT) AS month_of_year,
 {rq('CASE WHEN count(rainfall) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) = 2 THEN avg(rainfall) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) END')} AS rainfall48,
 {rq('CASE WHEN count(rainfall) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 THEN avg(rainfall) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END')} AS rainfall72
-FROM f WINDOW w AS (ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey)""")
-def weather_features(spark, d):
+FROM f WINDOW w AS (ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
+
+@query("weather_features", WEATHER_SQL)
+def weather_features(spark, d, method="auto"):
     li = table(spark, d, "lineitem").select(*KEYS, F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("total_phytoplankton"))
     orders = table(spark, d, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
     sun = orders.groupBy("date").agg(F.count(F.lit(1)).alias("solar_exposure"))
     wet = orders.filter(F.col("o_orderpriority") == "1-URGENT").groupBy("date").agg(F.max("o_custkey").cast("double").alias("rainfall"))
     windows = {"impact": ("1998-07-14", "1998-11-30"), "impact_late": ("1998-12-01", "1999-01-31")}
-    out = bay_features(li, sun, wet, windows, ["date", *KEYS], check_unique=False)
+    out = bay_features(li, sun, wet, windows, ["date", *KEYS], check_unique=False, method=method)
     return out.select(
         *KEYS, "date", "solar_exposure", "rainfall", r("log10_phytoplankton").alias("log10_phytoplankton"), "impact", "impact_late",
         F.col("month_of_year").cast("bigint"), r("rainfall48").alias("rainfall48"), r("rainfall72").alias("rainfall72"))
 
 
+@query("weather_features_ranges", WEATHER_SQL)
+def weather_ranges(spark, d):
+    return weather_features(spark, d, method="ranges")
+
+
 @query("station_features", f"""WITH s AS ({SAMPLES_SQL}), k AS (SELECT obs_id, date, reading FROM s WHERE reading IS NOT NULL)
-SELECT obs_id, {rq('log10(reading)')} AS log10_phytoplankton, CAST(month(date) AS BIGINT) AS month_of_year,
+SELECT obs_id, {rq('CASE WHEN reading > 0 THEN log10(reading) END')} AS log10_phytoplankton, CAST(month(date) AS BIGINT) AS month_of_year,
 CASE WHEN date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' THEN 'low' ELSE 'zero' END AS impact,
 {rq('reading / (SELECT max(reading) FROM k)')} AS pseudo_scaled, (SELECT max(reading) FROM k) AS pseudo_max FROM k""")
 def station(spark, d):

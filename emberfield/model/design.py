@@ -32,14 +32,15 @@ class Term:
 
 def learn_smooths(df: DataFrame, columns: Sequence[str], knots: int = 5) -> dict[str, dict]:
     """Centre, scale and quantile knots (on the scaled axis) of each smooth column."""
-    stats = df.agg(*[f(c).alias(f"{t}_{c}") for c in columns for t, f in (("m", F.avg), ("s", F.stddev))]).first()
     probs = [(i + 1) / (knots + 1) for i in range(knots)]
+    # All columns as groups of one long table: the passes do not grow with the columns.
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name", "v")
+    extra = {"center": F.avg("v"), "scale": F.stddev("v")}
     out = {}
-    for c in columns:
-        q = group_quantiles(df, [], c, probs).first()["q"]
-        center, scale = stats[f"m_{c}"], stats[f"s_{c}"] or 1.0
-        out[c] = {"center": center, "scale": scale, "knots": sorted({(v - center) / scale for v in q})}
-    return out
+    for row in group_quantiles(long, ["name"], "v", probs, largest=df.count(), extra=extra).collect():
+        center, scale = row["center"], row["scale"] or 1.0
+        out[row["name"]] = {"center": center, "scale": scale, "knots": sorted({(v - center) / scale for v in row["q"]})}
+    return {c: out[c] for c in columns}
 
 
 def learn_levels(df: DataFrame, column: str, reference=None, max_levels: int = MAX_LEVELS) -> list:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, durable
 from .clean import clip_range
 from .quantiles import group_quantiles
 
@@ -24,20 +24,14 @@ def density_curve(
     groups of one are left out. Columns: keys, x, density.
     """
     rows = clip_range(df.filter(F.col(value).isNotNull()), value, *clip).select(*by, F.col(value).alias("_v"))
-    q = group_quantiles(rows, by, "_v", [0.25, 0.75], method, largest=largest)
-    q = q.select(*[F.col(c).alias(f"_q_{c}") for c in by], (F.col("q")[1] - F.col("q")[0]).alias("_iqr"))
-    moments = rows.groupBy(*by).agg(
-        F.count("_v").alias("_n"), F.stddev("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
-    )
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    extra = {"_sd": F.stddev("_v"), "_min": F.min("_v"), "_max": F.max("_v")}
+    moments = group_quantiles(rows, by, "_v", [0.25, 0.75], method, largest=largest, extra=extra)
+    moments = moments.withColumnsRenamed({"n": "_n"}).withColumn("_iqr", F.col("q")[1] - F.col("q")[0])
     # A constant group has no spread of its own: its size, else one, sets the bandwidth.
     narrow = F.least("_sd", F.when(F.col("_iqr") > 0, F.col("_iqr") / F.lit(1.34)))
     spread = F.when(narrow > 0, narrow).when(F.abs("_min") > 0, F.abs("_min")).otherwise(F.lit(1.0))
     stats = (
-        moments.join(q, same)
-        .withColumn("_h", F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+        moments.withColumn("_h", F.lit(0.9) * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
         .filter(F.col("_n") > 1)
         .select(
             *[F.col(c).alias(f"_s_{c}") for c in by], "_n", "_h", "_min",
@@ -45,6 +39,8 @@ def density_curve(
             ((F.col("_max") - F.col("_min") + 6 * F.col("_h")) / F.lit(float(grid - 1))).alias("_step"),
         )
     )
+    # One row per group, kept so that the pass over the values runs once.
+    stats = durable(stats)
     match = F.lit(True)
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"_s_{c}"))

@@ -27,12 +27,13 @@ def join_dimension(df: DataFrame, dim: DataFrame, left_key: str, right_key: str)
 
 def join_daily(
     df: DataFrame, daily: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str], null_safe: bool = False,
-    check_unique: bool = True,
+    check_unique: bool = True, check_size: bool = True,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
     ``on`` holds column names or (left, right) pairs. With ``null_safe`` a missing key matches a
-    missing key. Pass ``check_unique=False`` for a side that was just grouped by its key.
+    missing key. Pass ``check_unique=False`` for a side that was just grouped by its key. A side
+    of checked size is broadcast; a larger one is shuffled with hot keys split by Spark.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in on]
     if check_unique:
@@ -42,6 +43,8 @@ def join_daily(
     for left, right in pairs:
         l, r = F.col(left), F.col(f"_r_{right}")
         tests.append(l.eqNullSafe(r) if null_safe else l == r)
+    if check_size:
+        side = broadcast_if_small(side)
     joined = df.join(side, reduce(lambda a, b: a & b, tests), "left")
     return joined.drop(*[f"_r_{right}" for _, right in pairs])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 # Groups up to this size are left whole: one task sorts them comfortably.
-MAX_GROUP_ROWS = 2_000_000
+MAX_GROUP_ROWS = 500_000
 RANGE = "_range"
 ALL = "_all"
 
@@ -69,6 +69,10 @@ class Ranges:
         """Rows of one group inside one range, in order."""
         return Window.partitionBy(RANGE, *self.by).orderBy(*_ascending(self.order))
 
+    @property
+    def ungrouped(self) -> bool:
+        return self.by == [ALL]
+
     def border_groups(self) -> DataFrame:
         """Groups at a range border, at most two per range: only they can span ranges."""
         group = F.struct(*self.by)
@@ -78,15 +82,23 @@ class Ranges:
 
     def border_rows(self) -> DataFrame:
         """Rows of the border groups; the broadcast side has at most two rows per range."""
+        if self.ungrouped:
+            return self.rows
         groups = F.broadcast(self.border_groups()).alias("g")
         return self.rows.alias("r").join(groups, _same("r", "g", self.by), "left_semi")
 
     def with_border_flag(self, flag: str) -> DataFrame:
         """All rows, marked where their group touches a range border."""
+        if self.ungrouped:
+            return self.rows.withColumn(flag, F.lit(True))
         groups = F.broadcast(self.border_groups()).withColumn(flag, F.lit(True)).alias("g")
         joined = self.rows.alias("r").join(groups, _same("r", "g", self.by), "left")
         return joined.select("r.*", F.coalesce(F.col(f"g.{flag}"), F.lit(False)).alias(flag))
 
+    def result(self, columns: Sequence[str]) -> DataFrame:
+        """The rows without the range columns."""
+        return self.rows.select(*columns)
+
     def attach(self, summary: DataFrame) -> DataFrame:
         """Join a per-(range, group) summary of border groups, bounded by the range count."""
         names = [RANGE, *self.by]

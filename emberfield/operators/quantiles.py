@@ -8,12 +8,12 @@ bounded; the second counts the rows between the brackets and keeps only the valu
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, durable
 from .ordered import ALL, largest_group
 
 # Up to this many values of one group fit into the hash map of one task.
@@ -24,30 +24,36 @@ ACCURACY = 10_000
 MAX_ACCURACY = 1_000_000
 
 
-def _exact(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], frequency: str | None) -> DataFrame:
+def _columns(extra: Mapping[str, Column]) -> list[Column]:
+    return [v.alias(k) for k, v in extra.items()]
+
+
+def _exact(df, by: Sequence[str], value: str, probs: Sequence[float], frequency: str | None, extra) -> DataFrame:
     weight = F.col(frequency) if frequency else F.lit(1)
     return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.percentile(value, list(probs), weight).alias("q")
+        F.count(value).alias("n"), F.percentile(value, list(probs), weight).alias("q"), *_columns(extra)
     )
 
 
-def _approximate(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int) -> DataFrame:
+def _approximate(df, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int, extra) -> DataFrame:
     return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.percentile_approx(value, list(probs), accuracy).alias("q")
+        F.count(value).alias("n"), F.percentile_approx(value, list(probs), accuracy).alias("q"), *_columns(extra)
     )
 
 
-def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float], accuracy: int) -> DataFrame:
-    rows = df.select(*by, F.col(value).cast("double").alias("_v"))
+def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float], accuracy: int, extra) -> DataFrame:
+    rows = df.withColumn("_v", F.col(value).cast("double"))
     # A bracket reaches three rank errors to each side, so the wanted ranks lie inside it.
     slack = 3.0 / accuracy
     ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     sizes = rows.groupBy(*by).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_ends")
+        F.count("_v").alias("_n"), F.percentile_approx("_v", ends, accuracy).alias("_ends"), *_columns(extra)
     )
     # Small groups need no bracket: all their values are kept, and there are few of them.
     small = F.col("_n") < 4 * accuracy
     m = len(probs)
+    # One row per group, kept so that the first pass runs once.
+    sizes = durable(sizes)
     brackets = sizes.select(
         *[F.col(c).alias(f"_k_{c}") for c in by], "_n",
         *[F.when(small, F.lit(float("-inf"))).otherwise(F.col("_ends")[i]).alias(f"_lo{i}") for i in range(m)],
@@ -56,7 +62,8 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = rows.filter(F.col("_v").isNotNull()).join(broadcast_if_small(brackets), same)
+    present = rows.select(*by, "_v").filter(F.col("_v").isNotNull())
+    joined = present.join(broadcast_if_small(brackets), same)
     inside = F.lit(False)
     gap = F.lit(0)
     for i in range(m):
@@ -87,13 +94,17 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
         place = (F.col("_n") - 1) * F.lit(float(p))
         share = place - F.floor(place)
         values.append(F.col(f"_a{i}") + share * (F.col(f"_b{i}") - F.col(f"_a{i}")))
-    return found.select(*by, F.col("_n").alias("n"), F.array(*values).alias("q"))
+    out = found.select(*by, F.col("_n").alias("n"), F.array(*values).alias("q"))
+    if not extra:
+        return out
+    side = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in by], *extra)
+    return out.join(side, same).select(*out.columns, *extra)
 
 
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], method: str = "auto",
     frequency: str | None = None, accuracy: int | None = None, largest: int | None = None,
-    max_exact_rows: int = MAX_EXACT_ROWS,
+    max_exact_rows: int = MAX_EXACT_ROWS, extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """One row per group: its keys, ``n`` values and the array ``q`` of quantiles.
 
@@ -101,8 +112,9 @@ def group_quantiles(
     gives the same numbers for groups of any size in two passes. ``auto`` counts the largest
     group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored values whose rank is off by at
     most n / accuracy. ``frequency`` repeats a row and needs ``exact``.
+    ``extra`` names further aggregates to take along in the same pass.
     """
-    by = list(by)
+    by, extra = list(by), dict(extra or {})
     if method == "auto":
         if largest is None:
             largest = 0 if frequency else largest_group(df, by)
@@ -112,13 +124,13 @@ def group_quantiles(
             accuracy = int(min(MAX_ACCURACY, max(ACCURACY, largest // 10_000)))
     accuracy = accuracy or ACCURACY
     if method == "exact":
-        return _exact(df, by, value, probs, frequency)
+        return _exact(df, by, value, probs, frequency, extra)
     if frequency:
         raise ValueError("frequency needs method='exact'")
     if method == "approximate":
-        return _approximate(df, by, value, probs, accuracy)
+        return _approximate(df, by, value, probs, accuracy, extra)
     if method != "bracketed":
         raise ValueError(f"unknown method {method!r}")
     if by:
-        return _bracketed(df, by, value, probs, accuracy)
-    return _bracketed(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, accuracy).drop(ALL)
+        return _bracketed(df, by, value, probs, accuracy, extra)
+    return _bracketed(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, accuracy, extra).drop(ALL)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +50,10 @@ def median_qi(
     rows = df.withColumn("_value", expr)
     tail = (1.0 - width) / 2.0
     probs = [0.5, tail, 1.0 - tail]
-    q = group_quantiles(rows, by, "_value", probs, method, frequency, largest=largest)
+    extra = {"_gaps": F.count_if(F.col("_value").isNull())} if strict_nulls else None
+    q = group_quantiles(rows, by, "_value", probs, method, frequency, largest=largest, extra=extra)
     cells = {"value": F.col("q")[0], "lower": F.col("q")[1], "upper": F.col("q")[2]}
     if strict_nulls:
-        gaps = rows.groupBy(*by).agg(F.count_if(F.col("_value").isNull()).alias("_gaps"))
-        gaps = gaps.withColumnsRenamed({c: f"_g_{c}" for c in by})
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-        q = q.join(gaps, same, "left")
         cells = {k: F.when(F.col("_gaps") == 0, v) for k, v in cells.items()}
     return q.select(
         *by, *[v.alias(k) for k, v in cells.items()],
@@ -66,20 +61,25 @@ def median_qi(
     )
 
 
-def _packed_quantile(ordered: Column, p: float) -> Column:
+def _packed_quantile(ordered: Column, p: float, scale: Callable[[Column], Column]) -> Column:
     place = (F.size(ordered) - 1) * F.lit(float(p))
     low = F.floor(place).cast("int")
-    a = F.get(ordered, low)
-    b = F.coalesce(F.get(ordered, low + 1), a)
+    a = scale(F.get(ordered, low))
+    b = F.coalesce(scale(F.get(ordered, low + 1)), a)
     return a + (place - low) * (b - a)
 
 
-def median_qi_packed(df: DataFrame, draws: str, width: float = 0.95) -> DataFrame:
-    """The interval of draws packed as an array per row: row-local, so nothing is shuffled."""
+def median_qi_packed(
+    df: DataFrame, draws: str, width: float = 0.95, scale: Callable[[Column], Column] = lambda v: v
+) -> DataFrame:
+    """The interval of draws packed as an array per row: row-local, so nothing is shuffled.
+
+    ``scale`` is an increasing back-transform; only the order statistics go through it.
+    """
     tail = (1.0 - width) / 2.0
     rows = df.withColumn("_sorted", F.sort_array(draws))
     cells = {
-        name: F.when(F.size(F.col("_sorted")) > 0, _packed_quantile(F.col("_sorted"), p))
+        name: F.when(F.size(F.col("_sorted")) > 0, _packed_quantile(F.col("_sorted"), p, scale))
         for name, p in (("value", 0.5), ("lower", tail), ("upper", 1.0 - tail))
     }
     return rows.withColumns({
@@ -115,9 +115,8 @@ def coef_summary(
         F.get(names, F.col("_pos")).alias("term"), F.col("_b").alias("b")
     )
     tail = (1.0 - width) / 2.0
-    q = group_quantiles(long, ["term"], "b", [tail, 1.0 - tail], method)
-    stats = long.groupBy("term").agg(F.avg("b").alias("estimate"), F.stddev("b").alias("error"))
-    return stats.join(q, "term").select(
+    extra = {"estimate": F.avg("b"), "error": F.stddev("b")}
+    return group_quantiles(long, ["term"], "b", [tail, 1.0 - tail], method, extra=extra).select(
         "term", "estimate", "error", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper")
     )
 

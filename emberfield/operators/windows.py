@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import RANGE, _ascending, _descending, needs_ranges, row_rank, split_ranges
+from .ordered import RANGE, Ranges, _ascending, _descending, needs_ranges, row_rank, split_ranges
 
 
 def _frame(k: int, align: str) -> tuple[int, int]:
@@ -37,21 +38,26 @@ def rolling_mean(
     A window of two centred rows covers the current and the next row. ``order`` must end in a
     unique tie-break.
     """
-    spans = {name: (col, k, *_frame(k, align)) for name, (col, k) in columns.items()}
     if not needs_ranges(df, by, method):
         w = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(*_ascending(order))
-        return df.withColumns({
-            name: _guarded_mean(col, k, w.rowsBetween(-a, b)) for name, (col, k, a, b) in spans.items()
-        })
-    cut = split_ranges(df, by, order, ranges)
-    before, after = max(s[2] for s in spans.values()), max(s[3] for s in spans.values())
-    reach = before + after
+        return df.withColumns(_means(_spans(columns, align), w))
+    cut = rolling_ranges(split_ranges(df, by, order, ranges), columns, align)
+    return cut.result([*df.columns, *columns])
+
+
+def _spans(columns: dict[str, tuple[str, int]], align: str) -> dict:
+    return {name: (col, k, *_frame(k, align)) for name, (col, k) in columns.items()}
+
 
-    def means(rows: DataFrame, w) -> DataFrame:
-        return rows.withColumns({
-            name: _guarded_mean(col, k, w.rowsBetween(-a, b)) for name, (col, k, a, b) in spans.items()
-        })
+def _means(spans: dict, w) -> dict[str, Column]:
+    return {name: _guarded_mean(col, k, w.rowsBetween(-a, b)) for name, (col, k, a, b) in spans.items()}
 
+
+def rolling_ranges(cut: Ranges, columns: dict[str, tuple[str, int]], align: str = "center") -> Ranges:
+    """Rolling means on rows already cut into ranges."""
+    spans = _spans(columns, align)
+    before, after = max(s[2] for s in spans.values()), max(s[3] for s in spans.values())
+    reach = before + after
     # Rows near the end of a piece that continues in another range take their means from the
     # edge table, which holds the last few rows of every such piece and nothing else.
     whole = Window.partitionBy(RANGE, *cut.by)
@@ -63,10 +69,10 @@ def rolling_mean(
     touched = F.col("_border") & ((F.col("_first") <= before) | (F.col("_last") <= after))
     near = F.col("_border") & ((F.col("_first") <= reach) | (F.col("_last") <= reach))
     across = Window.partitionBy(*cut.by).orderBy(*_ascending(cut.order))
-    inner = means(placed, cut.window()).filter(~touched)
-    edges = means(placed.filter(near), across).filter(touched)
-    names = [*df.columns, *spans]
-    return inner.select(*names).unionByName(edges.select(*names))
+    inner = placed.withColumns(_means(spans, cut.window())).filter(~touched)
+    edges = placed.filter(near).withColumns(_means(spans, across)).filter(touched)
+    names = [*cut.rows.columns, *spans]
+    return replace(cut, rows=inner.select(*names).unionByName(edges.select(*names)))
 
 
 def _so_far(group, order: list[Column]):
@@ -84,7 +90,11 @@ def fill_down_up(
         group = Window.partitionBy(*(list(by) or [F.lit(0)]))
         down, up = _so_far(group, _ascending(order)), _so_far(group, _descending(order))
         return df.withColumns({c: F.coalesce(F.last(c, True).over(down), F.last(c, True).over(up)) for c in columns})
-    cut = split_ranges(df, by, order, ranges)
+    return fill_ranges(split_ranges(df, by, order, ranges), columns).result(df.columns)
+
+
+def fill_ranges(cut: Ranges, columns: Sequence[str]) -> Ranges:
+    """Gap filling on rows already cut into ranges."""
     # Only rows with a value compete, so the pick is the first or last known value of the piece.
     place = F.struct(*cut.order)
     known = cut.border_rows().groupBy(RANGE, *cut.by).agg(*[
@@ -104,7 +114,7 @@ def fill_down_up(
     rows = cut.attach(summary).withColumns({
         c: F.coalesce(F.last(c, True).over(down), f"_down_{c}", F.last(c, True).over(up), f"_up_{c}") for c in columns
     })
-    return rows.select(*df.columns)
+    return replace(cut, rows=rows.select(*cut.rows.columns))
 
 
 def row_id(df: DataFrame, order: Sequence[str], name: str = "id", method: str = "auto") -> DataFrame:

@@ -24,6 +24,15 @@ def _model_uses(spec: Mapping, impact: str) -> None:
         raise ValueError(f"the model has no factor {impact!r}, so both scenarios would be equal")
 
 
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Observations over all cores by key, before each becomes thousands of values.
+
+    Moving the few observations also saves moving the many values: later groups by observation
+    and draw, or by observation and scenario, find their rows in one place already.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def predict_scenarios(
     obs: DataFrame, spec: Mapping, draws: Draws, family: str, key: str, impact: str, date: str,
     start: str | None = None, end: str | None = None, seed: int = 0, site: str | None = None,
@@ -34,7 +43,8 @@ def predict_scenarios(
     All columns of ``obs`` stay, so nothing has to be aligned by position later.
     """
     _model_uses(spec, impact)
-    both = scenarios(obs.filter(in_window(date, start, end)), impact)
+    window = spread_rows(obs.filter(in_window(date, start, end)), key)
+    both = scenarios(window, impact)
     predict = predict_packed if packed else predict_draws
     return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites)
 
@@ -66,8 +76,7 @@ def ccdf_table(
     packed: DataFrame, key: Sequence[str], impact: str, log10: bool = True, maximum: str | None = None, method: str = "auto",
 ) -> DataFrame:
     """Distribution of the per-row medians on the count scale, one curve per impact level."""
-    counts = packed.withColumn("draws", F.transform("draws", lambda v: back_transform(v, maximum, log10)))
-    rows = median_qi_packed(counts, "draws").select(*key, impact, "value", "lower", "upper")
+    rows = median_qi_packed(packed, "draws", scale=lambda v: back_transform(v, maximum, log10)).select(*key, impact, "value", "lower", "upper")
     return ccdf(rows, [impact], "value", key, method=method)
 
 

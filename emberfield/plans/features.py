@@ -11,9 +11,10 @@ from ..functions import MONTH_NAMES, as_number, build_date, build_date_named, lo
 from ..operators.categorical import IMPACT_OVERRIDES, SITE_ALIASES, SITE_LATITUDES, canonicalise, impact_since, impact_window, lookup
 from ..operators.clean import constant, keep_present
 from ..operators.joins import join_daily
+from ..operators.ordered import needs_ranges, split_ranges
 from ..operators.reshape import paired_unpivot
 from ..operators.summary import daily_mean, scale_by_max
-from ..operators.windows import fill_down_up, rolling_mean
+from ..operators.windows import fill_down_up, fill_ranges, rolling_mean, rolling_ranges
 from ..sources import drop_embedded_headers, rename_positional
 
 # The rainfall sheet holds a day column and a value and a year column per month.
@@ -54,12 +55,17 @@ def bay_features(
     df = keep_present(samples, "total_phytoplankton")
     df = join_daily(df, solar, ["date"], check_unique=check_unique)
     df = join_daily(df, rain, ["date"], check_unique=check_unique)
-    df = fill_down_up(df, ["rainfall"], order, method=method)
     df = df.withColumn("log10_phytoplankton", log10_positive("total_phytoplankton"))
     for name, (start, end) in windows.items():
         df = df.withColumn(name, impact_window("date", start, end))
     df = constant(df, location=location).withColumn("month_of_year", month_of("date"))
-    return rolling_mean(df, {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}, order, method=method)
+    means = {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}
+    # The joins keep the row count, so the samples alone tell whether one task can hold them.
+    if needs_ranges(samples, [], method):
+        cut = rolling_ranges(fill_ranges(split_ranges(df, [], order), ["rainfall"]), means)
+        return cut.result([*df.columns, *means])
+    df = fill_down_up(df, ["rainfall"], order, method="window")
+    return rolling_mean(df, means, order, method="window")
 
 
 def station_features(
