@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .design import design, terms
-from .gram import collect_vector, gram_matrix, sum_statistics
+from .gram import collect_vector, gram_matrix, joint_products, pack_blocks, square, sum_block_statistics
 
 # Degrees of freedom tried for the Student-t family; its prior is gamma(2, 0.1).
 NU_GRID = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
+# Fewer rows than this are not worth spreading.
+SPREAD_ROWS = 100_000
 # Driver-side updates of the block spreads between two passes.
 SETTLE = 200
 
@@ -194,10 +196,9 @@ def fit_hurdle_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd:
 def _student_pass(beta: np.ndarray, sigma: float, nu: float, grid: np.ndarray):
     """Weighted sums at the current fit, and the kernel of the log-likelihood for each grid nu."""
 
-    def statistic(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-        r2 = ((y - X @ beta) / sigma) ** 2
+    def statistic(Z: np.ndarray) -> np.ndarray:
+        r2 = ((Z[:, -1] - Z[:, :-1] @ beta) / sigma) ** 2
         w = (nu + 1.0) / (nu + r2)
-        Z = np.column_stack([X, y])
         kernel = -0.5 * (grid + 1.0) * np.log1p(r2[:, None] / grid).sum(axis=0)
         return np.concatenate([(Z.T @ (Z * w[:, None])).ravel(), kernel])
 
@@ -221,9 +222,17 @@ def fit_student(
     parts = terms(spec)
     blocks = [t.block for t in parts][1:]
     rows = design(df, spec).filter(F.col(response).isNotNull())
-    rows = rows.select("x", F.col(response).cast("double").alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = pack_blocks(rows, "x", response).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        G0 = gram_matrix(rows)
+        flat, tasks = collect_vector(sum_block_statistics(rows, joint_products))
+        G0 = square(flat)
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if tasks < cores and G0[0, 0] >= SPREAD_ROWS:
+            # Too few pieces for the cores: one shuffle now pays off over the rounds to come.
+            wide = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+            wide.count()
+            rows.unpersist()
+            rows = wide
         b, V, a, va, m, sigma, edf, sds = _gaussian_mode(G0, blocks, prior_sd)
         n0, m0, _, Sxx0, _, _ = _pull_apart(G0)
         grid = np.array(NU_GRID if nu is None else (nu,))
@@ -233,7 +242,7 @@ def fit_student(
         size = len(parts) + 1
         beta = np.concatenate([[a - m @ b], b])
         for used in range(1, rounds + 1):
-            flat = collect_vector(sum_statistics(rows, "x", "y", _student_pass(beta, sigma, dof, grid)))
+            flat, _ = collect_vector(sum_block_statistics(rows, _student_pass(beta, sigma, dof, grid)))
             Gw = flat[: size * size].reshape(size, size)
             nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(Gw)
             dof = float(grid[int(np.argmax(constant + prior + flat[size * size:]))])

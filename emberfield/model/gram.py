@@ -18,41 +18,83 @@ MAX_TERMS = 2_000
 SQL_TERMS = 12
 
 
-def sum_statistics(df: DataFrame, x: str, y: str, statistic: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Sum of ``statistic(X, y)`` (a flat vector) over all batches: rows (pos, value)."""
+# Rows are packed into blocks of about this many bytes for repeated passes.
+BLOCK_BYTES = 1024 * 1024
+TOTALS = "pos bigint, value double"
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+
+def _totals(statistics: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sum of a task's vectors as rows (pos, value); position -1 marks the task."""
+    total = None
+    for v in statistics:
+        total = v if total is None else total + v
+    if total is not None:
+        pos = np.arange(-1, len(total), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(np.concatenate([[1.0], total]))], names=["pos", "value"])
+
+
+def _joined(batch: pa.RecordBatch) -> np.ndarray:
+    """[X y] of a batch with an array column and a number column."""
+    flat = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
+    y = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.float64)
+    return np.column_stack([flat.reshape(batch.num_rows, -1), y])
+
+
+def sum_statistics(df: DataFrame, x: str, y: str, statistic: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Sum of ``statistic([X y])``, a flat vector, over all rows: rows (pos, value).
+
+    Position -1 holds the number of tasks that had rows.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _totals(statistic(_joined(b)) for b in batches if b.num_rows)
+
+    rows = df.select(x, F.col(y).cast("double").alias(y))
+    return rows.mapInArrow(work, TOTALS).groupBy("pos").agg(F.sum("value").alias("value"))
+
+
+def pack_blocks(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows of [X y] as binary blocks, so that later passes read them without conversion."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            flat = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-            rows = statistic(
-                flat.reshape(batch.num_rows, -1),
-                np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.float64),
-            )
-            total = rows if total is None else total + rows
-        if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total), dtype=np.int64)), pa.array(total)], names=["pos", "value"]
-            )
+            Z = _joined(batch)
+            step = max(1, BLOCK_BYTES // (8 * Z.shape[1]))
+            pieces = [Z[i:i + step].tobytes() for i in range(0, len(Z), step)]
+            widths = pa.array([Z.shape[1]] * len(pieces), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), widths], names=["block", "width"])
 
-    rows = df.select(x, F.col(y).cast("double").alias(y))
-    return rows.mapInArrow(partial, "pos bigint, value double").groupBy("pos").agg(F.sum("value").alias("value"))
+    return df.select(x, F.col(y).cast("double").alias(y)).mapInArrow(work, "block binary, width int")
 
 
-def collect_vector(sums: DataFrame) -> np.ndarray:
+def sum_block_statistics(blocks: DataFrame, statistic: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """:func:`sum_statistics` over packed blocks."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for block, width in zip(batch.column(0), batch.column(1)):
+                yield statistic(np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, width.as_py()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _totals(parts(batches))
+
+    return blocks.mapInArrow(work, TOTALS).groupBy("pos").agg(F.sum("value").alias("value"))
+
+
+def collect_vector(sums: DataFrame) -> tuple[np.ndarray, int]:
+    """The summed vector on the driver, and the number of tasks that had rows."""
     rows = sums.collect()  # one row per statistic, (p + 1)^2 of them
     if not rows:
         raise ValueError("no complete rows to fit")
     out = np.zeros(len(rows))
     for r in rows:
-        out[r["pos"]] = r["value"]
-    return out
+        out[r["pos"]] = r["value"]  # position -1 is the last place
+    return out[:-1], int(out[-1])
 
 
-def _joint(X: np.ndarray, y: np.ndarray) -> np.ndarray:
-    Z = np.column_stack([X, y])
+def joint_products(Z: np.ndarray) -> np.ndarray:
     return (Z.T @ Z).ravel()
 
 
@@ -65,7 +107,7 @@ def gram(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     p = size[0]["w"]
     if p > MAX_TERMS:
         raise ValueError(f"{p} terms, at most {MAX_TERMS} are supported")
-    sums = sum_statistics(df, x, y, _joint)
+    sums = sum_statistics(df, x, y, joint_products).filter("pos >= 0")
     i, j = F.floor(F.col("pos") / p).cast("int"), (F.col("pos") % p).cast("int")
     return sums.select(i.alias("i"), j.alias("j"), "value").filter("i <= j")
 
@@ -82,8 +124,11 @@ def gram_sql(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(cells))
 
 
-def gram_matrix(df: DataFrame, x: str = "x", y: str = "y") -> np.ndarray:
-    """[X y]'[X y] on the driver."""
-    flat = collect_vector(sum_statistics(df, x, y, _joint))
+def square(flat: np.ndarray) -> np.ndarray:
     p = int(round(np.sqrt(len(flat))))
     return flat.reshape(p, p)
+
+
+def gram_matrix(df: DataFrame, x: str = "x", y: str = "y") -> np.ndarray:
+    """[X y]'[X y] on the driver."""
+    return square(collect_vector(sum_statistics(df, x, y, joint_products))[0])

@@ -23,7 +23,8 @@ def density_curve(
     minimum, so the kernel sum runs over a group's bins, never over its rows. A single value has no density, so
     groups of one are left out. Columns: keys, x, density.
     """
-    rows = clip_range(df.filter(F.col(value).isNotNull()), value, *clip).select(*by, F.col(value).alias("_v"))
+    # Missing values fall out of the aggregates; a filter would evaluate the value expression twice.
+    rows = clip_range(df, value, *clip).select(*by, F.col(value).alias("_v"))
     extra = {"_sd": F.stddev("_v"), "_min": F.min("_v"), "_max": F.max("_v")}
     moments = group_quantiles(rows, by, "_v", [0.25, 0.75], method, largest=largest, extra=extra)
     moments = moments.withColumnsRenamed({"n": "_n"}).withColumn("_iqr", F.col("q")[1] - F.col("q")[0])

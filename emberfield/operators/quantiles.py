@@ -62,8 +62,8 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    present = rows.select(*by, "_v").filter(F.col("_v").isNotNull())
-    joined = present.join(broadcast_if_small(brackets), same)
+    # Missing values count zero below; a filter here would evaluate the value expression twice.
+    joined = rows.select(*by, "_v").join(broadcast_if_small(brackets), same)
     inside = F.lit(False)
     gap = F.lit(0)
     for i in range(m):
@@ -72,7 +72,7 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     # One cell per value inside a bracket and one per stretch between brackets.
     cells = joined.groupBy(
         *by, "_n", F.when(inside, F.lit(-1)).otherwise(gap).alias("_gap"), F.when(inside, F.col("_v")).alias("_cell")
-    ).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    ).agg(F.count("_v").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     w = Window.partitionBy(*by).orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("_upto", F.sum("_c").over(w))
 

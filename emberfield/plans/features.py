@@ -55,17 +55,19 @@ def bay_features(
     df = keep_present(samples, "total_phytoplankton")
     df = join_daily(df, solar, ["date"], check_unique=check_unique)
     df = join_daily(df, rain, ["date"], check_unique=check_unique)
-    df = df.withColumn("log10_phytoplankton", log10_positive("total_phytoplankton"))
-    for name, (start, end) in windows.items():
-        df = df.withColumn(name, impact_window("date", start, end))
-    df = constant(df, location=location).withColumn("month_of_year", month_of("date"))
     means = {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}
     # The joins keep the row count, so the samples alone tell whether one task can hold them.
     if needs_ranges(samples, [], method):
         cut = rolling_ranges(fill_ranges(split_ranges(df, [], order), ["rainfall"]), means)
-        return cut.result([*df.columns, *means])
-    df = fill_down_up(df, ["rainfall"], order, method="window")
-    return rolling_mean(df, means, order, method="window")
+        df = cut.result([*df.columns, *means])
+    else:
+        df = fill_down_up(df, ["rainfall"], order, method="window")
+        df = rolling_mean(df, means, order, method="window")
+    # What a row says alone comes last, so that it is not carried through the sorts.
+    df = df.withColumn("log10_phytoplankton", log10_positive("total_phytoplankton"))
+    for name, (start, end) in windows.items():
+        df = df.withColumn(name, impact_window("date", start, end))
+    return constant(df, location=location).withColumn("month_of_year", month_of("date"))
 
 
 def station_features(
