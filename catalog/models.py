@@ -17,7 +17,7 @@ from emberfield.operators.joins import paired_contrast, packed_contrast
 from emberfield.operators.ordered import largest_group
 from emberfield.operators.reshape import explode_draws
 from emberfield.operators.summary import back_transform, median_qi, median_qi_packed, scale_by_max
-from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_table, interval_table, level_table, predict_scenarios, prediction_curve
+from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_table, interval_table, level_table, predict_pairs, predict_scenarios, prediction_curve
 
 from .common import IMPACT_ORDER, KIND_IMPACT, SAMPLES_SQL, WINDOW_END, WINDOW_START, case_sql, kinds, query, r, rq, samples, table
 from .summaries import density_sql, interval_sql, rounded
@@ -158,11 +158,10 @@ def contrast(spark, d):
 
 @query("packed_contrast", f"WITH {prediction_sql('student', 20)} SELECT obs_id, draw_id, {rq('difference')} AS difference FROM ({PAIRS_SQL})")
 def contrast_packed(spark, d):
-    """Both scenarios of a row side by side: the group is one observation with two rows."""
-    p = predicted(spark, d, "student", 20, packed=True)
-    pick = lambda s: F.max(F.when(F.col("scenario") == s, F.col("draws")))
-    wide = p.groupBy("obs_id").agg(pick("actual").alias("a"), pick("counterfactual").alias("b"))
-    long = explode_draws(packed_contrast(wide, "a", "b").select("obs_id", "difference"), "difference")
+    """Both scenarios of an observation in one row, so the difference is row-local."""
+    obs = filter_window(impacted(spark, d), "ts", WINDOW_START, WINDOW_END).select("obs_id", "date", "impact", "day_part")
+    pairs = predict_pairs(obs, SPEC, given_draws(20), "student", "obs_id", "impact", "date", seed=SEED)
+    long = explode_draws(packed_contrast(pairs, "actual", "counterfactual").select("obs_id", "difference"), "difference")
     return long.select("obs_id", F.col("draw_id").cast("bigint"), r("value").alias("difference"))
 
 
@@ -203,6 +202,18 @@ def impact_contrast(spark, d):
     return rounded(out, 4)
 
 
+@query("impact_contrast_copied", f"""WITH {prediction_sql('student', 20)},
+ob AS (SELECT log10(count) AS value, {case_sql('kind', KIND_IMPACT)} AS impact FROM ({SAMPLES_SQL}) WHERE date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' AND count > 0),
+st AS (SELECT 'Predicted' AS type, impact, value FROM p UNION ALL SELECT 'Observed', impact, value FROM ob, range(20) UNION ALL SELECT 'Observed', 'zero', value FROM ob, range(20))
+{interval_sql('st', 'type, impact', 'value')}""")
+def impact_contrast_copied(spark, d):
+    """Each observation once per draw, and once more under the level zero."""
+    obs = filter_window(impacted(spark, d), "ts", WINDOW_START, WINDOW_END).filter(F.col("count") > 0)
+    p = predicted(spark, d, "student", 20, packed=False)
+    out = interval_table(obs, p, F.log10("count"), "impact", largest=value_range(spark, d, ["impact"], 20), observed_copies=20)
+    return rounded(out)
+
+
 @query("level_intervals", f"WITH {prediction_sql('student', 50)} {interval_sql('p', 'impact', 'value')}")
 def level_intervals(spark, d):
     p = predicted(spark, d, "student", 50, packed=False)
@@ -217,7 +228,8 @@ SELECT obs_id, scenario, impact, {rq('value', 4)} AS value,
 
 @query("ccdf_of_medians", CCDF_OF_MEDIANS)
 def ccdf_of_medians(spark, d):
-    out = ccdf_table(predicted(spark, d, "student", 50, packed=True), ["obs_id", "scenario"], "impact")
+    p = predicted(spark, d, "student", 50, packed=True)
+    out = ccdf_table(p, ["obs_id", "scenario"], "impact", largest=value_range(spark, d, ["impact"], 1))
     return out.select("obs_id", "scenario", "impact", r("value", 4).alias("value"), r("ccdf", 9).alias("ccdf"))
 
 

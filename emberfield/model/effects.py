@@ -43,6 +43,8 @@ def effect_grid(df: DataFrame, numeric: Sequence[str], factors: Mapping[str, Seq
 def conditional_effects(grid: DataFrame, draws: Draws, family: str, spec: Mapping, width: float = 0.95) -> DataFrame:
     """Median and interval of the expected response at each grid row."""
     keys = ["effect", "grid_point", "x_value", "level"]
+    parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = grid.repartition(parts, "effect", "grid_point")  # few rows, before the draws multiply them
     values = expected_draws(design(grid, spec), draws, family)
     # A group holds one value per draw, so the exact aggregate is bounded.
     return median_qi(values, keys, "value", width, method="exact")

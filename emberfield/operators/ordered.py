@@ -33,15 +33,18 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
-def needs_ranges(df: DataFrame, by: Sequence[str], method: str, max_group_rows: int = MAX_GROUP_ROWS) -> bool:
+def needs_ranges(
+    df: DataFrame, by: Sequence[str], method: str, max_group_rows: int = MAX_GROUP_ROWS, largest: int | None = None
+) -> bool:
     """Decide between one window per group and ranges.
 
-    ``window`` and ``ranges`` force the choice; ``auto`` counts the largest group first.
+    ``window`` and ``ranges`` force the choice; ``auto`` goes by the size of the largest group,
+    which is counted unless ``largest`` tells it.
     """
     if method not in ("auto", "window", "ranges"):
         raise ValueError(f"unknown method {method!r}")
     if method == "auto":
-        return largest_group(df, by) > max_group_rows
+        return (largest_group(df, by) if largest is None else largest) > max_group_rows
     return method == "ranges"
 
 
@@ -119,10 +122,10 @@ def split_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], ranges:
 
 def row_rank(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank", method: str = "auto",
-    total: str = "n", ranges: int | None = None,
+    total: str = "n", ranges: int | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Row number from 1 inside each group, and the group's row count."""
-    if not needs_ranges(df, by, method):
+    if not needs_ranges(df, by, method, largest=largest):
         keys = list(by) or [F.lit(0)]
         w = Window.partitionBy(*keys)
         numbered = df.withColumn(name, F.row_number().over(w.orderBy(*_ascending(order))).cast("bigint"))

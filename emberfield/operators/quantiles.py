@@ -110,27 +110,30 @@ def group_quantiles(
 
     ``exact`` aggregates each group in one task: for groups of known, bounded size. ``bracketed``
     gives the same numbers for groups of any size in two passes. ``auto`` counts the largest
-    group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored values whose rank is off by at
-    most n / accuracy. ``frequency`` repeats a row and needs ``exact``.
+    group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored
+    values whose rank is off by at most n / accuracy. ``frequency`` names a column that tells how
+    often a row counts.
     ``extra`` names further aggregates to take along in the same pass.
     """
     by, extra = list(by), dict(extra or {})
-    if method == "auto":
+    if method not in ("auto", "exact", "bracketed", "approximate"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "auto" or (method == "bracketed" and accuracy is None):
         if largest is None:
-            largest = 0 if frequency else largest_group(df, by)
-        method = "bracketed" if largest > max_exact_rows else "exact"
+            largest = largest_group(df, by)
+        if method == "auto":
+            method = "bracketed" if largest > max_exact_rows else "exact"
         if accuracy is None:
-            # Few values stay inside a bracket: about ten thousand per side for any group size.
+            # Keeps what lies inside a bracket small for any group size.
             accuracy = int(min(MAX_ACCURACY, max(ACCURACY, largest // 10_000)))
     accuracy = accuracy or ACCURACY
     if method == "exact":
         return _exact(df, by, value, probs, frequency, extra)
     if frequency:
-        raise ValueError("frequency needs method='exact'")
+        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col(frequency), F.lit(1)))))
+        df = df.filter(F.col(frequency) > 0)
     if method == "approximate":
         return _approximate(df, by, value, probs, accuracy, extra)
-    if method != "bracketed":
-        raise ValueError(f"unknown method {method!r}")
     if by:
         return _bracketed(df, by, value, probs, accuracy, extra)
     return _bracketed(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, accuracy, extra).drop(ALL)

@@ -24,17 +24,18 @@ def scale_by_max(
 ) -> DataFrame:
     """Columns divided by their global maximum, with the maximum kept beside them.
 
-    The maxima are scalar subqueries: one pass, one row, no join. An all-zero column scales to
-    NULL. With ``strict_nulls`` a single missing value makes the whole column missing.
+    The maxima come from one scalar subquery: one pass, one row, no join. An all-zero column
+    scales to NULL. With ``strict_nulls`` a single missing value makes the whole column missing.
     """
-    out = {}
-    for c in columns:
-        top = F.max(c)
-        if strict_nulls:
-            top = F.when(F.count_if(F.col(c).isNull()) == 0, top)
-        out[f"{c}_max"] = df.agg(top.alias("m")).scalar()
-    df = df.withColumns(out)
-    return df.withColumns({f"{c}{suffix}": F.try_divide(F.col(c), F.col(f"{c}_max")) for c in columns})
+
+    def top(c: str) -> Column:
+        m = F.max(c)
+        return F.when(F.count_if(F.col(c).isNull()) == 0, m) if strict_nulls else m
+
+    tops = df.agg(F.struct(*[top(c).alias(c) for c in columns]).alias("tops")).scalar()
+    out = df.withColumn("_tops", tops)
+    out = out.withColumns({f"{c}_max": F.col(f"_tops.{c}") for c in columns}).drop("_tops")
+    return out.withColumns({f"{c}{suffix}": F.try_divide(F.col(c), F.col(f"{c}_max")) for c in columns})
 
 
 def median_qi(

@@ -124,12 +124,12 @@ def row_id(df: DataFrame, order: Sequence[str], name: str = "id", method: str =
 
 def ccdf(
     df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], name: str = "ccdf",
-    method: str = "auto", ranges: int | None = None,
+    method: str = "auto", ranges: int | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Share of a group's rows with at least this value: 1 for the smallest, 1/n for the largest.
 
     Ties are ordered by ``tie``, which makes the curve the same on every run.
     """
-    ranked = row_rank(df, by, [value, *tie], "_rank", method=method, total="_n", ranges=ranges)
+    ranked = row_rank(df, by, [value, *tie], "_rank", method=method, total="_n", ranges=ranges, largest=largest)
     share = (F.col("_n") - F.col("_rank") + 1).cast("double") / F.col("_n")
     return ranked.withColumn(name, share).drop("_rank", "_n")

@@ -49,6 +49,27 @@ def predict_scenarios(
     return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites)
 
 
+def predict_pairs(
+    obs: DataFrame, spec: Mapping, draws: Draws, family: str, key: str, impact: str, date: str,
+    start: str | None = None, end: str | None = None, seed: int = 0, site: str | None = None, known_sites: Sequence = (),
+) -> DataFrame:
+    """Both scenarios of an observation in one row, as arrays ``actual`` and ``counterfactual``.
+
+    The numbers are those of :func:`predict_scenarios`. A contrast needs no shuffle from here.
+    """
+    _model_uses(spec, impact)
+    rows = spread_rows(obs.filter(in_window(date, start, end)), key)
+    keep = rows.columns
+    rows = design(rows, spec, "_actual").withColumn("_impact", F.col(impact))
+    rows = design(rows.withColumn(impact, F.lit("zero")), spec, "_counterfactual")
+    rows = rows.withColumn(impact, F.col("_impact"))
+    for name in ("actual", "counterfactual"):
+        rows = predict_packed(
+            rows.withColumn("scenario", F.lit(name)), draws, family, [key, "scenario"], x=f"_{name}", seed=seed, site=site,
+            known_sites=known_sites, out=name)
+    return rows.select(*keep, "actual", "counterfactual")
+
+
 def keep_predictions(predicted: DataFrame, path: str) -> DataFrame:
     """Write predictions once and read them back, so that several summaries share one pass."""
     write_stage(predicted, path)
@@ -57,14 +78,21 @@ def keep_predictions(predicted: DataFrame, path: str) -> DataFrame:
 
 def interval_table(
     observed: DataFrame, predicted: DataFrame, response: str, impact: str, scale: Column | None = None, method: str = "auto",
-    largest: int | None = None,
+    largest: int | None = None, observed_copies: int | None = None,
 ) -> DataFrame:
     """Median and interval by type (observed, predicted) and impact; ``predicted`` is long.
 
     ``largest`` saves a pass over the predictions: rows of the largest impact level times draws.
+    ``observed_copies`` restores a habit of wide draw matrices, where each observation appears
+    once per draw and once more under the level ``zero``; without it an observation counts once.
     """
-    stacked = stack_observed_predicted(observed, predicted, response, [impact])
-    return median_qi(stacked, ["type", impact], F.col("value") if scale is None else scale, method=method, largest=largest)
+    value = F.col("value") if scale is None else scale
+    if observed_copies is None:
+        stacked = stack_observed_predicted(observed, predicted, response, [impact])
+        return median_qi(stacked, ["type", impact], value, method=method, largest=largest)
+    stacked = stack_observed_predicted(scenarios(observed, impact), predicted, response, [impact])
+    stacked = stacked.withColumn("_times", F.when(F.col("type") == "Observed", observed_copies).otherwise(1))
+    return median_qi(stacked, ["type", impact], value, method=method, frequency="_times", largest=largest)
 
 
 def level_table(predicted: DataFrame, impact: str, method: str = "auto", largest: int | None = None) -> DataFrame:
@@ -74,10 +102,14 @@ def level_table(predicted: DataFrame, impact: str, method: str = "auto", largest
 
 def ccdf_table(
     packed: DataFrame, key: Sequence[str], impact: str, log10: bool = True, maximum: str | None = None, method: str = "auto",
+    largest: int | None = None,
 ) -> DataFrame:
-    """Distribution of the per-row medians on the count scale, one curve per impact level."""
+    """Distribution of the per-row medians on the count scale, one curve per impact level.
+
+    ``largest``, the rows of the largest level, saves a pass over the predictions.
+    """
     rows = median_qi_packed(packed, "draws", scale=lambda v: back_transform(v, maximum, log10)).select(*key, impact, "value", "lower", "upper")
-    return ccdf(rows, [impact], "value", key, method=method)
+    return ccdf(rows, [impact], "value", key, method=method, largest=largest)
 
 
 def difference_curve(
