@@ -1,8 +1,7 @@
 """Row order at scale: ranks and neighbours when one group may hold most of the rows.
 
-A window partitioned by group puts a whole group into one task. Where the largest group is too
-big for that, the rows are range-partitioned by (group, order) instead, so a hot group is cut
-into many ranges. Each range is worked on alone, and what crosses a range border (row counts,
+A window partitioned by group puts a whole group into one task. Groups too big for that are
+range-partitioned by (group, order) instead, so a hot group is cut into many ranges. Each range is worked on alone, and what crosses a range border (row counts,
 the last known value, a few neighbour rows) travels in a table with a few rows per range.
 
 Range borders come from a sample, so two evaluations may cut differently. The cut rows are
@@ -11,14 +10,14 @@ therefore written once to the shared checkpoint folder before they are used.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import broadcast_if_small, durable
 
 # Groups up to this size are left whole: one task sorts them comfortably.
 MAX_GROUP_ROWS = 500_000
@@ -33,21 +32,41 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
 
 
-def needs_ranges(
-    df: DataFrame, by: Sequence[str], method: str, max_group_rows: int = MAX_GROUP_ROWS, largest: int | None = None
-) -> bool:
-    """Decide between one window per group and ranges.
-
-    ``window`` and ``ranges`` force the choice; ``auto`` goes by the size of the largest group,
-    which is counted unless ``largest`` tells it.
-    """
+def needs_ranges(df: DataFrame, method: str, largest: int | None = None) -> bool:
+    """Decide for a table without groups: ``window``, ``ranges``, or ``auto`` by its row count."""
     if method not in ("auto", "window", "ranges"):
         raise ValueError(f"unknown method {method!r}")
     if method == "auto":
-        return (largest_group(df, by) if largest is None else largest) > max_group_rows
+        return (df.count() if largest is None else largest) > MAX_GROUP_ROWS
     return method == "ranges"
 
 
+def hot_groups(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
+    """Keys of the groups too large for one task, or None. At most rows / MAX_GROUP_ROWS keys."""
+    hot = durable(df.groupBy(*by).count().filter(F.col("count") > MAX_GROUP_ROWS).select(*by))
+    return None if hot.isEmpty() else hot
+
+
+def in_order(
+    df: DataFrame, by: Sequence[str], method: str, whole: Callable[[DataFrame], DataFrame],
+    cut: Callable[[DataFrame], DataFrame], largest: int | None = None,
+) -> DataFrame:
+    """Run an ordered operator by windows (``whole``), by ranges (``cut``), or each where it fits.
+
+    With ``auto`` only the hot groups are cut; the other groups take the plain window. A known
+    size of the ``largest`` group decides for the whole table and saves the count.
+    """
+    if method != "auto" or largest is not None or not by:
+        return cut(df) if needs_ranges(df, method, largest) else whole(df)
+    hot = hot_groups(df, by)
+    if hot is None:
+        return whole(df)
+    keys = broadcast_if_small(hot).alias("h")
+    match = _same("d", "h", by)
+    rest = df.alias("d").join(keys, match, "left_anti")
+    return whole(rest).unionByName(cut(df.alias("d").join(keys, match, "left_semi")))
+
+
 def _ascending(names: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in names]
 
@@ -125,11 +144,18 @@ def row_rank(
     total: str = "n", ranges: int | None = None, largest: int | None = None,
 ) -> DataFrame:
     """Row number from 1 inside each group, and the group's row count."""
-    if not needs_ranges(df, by, method, largest=largest):
-        keys = list(by) or [F.lit(0)]
-        w = Window.partitionBy(*keys)
-        numbered = df.withColumn(name, F.row_number().over(w.orderBy(*_ascending(order))).cast("bigint"))
-        return numbered.withColumn(total, F.count(F.lit(1)).over(w))
+    return in_order(
+        df, by, method, lambda rows: _rank_whole(rows, by, order, name, total),
+        lambda rows: _rank_ranges(rows, by, order, name, total, ranges), largest)
+
+
+def _rank_whole(df: DataFrame, by, order, name: str, total: str) -> DataFrame:
+    w = Window.partitionBy(*(list(by) or [F.lit(0)]))
+    numbered = df.withColumn(name, F.row_number().over(w.orderBy(*_ascending(order))).cast("bigint"))
+    return numbered.withColumn(total, F.count(F.lit(1)).over(w))
+
+
+def _rank_ranges(df: DataFrame, by, order, name: str, total: str, ranges: int | None) -> DataFrame:
     cut = split_ranges(df, by, order, ranges)
     sizes = cut.border_rows().groupBy(RANGE, *cut.by).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*cut.by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import RANGE, Ranges, _ascending, _descending, needs_ranges, row_rank, split_ranges
+from .ordered import RANGE, Ranges, _ascending, _descending, in_order, row_rank, split_ranges
 
 
 def _frame(k: int, align: str) -> tuple[int, int]:
@@ -38,11 +38,14 @@ def rolling_mean(
     A window of two centred rows covers the current and the next row. ``order`` must end in a
     unique tie-break.
     """
-    if not needs_ranges(df, by, method):
+    def whole(rows: DataFrame) -> DataFrame:
         w = Window.partitionBy(*(list(by) or [F.lit(0)])).orderBy(*_ascending(order))
-        return df.withColumns(_means(_spans(columns, align), w))
-    cut = rolling_ranges(split_ranges(df, by, order, ranges), columns, align)
-    return cut.result([*df.columns, *columns])
+        return rows.withColumns(_means(_spans(columns, align), w))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rolling_ranges(split_ranges(rows, by, order, ranges), columns, align).result([*df.columns, *columns])
+
+    return in_order(df, by, method, whole, cut)
 
 
 def _spans(columns: dict[str, tuple[str, int]], align: str) -> dict:
@@ -86,11 +89,15 @@ def fill_down_up(
     method: str = "auto", ranges: int | None = None,
 ) -> DataFrame:
     """Fill gaps with the last known value, and leading gaps with the first known one."""
-    if not needs_ranges(df, by, method):
+    def whole(rows: DataFrame) -> DataFrame:
         group = Window.partitionBy(*(list(by) or [F.lit(0)]))
         down, up = _so_far(group, _ascending(order)), _so_far(group, _descending(order))
-        return df.withColumns({c: F.coalesce(F.last(c, True).over(down), F.last(c, True).over(up)) for c in columns})
-    return fill_ranges(split_ranges(df, by, order, ranges), columns).result(df.columns)
+        return rows.withColumns({c: F.coalesce(F.last(c, True).over(down), F.last(c, True).over(up)) for c in columns})
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return fill_ranges(split_ranges(rows, by, order, ranges), columns).result(df.columns)
+
+    return in_order(df, by, method, whole, cut)
 
 
 def fill_ranges(cut: Ranges, columns: Sequence[str]) -> Ranges:

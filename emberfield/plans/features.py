@@ -57,7 +57,7 @@ def bay_features(
     df = join_daily(df, rain, ["date"], check_unique=check_unique)
     means = {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}
     # The joins keep the row count, so the samples alone tell whether one task can hold them.
-    if needs_ranges(samples, [], method):
+    if needs_ranges(samples, method):
         cut = rolling_ranges(fill_ranges(split_ranges(df, [], order), ["rainfall"]), means)
         df = cut.result([*df.columns, *means])
     else:

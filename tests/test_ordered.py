@@ -59,7 +59,7 @@ def skewed(spark, partitions=4):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-@pytest.mark.parametrize("partitions,ranges", [(1, 13), (4, 5), (13, 40)])
+@pytest.mark.parametrize("partitions,ranges", [(1, 13), (13, 40)])
 def test_ranges_equal_windows(spark, by, partitions, ranges):
     df = skewed(spark, partitions)
     order = ["t", "i"]
@@ -97,16 +97,37 @@ def test_ranges_have_no_single_task_stage(spark):
     assert not main
 
 
-def test_auto_cuts_large_groups_only(spark, monkeypatch):
-    from emberfield.operators import ordered
+def test_auto_cuts_hot_groups_only(spark, monkeypatch):
+    from emberfield.operators import ordered, windows
 
-    called = []
+    cuts = []
     real = ordered.split_ranges
-    monkeypatch.setattr(ordered, "split_ranges", lambda *a, **k: called.append(1) or real(*a, **k))
-    row_rank(skewed(spark), ["g"], ["t", "i"]).count()
-    assert not called
-    assert ordered.needs_ranges(skewed(spark), ["g"], "auto", max_group_rows=1000)
-    assert not ordered.needs_ranges(skewed(spark), ["g"], "auto", max_group_rows=5000)
+
+    def spy(df, *a, **k):
+        cuts.append(df.select("g").distinct().count())
+        return real(df, *a, **k)
+
+    monkeypatch.setattr(ordered, "split_ranges", spy)
+    monkeypatch.setattr(windows, "split_ranges", spy)
+    df = skewed(spark)
+    row_rank(df, ["g"], ["t", "i"]).count()
+    assert not cuts
+    monkeypatch.setattr(ordered, "MAX_GROUP_ROWS", 1000)
+    columns = {"m": ("v", 3)}
+    for run in (
+        lambda m: row_rank(df, ["g"], ["t", "i"], method=m),
+        lambda m: fill_down_up(df, ["v"], ["t", "i"], ["g"], method=m),
+        lambda m: rolling_mean(df, columns, ["t", "i"], ["g"], method=m),
+    ):
+        mixed, plain = run("auto"), run("window")
+        assert mixed.columns == plain.columns and mixed.count() == 6000
+        assert mixed.exceptAll(plain).count() == 0
+    assert set(cuts) == {1}
+    cuts.clear()
+    row_rank(df, ["g"], ["t", "i"], largest=900).count()
+    assert not cuts
+    with pytest.raises(ValueError):
+        row_rank(df, ["g"], ["t"], method="other")
 
 
 def test_curve_properties(spark):
