@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from math import lgamma
 
 import numpy as np
 from pyspark import StorageLevel
@@ -87,7 +88,7 @@ class Fit:
 
     def draws(self, n_draws: int = 1000, seed: int = 0) -> Draws:
         rng = np.random.default_rng(seed)
-        slopes = rng.multivariate_normal(self.slopes, self.slopes_cov, size=n_draws, method="cholesky") if len(
+        slopes = rng.multivariate_normal(self.slopes, self.slopes_cov, size=n_draws, method="eigh") if len(
             self.slopes
         ) else np.zeros((n_draws, 0))
         center = self.center_intercept + np.sqrt(self.center_var) * rng.standard_normal(n_draws)
@@ -133,10 +134,28 @@ def _update_sds(b: np.ndarray, V: np.ndarray, blocks: list[str], sds: dict[str,
     return out
 
 
+def _inverse(A: np.ndarray) -> np.ndarray:
+    """Inverse of a positive definite matrix; collinear columns share their weight."""
+    scale = np.sqrt(np.diag(A))
+    scale = np.where(scale > 0, scale, 1.0)
+    R = A / np.outer(scale, scale)
+    try:
+        L = np.linalg.cholesky(R)
+        sound = L.size == 0 or np.diag(L).min() > 1e-6
+    except np.linalg.LinAlgError:
+        sound = False
+    if sound:
+        half = np.linalg.inv(L)
+        inverse = half.T @ half
+    else:
+        inverse = np.linalg.pinv(R, rcond=1e-10, hermitian=True)
+    return inverse / np.outer(scale, scale)
+
+
 def _solve(Sxx, Sxy, n, ybar, sigma2, P, prior_sd):
     """Mode and covariance of the slopes, and of the intercept at the predictor means."""
     A = Sxx / sigma2 + np.diag(P)
-    V = np.linalg.pinv(A, hermitian=True)
+    V = _inverse(A)
     b = V @ (Sxy / sigma2)
     weight = n / sigma2 + (0.0 if np.isinf(prior_sd) else prior_sd**-2)
     return b, V, (n * ybar / sigma2) / weight, 1.0 / weight
@@ -206,8 +225,6 @@ def _student_pass(beta: np.ndarray, sigma: float, nu: float, grid: np.ndarray):
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    from math import lgamma
-
     return np.array([lgamma(v) for v in np.atleast_1d(x)])
 
 
@@ -268,7 +285,7 @@ def fit_student(
         rows.unpersist()
     # Curvature at the mode: each row informs (nu + 1) / (nu + 3) as much as a Gaussian one.
     info = (dof + 1.0) / (dof + 3.0)
-    V = np.linalg.pinv(info * Sxx0 / sigma**2 + np.diag(_precision(blocks, sds, prior_sd)), hermitian=True)
+    V = _inverse(info * Sxx0 / sigma**2 + np.diag(_precision(blocks, sds, prior_sd)))
     center = beta[0] + m0 @ b
     va = 1.0 / (info * n0 / sigma**2 + (0.0 if np.isinf(prior_sd) else prior_sd**-2))
     return Fit(

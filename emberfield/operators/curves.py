@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, durable
 from .clean import clip_range
+from .ordered import ALL
 from .quantiles import group_quantiles
 
 
@@ -23,6 +24,9 @@ def density_curve(
     minimum, so the kernel sum runs over a group's bins, never over its rows. A single value has no density, so
     groups of one are left out. Columns: keys, x, density.
     """
+    grouped, by = bool(by), list(by)
+    if not grouped:
+        df, by = df.withColumn(ALL, F.lit(0)), [ALL]
     # Missing values fall out of the aggregates; a filter would evaluate the value expression twice.
     rows = clip_range(df, value, *clip).select(*by, F.col(value).alias("_v"))
     extra = {"_sd": F.stddev("_v"), "_min": F.min("_v"), "_max": F.max("_v")}
@@ -58,4 +62,4 @@ def density_curve(
     kernel = F.sum(F.col("_c") * F.exp(-0.5 * u * u))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
     curve = points.groupBy(*by, "_n", "_h", "_lo", "_step", "_i").agg(kernel.alias("_k"))
-    return curve.select(*by, x.alias("x"), (F.col("_k") / norm).alias("density"))
+    return curve.select(*(by if grouped else []), x.alias("x"), (F.col("_k") / norm).alias("density"))

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only after its row count was checked against this bound.
-BROADCAST_ROWS = 200_000
+# A side is broadcast only after its size, rows times columns, was checked against this bound.
+BROADCAST_CELLS = 1_000_000
 
 
 def build_session(app: str = "emberfield", master: str | None = None, **conf) -> SparkSession:
@@ -54,10 +54,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else let Spark choose.
+def broadcast_if_small(df: DataFrame, max_cells: int = BROADCAST_CELLS) -> DataFrame:
+    """Hint a broadcast when ``df`` holds at most ``max_cells`` values, else let Spark choose.
 
     Beyond the bound Spark sorts or hashes both sides, and adaptive execution splits hot keys.
     """
+    max_rows = max_cells // max(1, len(df.columns))
     small = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df

@@ -236,3 +236,11 @@ def test_conditional_effects(spark):
     levels = out[out.effect == "impact"].set_index("level").value
     assert levels["high"] - levels["zero"] == pytest.approx(0.7, abs=0.02)
     assert ((out.lower <= out.value) & (out.value <= out.upper)).all()
+
+
+def test_collinear_columns_do_not_break_the_fit(spark):
+    df, pdf, _ = simulated(spark, 400)
+    fit = fit_lognormal(df.withColumns({"v": F.exp("y"), "a2": F.col("a")}), "v", {"linear": ["a", "a2"]}, prior_sd=FLAT)
+    slope = np.polyfit(pdf.a, pdf.y, 1)[0]
+    assert fit.beta[1] + fit.beta[2] == pytest.approx(slope, abs=1e-6)
+    assert np.isfinite(fit.draws(50).beta).all()

@@ -220,3 +220,32 @@ def test_stack(spark):
     pred = spark.createDataFrame([(1, 0, 3.0), (1, 1, 4.0)], "id int, draw_id int, value double")
     rows = stack_observed_predicted(obs, pred, "y", ["id"]).collect()
     assert sorted((r["type"], r["value"]) for r in rows) == [("Observed", 2.0), ("Predicted", 3.0), ("Predicted", 4.0)]
+
+
+def test_large_sides_are_not_broadcast(spark):
+    from emberfield.session import broadcast_if_small
+
+    small, large = spark.range(10), spark.range(1000)
+    assert "broadcast" in broadcast_if_small(small, 100)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in broadcast_if_small(large, 100)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_sides_beyond_the_bound_give_the_same_rows(spark, monkeypatch):
+    """Without any broadcast, hot keys and missing keys join as before."""
+    from emberfield import session
+    from emberfield.operators import joins, quantiles
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plain = lambda df, *a: df
+        monkeypatch.setattr(joins, "broadcast_if_small", plain)
+        monkeypatch.setattr(quantiles, "broadcast_if_small", plain)
+        obs = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+        dim = obs.groupBy("k").agg(F.max("id").alias("v"))
+        out = join_daily(obs, dim, ["k"])
+        assert out.count() == 3000 and out.filter("k = 'hot'").agg(F.min("v")).first()[0] == 2997
+        q = group_quantiles(obs, ["k"], "id", [0.5], "bracketed", accuracy=50).filter("k = 'hot'").first()["q"][0]
+        assert q == pytest.approx(1498.5)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert session.BROADCAST_CELLS > 0
