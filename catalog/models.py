@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from emberfield.model.design import design, learn_levels, learn_smooths, terms
 from emberfield.model.effects import conditional_effects, effect_grid
 from emberfield.model.fit import Draws, fit_hurdle_lognormal, fit_lognormal, fit_student
 from emberfield.model.gram import gram, gram_sql
-from emberfield.operators.categorical import lookup
+from emberfield.operators.categorical import impact_window, lookup
 from emberfield.operators.clean import filter_window
 from emberfield.operators.joins import paired_contrast, packed_contrast
 from emberfield.operators.ordered import largest_group
@@ -357,6 +359,34 @@ def site_effects(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double")
 
 
+@query("fitted_contrast")
+def fitted_contrast(spark, d):
+    """Fit, draw, predict the window with and without the event, and summarise by impact level."""
+    obs = impacted(spark, d).filter(F.col("count") > 0).withColumn("y", F.log10("count"))
+    before = F.col("ts") < F.lit(dt.date.fromisoformat(WINDOW_START))
+    obs = obs.withColumn("impact", F.when(before, F.lit("zero")).otherwise(F.col("impact")))
+    draws = fit_student(obs, "y", SPEC).draws(50, seed=SEED)
+    window = filter_window(obs, "ts", WINDOW_START, WINDOW_END)
+    p = predict_scenarios(window.select("obs_id", "date", "impact", "day_part"), SPEC, draws, "student", "obs_id", "impact", "date", seed=SEED, packed=False)
+    return interval_table(window, p, "y", "impact", pow10("value"), largest=50 * window.count())
+
+
+@query("fitted_exceedance")
+def fitted_exceedance(spark, d):
+    """Hurdle fit on scaled discounts with a smooth; share of draws over a level by month and impact."""
+    li = scale_by_max(table(spark, d, "lineitem"), ["l_discount"])
+    li = li.withColumns({
+        "obs_id": F.concat_ws("-", *LINES), "date": F.col("l_shipdate").cast("date"),
+        "impact": impact_window("l_shipdate", "1998-07-14", "1998-11-30"),
+    })
+    spec = {"linear": ["l_tax"], "factors": {"impact": ["zero", "high"]}, "smooths": learn_smooths(li, ["l_quantity"], knots=3)}
+    fit = fit_hurdle_lognormal(li, "l_discount_scaled", spec)
+    window = filter_window(li, "l_shipdate", "1998-07-14", "1998-11-30")
+    obs = window.select("obs_id", "date", "impact", "l_tax", "l_quantity", "l_discount_max", F.month("date").alias("month"))
+    p = predict_scenarios(obs, spec, fit.draws(100, seed=SEED), fit.family, "obs_id", "impact", "date", seed=SEED)
+    return exceedance_table(p, ["month", "impact"], "l_discount_max", 0.08)
+
+
 # ---------------------------------------------------------------- conditional effects
 
 EFFECT_SPEC = {"linear": ["l_quantity", "l_tax"], "factors": {"l_returnflag": ["N", "A", "R"]}}

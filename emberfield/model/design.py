@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quantiles import group_quantiles
 
-# A factor of the reference analyses has at most a dozen or so levels; far beyond that the
+# A factor has a dozen or so levels as a rule; far beyond that the
 # normal equations on the driver stop being small.
 MAX_LEVELS = 1_000
 

@@ -23,6 +23,8 @@ from .gram import collect_vector, gram_matrix, joint_products, pack_blocks, squa
 
 # Degrees of freedom tried for the Student-t family; its prior is gamma(2, 0.1).
 NU_GRID = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
+# Rounds in which the degrees of freedom may still move.
+NU_ROUNDS = 20
 # Fewer rows than this are not worth spreading.
 SPREAD_ROWS = 100_000
 # Driver-side updates of the block spreads between two passes.
@@ -262,7 +264,8 @@ def fit_student(
             flat, _ = collect_vector(sum_block_statistics(rows, _student_pass(beta, sigma, dof, grid)))
             Gw = flat[: size * size].reshape(size, size)
             nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(Gw)
-            dof = float(grid[int(np.argmax(constant + prior + flat[size * size:]))])
+            if used <= NU_ROUNDS:  # then it rests, so that it cannot swing between two values
+                dof = float(grid[int(np.argmax(constant + prior + flat[size * size:]))])
             # Block spreads settle on the driver for these sums; a pass over the data costs more.
             for _ in range(SETTLE if len(b) <= 200 else 5):
                 b, V, a, va = _solve(Sxx, Sxy, nw, ybar, sigma**2, _precision(blocks, sds, prior_sd), prior_sd)
