@@ -292,12 +292,12 @@ def design_matrix(spark, d):
 
 GRAM_COLUMNS = ["one", "l_quantity", "l_discount", "l_tax", "y"]
 GRAM_SQL = "WITH g AS (SELECT 1e0 AS one, l_quantity, l_discount, l_tax, ln(l_extendedprice) AS y FROM lineitem WHERE l_extendedprice > 0)\n" + "\nUNION ALL\n".join(
-    f"SELECT CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, {rq(f'sum({GRAM_COLUMNS[i]} * {GRAM_COLUMNS[j]})', 5)} AS value FROM g"
+    f"SELECT CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, {rq(f'sum({GRAM_COLUMNS[i]} * {GRAM_COLUMNS[j]})', 4)} AS value FROM g"
     for i in range(5) for j in range(i, 5))
 
 
 def gram_rows(df):
-    return df.select(F.col("i").cast("bigint"), F.col("j").cast("bigint"), r("value", 5).alias("value"))
+    return df.select(F.col("i").cast("bigint"), F.col("j").cast("bigint"), r("value", 4).alias("value"))
 
 
 @query("gram_sums", GRAM_SQL)
