@@ -11,6 +11,7 @@ from .common import table
 from .content_sort import exact_groups
 from .decontaminate import contamination
 from .mixing import mix_sources
+from .recompression import drop_repeated_passages
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +73,20 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 def op8(spark, folder):
     out = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return out.withColumnRenamed("id", "doc_id").drop("spans")
+
+
+def _covered_sql(window: int) -> str:
+    """Words covered by a window that also starts earlier, from scratch."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, list_slice(w, i, i + {window - 1}) AS g FROM d, unnest(range(1, len(w) - {window - 2})) x(i) WHERE len(w) >= {window}),
+late AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM late, unnest(range(i, i + {window})) x(p)),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(e.x, ' ' ORDER BY e.p) AS t FROM (SELECT doc_id, p, w[p] AS x FROM d, unnest(range(1, len(w) + 1)) y(p)) e
+    ANTI JOIN gone USING (doc_id, p) GROUP BY e.doc_id)"""
+
+
+@query("op5_substring_dedup", _covered_sql(20) + """
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
+def op5(spark, folder):
+    return drop_repeated_passages(table(spark, folder, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
