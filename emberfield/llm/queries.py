@@ -11,6 +11,7 @@ from .common import table
 from .content_sort import exact_groups
 from .decontaminate import contamination
 from .mixing import mix_sources
+from .near_dup import near_groups
 from .recompression import drop_repeated_passages
 from .url_filter import judge_urls
 
@@ -90,3 +91,16 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) AS BIGINT) - coale
 FROM d LEFT JOIN kept USING (doc_id)""")
 def op5(spark, folder):
     return drop_repeated_passages(table(spark, folder, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_near_dedup", r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) x(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""")
+def op9(spark, folder):
+    return near_groups(table(spark, folder, "documents")).drop("k").withColumnRenamed("id", "doc_id")
