@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .content_sort import exact_groups
 from .decontaminate import contamination
+from .html_text import extract_text
 from .mixing import mix_sources
 from .near_dup import near_groups
+from .quality import held_out, learn_quality, score_quality
 from .recompression import drop_repeated_passages
+from .secret_scan import digest, scan_secrets
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +107,20 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS componen
 FROM d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""")
 def op9(spark, folder):
     return near_groups(table(spark, folder, "documents")).drop("k").withColumnRenamed("id", "doc_id")
+
+
+@query("op3_quality")
+def op3(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), learn_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op4_secrets")
+def op4(spark, folder):
+    return digest(scan_secrets(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_html_text")
+def op10(spark, folder):
+    return extract_text(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
