@@ -12,14 +12,26 @@ from emberfield.llm.common import table
 from emberfield.llm.content_sort import drop_exact_copies
 from emberfield.llm.decontaminate import drop_contaminated
 from emberfield.llm.mixing import mix_sources
+from emberfield.llm.near_dup import drop_near_copies
+from emberfield.llm.quality import keep_good
 from emberfield.session import ensure_checkpoint_dir
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, scores under a half go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, the document with the smallest id stays."""
     return drop_exact_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays."""
+    return drop_near_copies(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -31,7 +43,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", quality),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
     ("decontamination", decontaminate),
     ("mixing", mixture),
 ]

@@ -16,6 +16,7 @@ from .near_dup import near_groups
 from .quality import held_out, learn_quality, score_quality
 from .recompression import drop_repeated_passages
 from .secret_scan import digest, scan_secrets
+from .suffix_dedup import repeated_spans
 from .url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,10 @@ def op4(spark, folder):
 @query("op10_html_text")
 def op10(spark, folder):
     return extract_text(table(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op1_suffix_dedup", _covered_sql(50).split("\nkept AS")[0].rstrip(",") + """,
+m AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS grp FROM gone)
+SELECT doc_id, min(p) - 1 AS start, max(p) AS "end", count(*) AS n_words FROM m GROUP BY doc_id, grp""")
+def op1(spark, folder):
+    return repeated_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")

@@ -102,7 +102,9 @@ def emit_keys(keys: Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray]]
         many[:-1] = ~first[1:]
         # One row per key asks whether others have it; the rest are known to be repeated and go anywhere.
         state = np.where(first, np.where(many, 1, 0), 2).astype(np.uint8)
-        bucket = np.where(first, key, key + np.arange(len(key)).astype(U64) * U64(0x9E3779B97F4A7C15)) % U64(buckets)
+        # A bucket is a range of keys; keys are hashes, so equal ranges are evenly filled.
+        spread = np.where(first, key, key + np.arange(len(key)).astype(U64) * U64(0x9E3779B97F4A7C15))
+        bucket = (spread >> U64(32)) * U64(buckets) >> U64(32)
         yield from pack(bucket.astype(np.int32), [key, ids, ks, start, count, state])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def emit_keys(keys: Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans whose key has another row, per document."""
+    """Spans whose key has another row, per document: keys are sorted and neighbours compared."""
     key, ids, ks, start, count, state = unpack(blobs_of(batches), CANDIDATE)
     asks = state < 2
     order = np.argsort(key[asks], kind="stable")
