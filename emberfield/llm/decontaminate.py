@@ -42,10 +42,10 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int)
     return rows.select("key", "len", F.expr(_gram("w", "at + 1", "len")).alias("gram"), "item").distinct()
 
 
-def find_hits(rows: DataFrame, windows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def find_hits(rows: DataFrame, windows: DataFrame, keep: list[str], text: str = "text", on_mark: tuple[str, ...] = ()) -> DataFrame:
     """For each row of ``rows`` one mark (``at`` null) and one row per verified window in it.
 
-    Columns: ``keep``, ``n_words``, ``at`` (first word, from 0), ``len``, ``gram``. One pass over the text gives both.
+    Columns: ``keep``, ``on_mark`` (null but for the mark), ``n_words``, ``at`` (first word, from 0), ``len``, ``gram``. One pass over the text gives both.
     """
     grams = durable(windows.select("key", "len", "gram").distinct())
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most n values
@@ -53,13 +53,15 @@ def find_hits(rows: DataFrame, windows: DataFrame, keep: list[str], text: str =
     every = grams.unionByName(mark)
     if grams.count() <= BROADCAST_WINDOWS:
         every = F.broadcast(every)
-    rows = rows.select(*keep, words(F.col(text)).alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
+    carry = [*keep, *on_mark]
+    rows = rows.select(*carry, words(F.col(text)).alias("w")).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     scans = [F.expr(f"transform({_windows(str(k))}, (x, p) -> struct(x AS key, p AS at, {k} AS k))") for k in lengths]
     last = F.array(F.struct(F.xxhash64(F.lit("mark")).alias("key"), F.lit(-1).alias("at"), F.lit(0).alias("k")))
-    rows = rows.select(*keep, "w", F.explode(F.concat(*scans, last)).alias("x"))
-    rows = rows.select(*keep, "w", F.col("x.key").alias("key"), F.col("x.at").alias("at"), F.col("x.k").alias("k"))
+    rows = rows.select(*carry, "w", F.explode(F.concat(*scans, last)).alias("x"))
+    rows = rows.select(*carry, "w", F.col("x.key").alias("key"), F.col("x.at").alias("at"), F.col("x.k").alias("k"))
     hits = rows.join(every, "key").filter(f"k = len AND (at < 0 OR {_gram('w', 'at + 1', 'k')} = gram)")
-    return hits.select(*keep, F.size("w").alias("n_words"), F.expr("nullif(at, -1)").alias("at"), "len", "gram")
+    marked = [F.when(F.col("at") < 0, F.col(c)).alias(c) for c in on_mark]
+    return hits.select(*keep, *marked, F.size("w").alias("n_words"), F.expr("nullif(at, -1)").alias("at"), "len", "gram")
 
 
 def _covered(spans: str) -> str:
@@ -100,21 +102,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_c
     windows = benchmark_windows(benchmark, item_col, item_text, n)
     row, text = fresh(docs.columns, "whole_row"), fresh(docs.columns, "scanned_text")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.monotonically_increasing_id().alias("n"), F.col(text_col).alias(text))
-    hits = find_hits(rows, windows, ["n", row], text)
-    # The mark carries the row; a hit only its number.
-    found = hits.groupBy("n").agg(F.max(F.col("at").isNotNull()).alias("hit"), F.first(F.when(F.col("at").isNull(), F.col(row)), ignorenulls=True).alias(row))
+    hits = find_hits(rows, windows, ["n"], text, (row,))
+    found = hits.groupBy("n").agg(F.max(F.col("at").isNotNull()).alias("hit"), F.first(row, ignorenulls=True).alias(row))
     return found.filter("NOT hit").select(f"{row}.*")
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id`` and ``text``: the text from which the words hit are cut, other characters kept as they are."""
-    found = contamination(docs, benchmark, n, id_col, text_col, item_col, item_text).filter("contaminated").select("id", "spans").distinct()
-    hit = F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(found.withColumn("hit", F.array_distinct(F.flatten(hit))).drop("spans"), "id", "left")
+    windows = benchmark_windows(benchmark, item_col, item_text, n)
+    rows = docs.select(F.monotonically_increasing_id().alias("n"), F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("row"), F.col(text_col).alias("text"))
+    hits = find_hits(rows, windows, ["n"], "text", ("row",))
+    hits = hits.groupBy("n").agg(F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.expr("if(at IS NULL, NULL, sequence(at, at + len - 1))")).alias("hit"))
+    rows = hits.select("row.*", F.array_distinct(F.flatten("hit")).alias("hit"))
     gaps = F.split("text", r"[0-9A-Za-z\x80-\x{10FFFF}]+")
     cut = F.expr(f"""concat(gaps[0], array_join(transform(regexp_extract_all(text, '{WORDS_ANY}', 0),
         (x, i) -> concat(if(array_contains(hit, i), '', x), gaps[i + 1])), ''))""")
-    return rows.withColumn("gaps", gaps).select("id", F.when(F.col("hit").isNull(), F.col("text")).otherwise(cut).alias("text"))
+    return rows.withColumn("gaps", gaps).select("id", F.when(F.size("hit") == 0, F.col("text")).otherwise(cut).alias("text"))
 
 
 WORDS_ANY = r"[0-9A-Za-z\\x80-\\x{10FFFF}]+"
