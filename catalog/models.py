@@ -327,6 +327,31 @@ def lognormal_flat(spark, d):
     return fit_row(spark, fit_lognormal(table(spark, d, "lineitem"), "l_extendedprice", {"linear": ["l_quantity"]}, prior_sd=float("inf")))
 
 
+@query("fit_lognormal_shifted", f"""SELECT {rq('regr_slope(ln(l_extendedprice), l_quantity)', 5)} AS slope, {rq('avg(ln(l_extendedprice))', 5)} AS center,
+count(*) AS n FROM lineitem WHERE l_extendedprice > 0""")
+def lognormal_shifted(spark, d):
+    """The same with a covariate far from zero: slope, and the fit at the mean of the covariate."""
+    li = table(spark, d, "lineitem").withColumn("far", F.col("l_quantity") + 1e7)
+    fit = fit_lognormal(li, "l_extendedprice", {"linear": ["far"]}, prior_sd=float("inf"))
+    return spark.createDataFrame([(float(fit.slopes[0]), fit.center_intercept, fit.rows)], "slope double, center double, n bigint").select(
+        r("slope", 5).alias("slope"), r("center", 5).alias("center"), "n")
+
+
+SITE_SIGMA, SITE_SD = 0.5, 0.2
+
+
+@query("fit_site_intercept", f"""WITH g AS (SELECT c_nationkey AS site, count(*) AS n, avg(ln(c_acctbal)) AS m FROM customer WHERE c_acctbal > 0 GROUP BY 1),
+w AS (SELECT *, n / (n + {SITE_SIGMA}e0 * {SITE_SIGMA}e0 / ({SITE_SD}e0 * {SITE_SD}e0)) AS w FROM g), b AS (SELECT sum(w * m) / sum(w) AS base FROM w)
+SELECT 'site=' || site AS term, {rq('w * (m - base)', 5)} AS estimate FROM w, b UNION ALL SELECT 'intercept', {rq('base', 5)} FROM b""")
+def site_intercept(spark, d):
+    """Site effects with the noise and their spread given: group means, shrunk by their row counts."""
+    c = table(spark, d, "customer").filter(F.col("c_acctbal") > 0)
+    spec = {"site": {"column": "c_nationkey", "levels": learn_levels(c, "c_nationkey")}}
+    fit = fit_lognormal(c, "c_acctbal", spec, prior_sd=float("inf"), fixed={"sigma": SITE_SIGMA, "site": SITE_SD})
+    rows = [(n, float(b)) for n, b in zip(fit.names, fit.beta)]
+    return spark.createDataFrame(rows, "term string, estimate double").select("term", r("estimate", 5).alias("estimate"))
+
+
 @query("fit_hurdle_lognormal", f"""SELECT {rq('regr_intercept(CASE WHEN l_discount > 0 THEN ln(l_discount) END, l_quantity)', 5)} AS intercept,
 {rq('regr_slope(CASE WHEN l_discount > 0 THEN ln(l_discount) END, l_quantity)', 5)} AS slope, count(*) FILTER (WHERE l_discount > 0) AS n,
 {rq('(1e0 + count(*) FILTER (WHERE l_discount = 0)) / (2e0 + count(*))', 5)} AS zero_share FROM lineitem WHERE l_discount >= 0""")

@@ -76,13 +76,19 @@ def terms(spec: Mapping) -> list[Term]:
     return out
 
 
-def complete_rows(df: DataFrame, spec: Mapping) -> DataFrame:
-    """Rows with every predictor present and every factor inside its level list."""
+def is_complete(spec: Mapping) -> Column:
+    """Is every predictor present and every factor inside its level list? Never NULL."""
+    test = F.lit(True)
     for c in [*spec.get("linear", ()), *spec.get("smooths", {})]:
-        df = df.filter(F.col(c).isNotNull())
+        test = test & F.col(c).isNotNull()
     for c, levels in spec.get("factors", {}).items():
-        df = df.filter(F.col(c).isin(list(levels)))
-    return df
+        test = test & F.coalesce(F.col(c).isin(list(levels)), F.lit(False))
+    return test
+
+
+def complete_rows(df: DataFrame, spec: Mapping) -> DataFrame:
+    """Rows with every predictor present and every factor inside its level list."""
+    return df.filter(is_complete(spec))
 
 
 def design(df: DataFrame, spec: Mapping, x: str = "x") -> DataFrame:

@@ -9,6 +9,7 @@ posteriors are not reproduced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from math import lgamma
@@ -18,8 +19,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .design import design, terms
-from .gram import collect_vector, gram_matrix, joint_products, pack_blocks, square, sum_block_statistics
+from .design import design, is_complete, terms
+from .gram import about, check_terms, column_sums, joint_products, pack_blocks, square, sum_blocks, sum_rows
 
 # Degrees of freedom tried for the Student-t family; its prior is gamma(2, 0.1).
 NU_GRID = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
@@ -58,7 +59,11 @@ class Draws:
 
 @dataclass
 class Fit:
-    """A fitted model; it carries the response name and its specification."""
+    """A fitted model; it carries the response name and its specification.
+
+    ``dropped`` counts rows not used: incomplete ones and those whose response the family has no place for.
+    ``converged`` tells whether the last round still moved by more than the tolerance; ``moved`` is how much.
+    """
 
     family: str
     response: str
@@ -77,6 +82,8 @@ class Fit:
     zeros: int = 0
     dropped: int = 0
     rounds: int = 1
+    converged: bool = True
+    moved: float = 0.0
     sds: dict[str, float] = field(default_factory=dict)
 
     @property
@@ -107,14 +114,25 @@ class Fit:
         return Draws(beta, sigma, nu, hu, sd_site)
 
 
-def _pull_apart(G: np.ndarray):
-    """Means and centred sums from [1 X y]'[1 X y]."""
+def _pull_apart(G: np.ndarray, shift: np.ndarray):
+    """Means and centred sums from [1 X y]'[1 X y], where X and y were measured from ``shift``."""
     n = G[0, 0]
     m, ybar = G[0, 1:-1] / n, G[0, -1] / n
     Sxx = G[1:-1, 1:-1] - n * np.outer(m, m)
     Sxy = G[1:-1, -1] - n * m * ybar
     Syy = G[-1, -1] - n * ybar**2
-    return n, m, ybar, Sxx, Sxy, Syy
+    return n, shift[1:-1] + m, shift[-1] + ybar, Sxx, Sxy, Syy
+
+
+def _provisional_means(sums: np.ndarray) -> np.ndarray:
+    """Where the columns are measured from: their means; the intercept stays as it is."""
+    shift = sums / sums[0]
+    shift[0] = 0.0
+    return shift
+
+
+def _not_settled(family: str, moved: float) -> None:
+    warnings.warn(f"the {family} fit still moved by {moved:.2g} in its last round", RuntimeWarning, stacklevel=3)
 
 
 def _block_sds(blocks: list[str]) -> dict[str, float]:
@@ -163,61 +181,78 @@ def _solve(Sxx, Sxy, n, ybar, sigma2, P, prior_sd):
     return b, V, (n * ybar / sigma2) / weight, 1.0 / weight
 
 
-def _gaussian_mode(G: np.ndarray, blocks: list[str], prior_sd: float, rounds: int = 500):
-    n, m, ybar, Sxx, Sxy, Syy = _pull_apart(G)
-    sigma2, sds = max(Syy / n, 1e-12), _block_sds(blocks)
-    for _ in range(rounds):
+def _gaussian_mode(parts, blocks: list[str], prior_sd: float, fixed: Mapping[str, float], rounds: int = 500):
+    """Mode from the output of :func:`_pull_apart`; the last two values are the largest move of the last round and the rounds.
+
+    ``fixed`` holds what is given and not estimated: ``sigma``, or the spread of a block by its name.
+    """
+    n, m, ybar, Sxx, Sxy, Syy = parts
+    sigma2 = fixed["sigma"] ** 2 if "sigma" in fixed else max(Syy / n, 1e-12)
+    sds = {k: fixed.get(k, v) for k, v in _block_sds(blocks).items()}
+    for used in range(1, rounds + 1):
         P = _precision(blocks, sds, prior_sd)
         b, V, a, va = _solve(Sxx, Sxy, n, ybar, sigma2, P, prior_sd)
         edf = 1.0 + float(np.trace(V @ Sxx)) / sigma2
         rss = Syy - 2 * b @ Sxy + b @ Sxx @ b + n * (ybar - a) ** 2
-        fresh, sds = max(rss / max(n - edf, 1.0), 1e-12), _update_sds(b, V, blocks, sds)
-        done = abs(fresh - sigma2) < 1e-12 * sigma2
+        fresh = sigma2 if "sigma" in fixed else max(rss / max(n - edf, 1.0), 1e-12)
+        old, sds = sds, {k: fixed.get(k, v) for k, v in _update_sds(b, V, blocks, sds).items()}
+        moved = max([abs(fresh - sigma2) / sigma2, *(abs(sds[k] - old[k]) / sds[k] for k in sds)])
         sigma2 = fresh
-        if done:
+        if moved < 1e-10:
             break
-    return b, V, a, va, m, float(np.sqrt(sigma2)), edf, sds
+    return b, V, a, va, m, float(np.sqrt(sigma2)), edf, sds, moved, used
 
 
-def _counts(df: DataFrame, response: str) -> tuple[int, int, int]:
+def _counts(df: DataFrame, response: str, spec: Mapping) -> tuple[int, int, int]:
+    """Complete rows above zero, those at zero, and all rows."""
+    whole = is_complete(spec)
     row = df.agg(
-        F.count_if(F.col(response) > 0).alias("pos"), F.count_if(F.col(response) == 0).alias("zero"),
-        F.count_if(F.col(response) < 0).alias("neg"),
+        F.count_if(whole & (F.col(response) > 0)).alias("pos"), F.count_if(whole & (F.col(response) == 0)).alias("zero"),
+        F.count("*").alias("all"),
     ).first()
-    return row["pos"], row["zero"], row["neg"]
+    return row["pos"], row["zero"], row["all"]
 
 
-def _fit_log(df: DataFrame, response: str, spec: Mapping, prior_sd: float, family: str) -> Fit:
+def _fit_log(df: DataFrame, response: str, spec: Mapping, prior_sd: float, family: str, fixed: Mapping[str, float] | None) -> Fit:
     parts = terms(spec)
-    rows = design(df, spec)
-    positive, zeros, negative = _counts(rows, response)
-    logged = rows.filter(F.col(response) > 0).select("x", F.log(response).alias("y"))
+    check_terms(len(parts) + 1)
+    positive, zeros, every = _counts(df, response, spec)
+    logged = design(df, spec).filter(F.col(response) > 0).select("x", F.log(response).alias("y"))
     blocks = [t.block for t in parts][1:]
-    b, V, a, va, m, sigma, edf, sds = _gaussian_mode(gram_matrix(logged), blocks, prior_sd)
+    shift = _provisional_means(sum_rows(logged, "x", "y", column_sums)[0])
+    G = square(sum_rows(logged, "x", "y", lambda Z: joint_products(about(shift, Z)), len(shift) ** 2)[0])
+    b, V, a, va, m, sigma, edf, sds, moved, used = _gaussian_mode(_pull_apart(G, shift), blocks, prior_sd, fixed or {})
+    if moved >= 1e-6:
+        _not_settled(family, moved)
     hurdle = family == "hurdle_lognormal"
     return Fit(
         family, response, spec, [t.name for t in parts], blocks, b, V, a, va, m, sigma, positive, edf,
-        zeros=zeros if hurdle else 0, dropped=negative if hurdle else negative + zeros, sds=sds,
+        zeros=zeros if hurdle else 0, dropped=every - positive - (zeros if hurdle else 0), sds=sds, rounds=used,
+        converged=moved < 1e-6, moved=moved,
     )
 
 
-def fit_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0) -> Fit:
-    """Lognormal regression from one pass of sums. Values at or below zero are dropped and counted."""
-    return _fit_log(df, response, spec, prior_sd, "lognormal")
+def fit_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0, fixed: Mapping[str, float] | None = None) -> Fit:
+    """Lognormal regression from two passes of sums. Values at or below zero are dropped and counted.
+
+    ``fixed`` gives ``sigma``, or the spread of a block such as ``site``, instead of estimating it.
+    """
+    return _fit_log(df, response, spec, prior_sd, "lognormal", fixed)
 
 
-def fit_hurdle_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0) -> Fit:
+def fit_hurdle_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0, fixed: Mapping[str, float] | None = None) -> Fit:
     """Lognormal regression of the positive values with a constant probability of zero.
 
     That probability has a uniform prior, so its draws are Beta(1 + zeros, 1 + positives).
     """
-    return _fit_log(df, response, spec, prior_sd, "hurdle_lognormal")
+    return _fit_log(df, response, spec, prior_sd, "hurdle_lognormal", fixed)
 
 
-def _student_pass(beta: np.ndarray, sigma: float, nu: float, grid: np.ndarray):
-    """Weighted sums at the current fit, and the kernel of the log-likelihood for each grid nu."""
+def _student_pass(beta: np.ndarray, sigma: float, nu: float, grid: np.ndarray, shift: np.ndarray):
+    """Weighted sums about ``shift`` at the current fit (``beta`` belongs to columns so measured), and the kernel of the log-likelihood for each grid nu."""
 
     def statistic(Z: np.ndarray) -> np.ndarray:
+        Z = about(shift, Z)
         r2 = ((Z[:, -1] - Z[:, :-1] @ beta) / sigma) ** 2
         w = (nu + 1.0) / (nu + r2)
         kernel = -0.5 * (grid + 1.0) * np.log1p(r2[:, None] / grid).sum(axis=0)
@@ -236,38 +271,46 @@ def fit_student(
 ) -> Fit:
     """Student-t regression by re-weighted sums: one pass over a cached design per round.
 
-    ``nu`` is the posterior mode on a small grid unless it is given.
+    ``nu`` is the posterior mode on a small grid unless it is given. A fit that is not settled after ``rounds`` says so:
+    see ``converged`` and ``moved``.
     """
     parts = terms(spec)
+    check_terms(len(parts) + 1)
     blocks = [t.block for t in parts][1:]
+    every = df.count()
     rows = design(df, spec).filter(F.col(response).isNotNull())
     rows = pack_blocks(rows, "x", response).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        flat, tasks = collect_vector(sum_block_statistics(rows, joint_products))
-        G0 = square(flat)
+        sums, tasks = sum_blocks(rows, column_sums, 0)
+        shift = _provisional_means(sums)
         cores = df.sparkSession.sparkContext.defaultParallelism
-        if tasks < cores and G0[0, 0] >= SPREAD_ROWS:
+        if tasks < cores and sums[0] >= SPREAD_ROWS:
             # Too few pieces for the cores: one shuffle now pays off over the rounds to come.
             wide = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
             wide.count()
             rows.unpersist()
             rows = wide
-        b, V, a, va, m, sigma, edf, sds = _gaussian_mode(G0, blocks, prior_sd)
-        n0, m0, _, Sxx0, _, _ = _pull_apart(G0)
+        G0 = square(sum_blocks(rows, lambda Z: joint_products(about(shift, Z)), len(shift) ** 2)[0])
+        apart = _pull_apart(G0, shift)
+        b, V, a, va, m, sigma, edf, sds, _, _ = _gaussian_mode(apart, blocks, prior_sd, {})
+        n0, m0, _, Sxx0, _, _ = apart
+        spread = np.sqrt(np.diag(Sxx0) / n0)
         grid = np.array(NU_GRID if nu is None else (nu,))
         constant = n0 * (_log_gamma((grid + 1) / 2) - _log_gamma(grid / 2) - 0.5 * np.log(grid))
         prior = np.log(grid) - 0.1 * grid
         dof = float(grid[len(grid) // 2])
         size = len(parts) + 1
-        beta = np.concatenate([[a - m @ b], b])
+        center = a + (m0 - m) @ b  # the fit at the means of all rows
         for used in range(1, rounds + 1):
-            flat, _ = collect_vector(sum_block_statistics(rows, _student_pass(beta, sigma, dof, grid)))
-            Gw = flat[: size * size].reshape(size, size)
-            nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(Gw)
+            # Columns are measured from the shift; m0 lies within rounding of it.
+            beta = np.concatenate([[center - shift[-1] + (shift[1:-1] - m0) @ b], b])
+            flat, _ = sum_blocks(rows, _student_pass(beta, sigma, dof, grid, shift), size * size)
+            nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(flat[: size * size].reshape(size, size), shift)
             if used <= NU_ROUNDS:  # then it rests, so that it cannot swing between two values
                 dof = float(grid[int(np.argmax(constant + prior + flat[size * size:]))])
             # Block spreads settle on the driver for these sums; a pass over the data costs more.
-            for _ in range(SETTLE if len(b) <= 200 else 5):
+            before, old_b, old_center, old_sigma = dict(sds), b, center, sigma
+            for _ in range(SETTLE):
                 b, V, a, va = _solve(Sxx, Sxy, nw, ybar, sigma**2, _precision(blocks, sds, prior_sd), prior_sd)
                 old, sds = sds, _update_sds(b, V, blocks, sds)
                 if all(abs(sds[k] - old[k]) < 1e-6 * sds[k] for k in sds):
@@ -276,22 +319,24 @@ def fit_student(
             rss = Syy - 2 * b @ Sxy + b @ Sxx @ b + nw * (ybar - a) ** 2
             # The last factor is one at the solution; with it the rounds converge much faster.
             pace = (n0 + edf / dof) / nw
-            fresh = float(np.sqrt(max(pace * rss / max(n0 - edf, 1.0), 1e-12)))
-            new_beta = np.concatenate([[a - m @ b], b])
+            sigma = float(np.sqrt(max(pace * rss / max(n0 - edf, 1.0), 1e-12)))
+            center = a + (m0 - m) @ b
             # On the scale of the noise, so that badly scaled columns do not stop it early or late.
-            moved = np.max(np.abs(new_beta - beta) * np.sqrt(np.diag(Gw)[:-1] / nw)) / fresh
-            moved = max(moved, abs(fresh - sigma) / fresh)
-            beta, sigma = new_beta, fresh
+            moved = max([
+                abs(center - old_center) / sigma, *(np.abs(b - old_b) * spread / sigma), abs(sigma - old_sigma) / sigma,
+                *(abs(sds[k] - before[k]) / sds[k] for k in sds),
+            ])
             if moved < tol:
                 break
+        if moved >= tol:
+            _not_settled("student", moved)
     finally:
         rows.unpersist()
     # Curvature at the mode: each row informs (nu + 1) / (nu + 3) as much as a Gaussian one.
     info = (dof + 1.0) / (dof + 3.0)
     V = _inverse(info * Sxx0 / sigma**2 + np.diag(_precision(blocks, sds, prior_sd)))
-    center = beta[0] + m0 @ b
     va = 1.0 / (info * n0 / sigma**2 + (0.0 if np.isinf(prior_sd) else prior_sd**-2))
     return Fit(
-        "student", response, spec, [t.name for t in parts], blocks, b, V, float(center), va, m0, sigma, int(n0), edf,
-        nu=dof, sds=sds, rounds=used,
+        "student", response, spec, [t.name for t in parts], blocks, b, V, float(center), va, m0, sigma, int(round(n0)), edf,
+        nu=dof, sds=sds, rounds=used, dropped=every - int(round(n0)), converged=bool(moved < tol), moved=float(moved),
     )

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # The driver holds a p x p matrix and solves it.
 MAX_TERMS = 2_000
 SQL_TERMS = 12
+# Vectors of more numbers than this are added in a few groups before they go to the driver.
+SHORT_VECTOR, GROUPS = 2_048, 32
 
 
 # Rows are packed into blocks of about this many bytes for repeated passes.
@@ -69,29 +71,73 @@ def pack_blocks(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return df.select(x, F.col(y).cast("double").alias(y)).mapInArrow(work, "block binary, width int")
 
 
-def sum_block_statistics(blocks: DataFrame, statistic: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """:func:`sum_statistics` over packed blocks."""
+def _summed(vectors: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sum of a task's vectors as one binary row; the last number counts the tasks that had rows."""
+    total = None
+    for v in vectors:
+        total = v if total is None else total + v
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["vector"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _summed(np.frombuffer(v.as_buffer(), dtype=np.float64) for b in batches for v in b.column(0))
+
+
+def collect_sum(df: DataFrame, statistics: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], length: int) -> tuple[np.ndarray, int]:
+    """Sum over all rows of the vectors ``statistics`` gives, on the driver, and the number of tasks that had rows.
+
+    Each task sends one vector of ``length`` numbers; long ones are added in groups before they reach the driver.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[np.ndarray]:
+            one = 1.0
+            for v in statistics(batches):
+                yield np.append(v, one)
+                one = 0.0
+
+        return _summed(counted())
+
+    sums = df.mapInArrow(work, "vector binary")
+    if length > SHORT_VECTOR:
+        sums = sums.repartition(GROUPS).mapInArrow(_add, "vector binary")
+    rows = [np.frombuffer(r[0], dtype=np.float64) for r in sums.collect()]
+    if not rows:
+        raise ValueError("no complete rows to fit")
+    total = np.sum(rows, axis=0)
+    return total[:-1], int(round(total[-1]))
+
+
+def sum_blocks(blocks: DataFrame, statistic: Callable[[np.ndarray], np.ndarray], length: int) -> tuple[np.ndarray, int]:
+    """:func:`collect_sum` of ``statistic([X y])`` over packed blocks."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             for block, width in zip(batch.column(0), batch.column(1)):
                 yield statistic(np.frombuffer(block.as_buffer(), dtype=np.float64).reshape(-1, width.as_py()))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _totals(parts(batches))
+    return collect_sum(blocks, parts, length)
 
-    return blocks.mapInArrow(work, TOTALS).groupBy("pos").agg(F.sum("value").alias("value"))
 
+def sum_rows(df: DataFrame, x: str, y: str, statistic: Callable[[np.ndarray], np.ndarray], length: int = 0) -> tuple[np.ndarray, int]:
+    """:func:`collect_sum` of ``statistic([X y])`` over rows."""
+    rows = df.select(x, F.col(y).cast("double").alias(y))
+    return collect_sum(rows, lambda batches: (statistic(_joined(b)) for b in batches if b.num_rows), length)
+
+
+def column_sums(Z: np.ndarray) -> np.ndarray:
+    return Z.sum(axis=0)
 
-def collect_vector(sums: DataFrame) -> tuple[np.ndarray, int]:
-    """The summed vector on the driver, and the number of tasks that had rows."""
-    rows = sums.collect()  # one row per statistic, (p + 1)^2 of them
-    if not rows:
-        raise ValueError("no complete rows to fit")
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r["pos"]] = r["value"]  # position -1 is the last place
-    return out[:-1], int(out[-1])
+
+def about(shift: np.ndarray, Z: np.ndarray) -> np.ndarray:
+    """[X y] with the columns measured from ``shift``, so that sums of squares keep their digits; the intercept stays one."""
+    return Z - shift
+
+
+def check_terms(p: int) -> None:
+    if p > MAX_TERMS:
+        raise ValueError(f"{p} terms, at most {MAX_TERMS} are supported")
 
 
 def joint_products(Z: np.ndarray) -> np.ndarray:
@@ -105,8 +151,7 @@ def gram(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     if not size:
         return df.sparkSession.createDataFrame([], "i int, j int, value double")
     p = size[0]["w"]
-    if p > MAX_TERMS:
-        raise ValueError(f"{p} terms, at most {MAX_TERMS} are supported")
+    check_terms(p)
     sums = sum_statistics(df, x, y, joint_products).filter("pos >= 0")
     i, j = F.floor(F.col("pos") / p).cast("int"), (F.col("pos") % p).cast("int")
     return sums.select(i.alias("i"), j.alias("j"), "value").filter("i <= j")
@@ -131,4 +176,4 @@ def square(flat: np.ndarray) -> np.ndarray:
 
 def gram_matrix(df: DataFrame, x: str = "x", y: str = "y") -> np.ndarray:
     """[X y]'[X y] on the driver."""
-    return square(collect_vector(sum_statistics(df, x, y, joint_products))[0])
+    return square(sum_rows(df, x, y, joint_products)[0])

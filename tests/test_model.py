@@ -244,3 +244,35 @@ def test_collinear_columns_do_not_break_the_fit(spark):
     slope = np.polyfit(pdf.a, pdf.y, 1)[0]
     assert fit.beta[1] + fit.beta[2] == pytest.approx(slope, abs=1e-6)
     assert np.isfinite(fit.draws(50).beta).all()
+
+
+def test_large_means_keep_their_digits(spark):
+    """A column far from zero gives the slope of the same column about zero."""
+    rng = np.random.default_rng(11)
+    n = 20_000
+    x, noise = rng.standard_normal(n), 0.1 * rng.standard_normal(n)
+    fits = {}
+    for mean in (0.0, 1e5, 1e7):
+        rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x + mean, 1 + 0.5 * x + noise)], "a double, y double")
+        rows = rows.withColumn("v", F.exp("y")).repartition(3)
+        fits[mean] = (fit_lognormal(rows, "v", {"linear": ["a"]}), fit_student(rows, "y", {"linear": ["a"]}, nu=5.0))
+    for mean in (1e5, 1e7):
+        for one, far in zip(fits[0.0], fits[mean]):
+            assert far.slopes[0] == pytest.approx(one.slopes[0], abs=1e-6) and far.sigma == pytest.approx(one.sigma, abs=1e-6)
+            assert far.center_intercept == pytest.approx(one.center_intercept, abs=1e-6) and far.converged
+
+
+def test_unsettled_fits_say_so(spark):
+    rows = spark.createDataFrame([(float(i % 7), float(i % 5) ** 3) for i in range(200)], "a double, y double")
+    with pytest.warns(RuntimeWarning):
+        fit = fit_student(rows, "y", {"linear": ["a"]}, rounds=1)
+    assert not fit.converged and fit.moved > 0
+
+
+def test_incomplete_rows_are_counted(spark):
+    rows = [(1.0, "x", 1.0), (None, "x", 2.0), (2.0, "other", 3.0), (3.0, "y", 4.0), (4.0, "y", 5.0), (1.0, None, 1.0), (1.0, "x", None)]
+    df = spark.createDataFrame(rows, "a double, f string, v double")
+    spec = {"linear": ["a"], "factors": {"f": ["x", "y"]}}
+    for fit in (fit_lognormal, fit_hurdle_lognormal, fit_student):
+        got = fit(df, "v", spec)
+        assert (got.rows, got.dropped) == (3, 4)
