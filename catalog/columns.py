@@ -172,6 +172,32 @@ def impact_inside(spark, d):
     return samples(spark, d).select("obs_id", impact_window("date", WINDOW_START, WINDOW_END).alias("impact"))
 
 
+# The same with gaps: a missing date or code stays missing.
+GAP = "obs_id % 97 = 0"
+
+
+def gapped(df, column: str, key: str = "obs_id"):
+    return df.withColumn(column, F.when(F.col(key) % 97 != 0, F.col(column)))
+
+
+@query("impact_since_gaps", f"""SELECT obs_id, CASE WHEN {GAP} THEN NULL WHEN date < DATE '2024-01-15' THEN 'zero' WHEN kind = 'purchase' THEN 'high'
+WHEN kind = 'view' THEN 'low' ELSE {case_sql('kind', KIND_IMPACT)} END AS impact FROM ({SAMPLES_SQL})""")
+def impact_after_gaps(spark, d):
+    df = lookup(gapped(samples(spark, d), "date"), "kind", kinds(spark), "kind_name", ["kind_impact"])
+    return df.select("obs_id", impact_since("date", "2024-01-15", "kind_impact", "kind", {"purchase": "high", "view": "low"}).alias("impact"))
+
+
+@query("impact_window_gaps", f"""SELECT obs_id, CASE WHEN {GAP} THEN NULL WHEN date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' THEN 'high' ELSE 'zero' END AS impact
+FROM ({SAMPLES_SQL})""")
+def impact_inside_gaps(spark, d):
+    return gapped(samples(spark, d), "date").select("obs_id", impact_window("date", WINDOW_START, WINDOW_END).alias("impact"))
+
+
+@query("binary_recode_gaps", "SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'High' ELSE 'Zero' END AS impact FROM orders")
+def recode_gaps(spark, d):
+    return gapped(table(spark, d, "orders"), "o_orderstatus", "o_orderkey").select("o_orderkey", binary_recode("o_orderstatus", "F", "High", "Zero").alias("impact"))
+
+
 LEVELS = ["SMALL", "MEDIUM", "LARGE"]
 
 

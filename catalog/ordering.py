@@ -68,6 +68,25 @@ def curve(method: str):
 query("ccdf", CCDF_SQL)(curve("auto"))
 query("ccdf_ranges", CCDF_SQL)(curve("ranges"))
 
+CCDF_GAPS_SQL = f"""WITH g AS (SELECT * REPLACE (CASE WHEN l_orderkey % 97 <> 0 THEN l_quantity END AS l_quantity) FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity, CASE WHEN l_quantity IS NOT NULL THEN
+{rq('''CAST(count(l_quantity) OVER (PARTITION BY l_returnflag) - row_number() OVER
+(PARTITION BY l_returnflag ORDER BY l_quantity NULLS LAST, l_orderkey, l_linenumber, l_partkey, l_suppkey) + 1 AS DOUBLE)
+/ count(l_quantity) OVER (PARTITION BY l_returnflag)''', 9)} END AS ccdf FROM g"""
+
+
+def curve_gaps(method: str):
+    def run(spark, d):
+        li = table(spark, d, "lineitem").select(*LINE, "l_returnflag", F.when(F.col("l_orderkey") % 97 != 0, F.col("l_quantity")).alias("l_quantity"))
+        out = ccdf(li, ["l_returnflag"], "l_quantity", LINE, method=method)
+        return out.withColumn("ccdf", r("ccdf", 9))
+
+    return run
+
+
+query("ccdf_gaps", CCDF_GAPS_SQL)(curve_gaps("auto"))
+query("ccdf_gaps_ranges", CCDF_GAPS_SQL)(curve_gaps("ranges"))
+
 ROW_ID_SQL = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders"
 
 

@@ -67,7 +67,8 @@ def label(col: str | Column, mapping: Mapping, default: Column | None = None) ->
 
 
 def binary_recode(col: str, code: str, yes: str, no: str) -> Column:
-    return F.when(F.col(col) == code, yes).otherwise(no)
+    """``yes`` for the code, ``no`` for any other; a missing code stays missing."""
+    return F.when(F.col(col) == code, yes).when(F.col(col) != code, no)
 
 
 def lookup(df: DataFrame, col: str, dim: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -87,17 +88,18 @@ def impact_since(
     date: str, cutoff: str | dt.date, base: str, site: str | None = None, overrides: Mapping[str, str] | None = None,
     zero: str = "zero",
 ) -> Column:
-    """``zero`` before the cut-off; afterwards the site's override, else its table value."""
+    """``zero`` before the cut-off; afterwards the site's override, else its table value. A missing date gives NULL."""
     value = F.col(base)
     if site and overrides:
         value = label(site, overrides, default=value)
     before = F.col(date) < F.lit(cutoff if isinstance(cutoff, dt.date) else dt.date.fromisoformat(cutoff))
-    return F.when(before, F.lit(zero)).otherwise(value)
+    return F.when(before, F.lit(zero)).when(~before, value)
 
 
 def impact_window(date: str | Column, start, end, level: str = "high", zero: str = "zero") -> Column:
-    """``level`` inside the closed window, ``zero`` outside it."""
-    return F.when(in_window(date, start, end), F.lit(level)).otherwise(F.lit(zero))
+    """``level`` inside the closed window, ``zero`` outside it. A missing date gives NULL."""
+    inside = in_window(date, start, end)
+    return F.when(inside, F.lit(level)).when(~inside, F.lit(zero))
 
 
 def with_levels(col: str, levels: Sequence) -> Column:

@@ -141,31 +141,32 @@ def split_ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], ranges:
 
 def row_rank(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank", method: str = "auto",
-    total: str = "n", ranges: int | None = None, largest: int | None = None,
+    total: str = "n", ranges: int | None = None, largest: int | None = None, counted: str | None = None,
 ) -> DataFrame:
-    """Row number from 1 inside each group, and the group's row count."""
+    """Row number from 1 inside each group, and the group's row count: of the rows where ``counted``, if given, is not NULL."""
+    held = F.lit(1) if counted is None else F.col(counted)
     return in_order(
-        df, by, method, lambda rows: _rank_whole(rows, by, order, name, total),
-        lambda rows: _rank_ranges(rows, by, order, name, total, ranges), largest)
+        df, by, method, lambda rows: _rank_whole(rows, by, order, name, total, held),
+        lambda rows: _rank_ranges(rows, by, order, name, total, ranges, held), largest)
 
 
-def _rank_whole(df: DataFrame, by, order, name: str, total: str) -> DataFrame:
+def _rank_whole(df: DataFrame, by, order, name: str, total: str, held: Column) -> DataFrame:
     w = Window.partitionBy(*(list(by) or [F.lit(0)]))
     numbered = df.withColumn(name, F.row_number().over(w.orderBy(*_ascending(order))).cast("bigint"))
-    return numbered.withColumn(total, F.count(F.lit(1)).over(w))
+    return numbered.withColumn(total, F.count(held).over(w))
 
 
-def _rank_ranges(df: DataFrame, by, order, name: str, total: str, ranges: int | None) -> DataFrame:
+def _rank_ranges(df: DataFrame, by, order, name: str, total: str, ranges: int | None, held: Column) -> DataFrame:
     cut = split_ranges(df, by, order, ranges)
-    sizes = cut.border_rows().groupBy(RANGE, *cut.by).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = cut.border_rows().groupBy(RANGE, *cut.by).agg(F.count(F.lit(1)).alias("_size"), F.count(held).alias("_held"))
     before = Window.partitionBy(*cut.by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     summary = sizes.select(
         RANGE, *cut.by,
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(Window.partitionBy(*cut.by)).alias("_total"),
+        F.sum("_held").over(Window.partitionBy(*cut.by)).alias("_total"),
     )
     whole = Window.partitionBy(RANGE, *cut.by)
     rows = cut.attach(summary)
     rows = rows.withColumn(name, F.coalesce("_before", F.lit(0)) + F.row_number().over(cut.window()))
-    rows = rows.withColumn(total, F.coalesce("_total", F.count(F.lit(1)).over(whole)))
+    rows = rows.withColumn(total, F.coalesce("_total", F.count(held).over(whole)))
     return rows.select(*df.columns, name, total)

@@ -28,11 +28,20 @@ def _columns(extra: Mapping[str, Column]) -> list[Column]:
     return [v.alias(k) for k, v in extra.items()]
 
 
+def _weight(frequency: str) -> Column:
+    """How often a row counts; a missing or negative number is zero."""
+    return F.greatest(F.coalesce(F.col(frequency), F.lit(0)), F.lit(0)).cast("bigint")
+
+
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """The number ``share`` of the way from a to b; only the ends that count are touched, as they may be infinite."""
+    return F.when((share == 0) | (a == b), a).otherwise((1 - share) * a + share * b)
+
+
 def _exact(df, by: Sequence[str], value: str, probs: Sequence[float], frequency: str | None, extra) -> DataFrame:
-    weight = F.col(frequency) if frequency else F.lit(1)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.percentile(value, list(probs), weight).alias("q"), *_columns(extra)
-    )
+    weight = _weight(frequency) if frequency else F.lit(1)
+    n = F.coalesce(F.sum(F.when(F.col(value).isNotNull(), weight)), F.lit(0)).cast("bigint")
+    return df.groupBy(*by).agg(n.alias("n"), F.percentile(value, list(probs), weight).alias("q"), *_columns(extra))
 
 
 def _approximate(df, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int, extra) -> DataFrame:
@@ -93,8 +102,8 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     for i, p in enumerate(probs):
         place = (F.col("_n") - 1) * F.lit(float(p))
         share = place - F.floor(place)
-        values.append(F.col(f"_a{i}") + share * (F.col(f"_b{i}") - F.col(f"_a{i}")))
-    out = found.select(*by, F.col("_n").alias("n"), F.array(*values).alias("q"))
+        values.append(_between(F.col(f"_a{i}"), F.col(f"_b{i}"), share))
+    out = found.select(*by, F.col("_n").alias("n"), F.when(F.col("_n") > 0, F.array(*values)).alias("q"))
     if not extra:
         return out
     side = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in by], *extra)
@@ -112,7 +121,7 @@ def group_quantiles(
     gives the same numbers for groups of any size in two passes. ``auto`` counts the largest
     group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored
     values whose rank is off by at most n / accuracy. ``frequency`` names a column that tells how
-    often a row counts.
+    often a row counts; ``n`` is then the sum over rows with a value. A group without a value has n = 0 and no quantiles.
     ``extra`` names further aggregates to take along in the same pass.
     """
     by, extra = list(by), dict(extra or {})
@@ -130,8 +139,10 @@ def group_quantiles(
     if method == "exact":
         return _exact(df, by, value, probs, frequency, extra)
     if frequency:
-        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col(frequency), F.lit(1)))))
-        df = df.filter(F.col(frequency) > 0)
+        # Missing values and weights of zero keep one row without a value, so that no group is lost.
+        weight = F.when(F.col(value).isNull(), 0).otherwise(_weight(frequency))
+        df = df.withColumn(value, F.when(weight > 0, F.col(value)))
+        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(weight, F.lit(1)).cast("int"))))
     if method == "approximate":
         return _approximate(df, by, value, probs, accuracy, extra)
     if by:

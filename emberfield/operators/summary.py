@@ -75,10 +75,10 @@ def median_qi_packed(
 ) -> DataFrame:
     """The interval of draws packed as an array per row: row-local, so nothing is shuffled.
 
-    ``scale`` is an increasing back-transform; only the order statistics go through it.
+    ``scale`` is an increasing back-transform; only the order statistics go through it. Missing draws do not count.
     """
     tail = (1.0 - width) / 2.0
-    rows = df.withColumn("_sorted", F.sort_array(draws))
+    rows = df.withColumn("_sorted", F.sort_array(F.filter(draws, lambda v: v.isNotNull())))
     cells = {
         name: F.when(F.size(F.col("_sorted")) > 0, _packed_quantile(F.col("_sorted"), p, scale))
         for name, p in (("value", 0.5), ("lower", tail), ("upper", 1.0 - tail))
@@ -102,9 +102,9 @@ def exceedance(
 
 
 def exceedance_packed(df: DataFrame, draws: str, threshold: float, name: str = "exceedance") -> DataFrame:
-    """Share of a row's packed draws at or above a threshold, without a shuffle."""
+    """Share of a row's packed draws at or above a threshold, without a shuffle. Missing draws do not count."""
     hits = F.size(F.filter(draws, lambda v: v >= F.lit(float(threshold))))
-    return df.withColumn(name, F.try_divide(hits.cast("double"), F.size(draws)))
+    return df.withColumn(name, F.try_divide(hits.cast("double"), F.size(F.filter(draws, lambda v: v.isNotNull()))))
 
 
 def coef_summary(

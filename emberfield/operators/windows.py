@@ -133,10 +133,13 @@ def ccdf(
     df: DataFrame, by: Sequence[str], value: str, tie: Sequence[str], name: str = "ccdf",
     method: str = "auto", ranges: int | None = None, largest: int | None = None,
 ) -> DataFrame:
-    """Share of a group's rows with at least this value: 1 for the smallest, 1/n for the largest.
+    """Share of a group's values that are at least this one: 1 for the smallest, 1/n for the largest.
 
-    Ties are ordered by ``tie``, which makes the curve the same on every run.
+    Ties are ordered by ``tie``, which makes the curve the same on every run. A missing value comes last, has no share and
+    does not count in n.
     """
-    ranked = row_rank(df, by, [value, *tie], "_rank", method=method, total="_n", ranges=ranges, largest=largest)
+    placed = df.withColumn("_missing", F.col(value).isNull())
+    ranked = row_rank(
+        placed, by, ["_missing", value, *tie], "_rank", method=method, total="_n", ranges=ranges, largest=largest, counted=value)
     share = (F.col("_n") - F.col("_rank") + 1).cast("double") / F.col("_n")
-    return ranked.withColumn(name, share).drop("_rank", "_n")
+    return ranked.withColumn(name, F.when(~F.col("_missing"), share)).drop("_rank", "_n", "_missing")

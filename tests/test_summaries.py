@@ -157,7 +157,7 @@ def test_categories(spark):
     assert [r[0] for r in codes.select(label("c", {"high": "High"})).collect()] == ["High", None, None]
     assert [r[0] for r in codes.select(with_levels("c", ["high"])).collect()] == ["high", None, None]
     assert [r[0] for r in codes.select(level_rank("c", ["low", "high"])).collect()] == [1, None, None]
-    assert [r[0] for r in codes.select(binary_recode("c", "high", "High", "Zero")).collect()] == ["High", "Zero", "Zero"]
+    assert [r[0] for r in codes.select(binary_recode("c", "high", "High", "Zero")).collect()] == ["High", "Zero", None]
     assert relevel(["a", "b", "c"], "b") == ["b", "a", "c"]
     with pytest.raises(ValueError):
         relevel(["a"], "z")
@@ -249,3 +249,49 @@ def test_sides_beyond_the_bound_give_the_same_rows(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert session.BROADCAST_CELLS > 0
+
+
+@pytest.mark.parametrize("frequency", [None, "w"])
+def test_quantile_methods_agree_on_odd_values(spark, frequency):
+    """Infinite and missing values, NaN, weights of zero, below zero and missing: both methods, one answer."""
+    from emberfield.operators.quantiles import group_quantiles
+
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        ("a", 2.0, 1), ("a", 3.0, 1), ("a", inf, 1), ("b", 2.0, 1), ("b", 3.0, 1), ("b", nan, 1), ("c", 1.0, 3), ("c", 5.0, 4), ("c", 9.0, 0),
+        ("d", 1.0, 0), ("e", None, 2), ("f", 4.0, -1), ("f", 6.0, None), ("g", inf, 1), ("g", inf, 1), ("h", 1.0, 1), ("h", None, 5),
+    ]
+    df = spark.createDataFrame(rows, "k string, v double, w int")
+    got = {
+        m: {r["k"]: (r["n"], r["q"]) for r in group_quantiles(df, ["k"], "v", [0.5, 0.25], method=m, frequency=frequency).collect()}
+        for m in ("exact", "bracketed")
+    }
+    assert got["exact"] == got["bracketed"] and len(got["exact"]) == 8
+    assert got["exact"]["a"] == (3, [3.0, 2.5]) and got["exact"]["e"] == (0, None)
+    assert got["exact"]["c"] == ((7, [5.0, 1.0]) if frequency else (3, [5.0, 3.0]))
+
+
+def test_packed_forms_skip_missing_draws(spark):
+    df = spark.createDataFrame([(1, [None, 1.0, 2.0, 9.0]), (2, [None]), (3, [])], "i int, d array<double>")
+    long = df.select("i", F.explode_outer("d").alias("v"))
+    packed = {r["i"]: (r["value"], r["lower"], r["upper"]) for r in median_qi_packed(df, "d").collect()}
+    assert packed[1] == pytest.approx((2.0, 1.05, 8.65)) and packed[2] == packed[3] == (None, None, None)
+    want = {r["i"]: r["exceedance"] for r in exceedance(long, ["i"], "v", 2.0).collect()}
+    assert {r["i"]: r["exceedance"] for r in exceedance_packed(df, "d", 2.0).collect()} == pytest.approx(want)
+
+
+def test_missing_dates_and_codes_stay_missing(spark):
+    from emberfield.operators.categorical import binary_recode, impact_since, impact_window
+
+    df = spark.createDataFrame([(None, "x"), ("2024-01-01", None), ("2024-02-01", "y")], "d string, c string").withColumn("d", F.to_date("d"))
+    got = df.select(impact_since("d", "2024-01-15", "c").alias("a"), impact_window("d", "2024-01-15", None).alias("b"), binary_recode("c", "x", "yes", "no").alias("e")).collect()
+    assert [tuple(r) for r in got] == [(None, None, "yes"), ("zero", "zero", None), ("y", "high", "no")]
+
+
+@pytest.mark.parametrize("method", ["window", "ranges"])
+def test_missing_values_have_no_share(spark, method):
+    from emberfield.operators.windows import ccdf
+
+    df = spark.createDataFrame([("a", None, 1), ("a", 5.0, 2), ("a", 7.0, 3), ("b", None, 4)], "g string, v double, i int")
+    got = {r["i"]: r["ccdf"] for r in ccdf(df, ["g"], "v", ["i"], method=method).collect()}
+    assert got == {1: None, 2: 1.0, 3: 0.5, 4: None}
