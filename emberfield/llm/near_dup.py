@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, fresh
 from .components import components
-from .repeats import NO_ID, _documents, changes, identified
+from .repeats import NO_ID, changes, document_key, identified
 from .tokens import PLAIN, U64, Words, mix, range_sums, split_words
 
 SHINGLE, PERCENT = 5, 75
@@ -260,5 +260,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gone = near_groups(docs, id_col, text_col).filter("NOT kept").select(F.coalesce("id", F.lit(NO_ID)).alias("gone_id"), F.col("k").alias("gone_k")).distinct()
     one, two = fresh(docs.columns, "gone_id"), fresh(docs.columns, "gone_k")
     gone = gone.withColumnsRenamed({"gone_id": one, "gone_k": two})
-    here = (F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == gone[one]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone[two])
-    return docs.join(gone, here, "left_anti")
+    id_, k = document_key(docs, id_col, text_col)
+    return docs.join(gone, (id_ == gone[one]) & (k == gone[two]), "left_anti")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import NO_ID, _documents, changes, covered, identified
+from .repeats import NO_ID, documents, changes, covered, identified
 from .tokens import PLAIN, U64, Words, mix, range_sums
 
 WINDOW, ROUNDS, PHRASE = 20, 2, 4
@@ -108,11 +108,11 @@ def kept_texts(w: Words, removed: np.ndarray) -> Iterator[bytes]:
 
 def remove_covered(window: int, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, ids, _, lists in _documents(batches, True):
+        for w, ids, _, lists in documents(batches, True):
             removed = np.zeros(len(w.hashes) + 1, dtype=np.int32)
-            for d, blobs in enumerate(lists):
-                if blobs:
-                    start = w.bounds[d] + np.unique(np.frombuffer(b"".join(blobs), np.int32))
+            for d, starts in enumerate(lists):
+                if starts:
+                    start = w.bounds[d] + np.unique(np.frombuffer(starts, np.int32))
                     removed[start] += 1
                     removed[start + window] -= 1
             removed = np.cumsum(removed[:-1]) > 0
@@ -138,4 +138,4 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     texts = identified(docs, id_col, text_col)
     hits = covered(texts, WINDOW, key_spans)
     work, schema = remove_covered(WINDOW, with_text)
-    return texts.join(hits, ["id", "k"], "left").select("id", "k", "text", "lists").mapInArrow(work, schema)
+    return texts.join(hits, ["id", "k"], "left").select("id", "k", "text", "spans").mapInArrow(work, schema)

@@ -47,10 +47,10 @@ def suffix_spans(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows in a row as one span."""
     for batch in batches:
-        ids, lists = batch.column("id").to_numpy(), batch.column("lists").to_pylist()
+        ids, lists = batch.column("id").to_numpy(), batch.column("spans").to_pylist()
         out: list[tuple[np.ndarray, ...]] = []
-        for doc, blobs in zip(ids, lists):
-            at = np.unique(np.frombuffer(b"".join(blobs), np.int32)).astype(np.int64)
+        for doc, starts in zip(ids, lists):
+            at = np.unique(np.frombuffer(starts, np.int32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(at) > WINDOW)  # spans that touch or overlap are one
             start, end = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + WINDOW
             out.append((np.full(len(start), doc), start, end))
