@@ -333,7 +333,7 @@ def lognormal_shifted(spark, d):
     """The same with a covariate far from zero: slope, and the fit at the mean of the covariate."""
     li = table(spark, d, "lineitem").withColumn("far", F.col("l_quantity") + 1e7)
     fit = fit_lognormal(li, "l_extendedprice", {"linear": ["far"]}, prior_sd=float("inf"))
-    return spark.createDataFrame([(float(fit.slopes[0]), fit.center_intercept, fit.rows)], "slope double, center double, n bigint").select(
+    return spark.createDataFrame([(float(fit.slopes[0]), float(fit.center_intercept), fit.rows)], "slope double, center double, n bigint").select(
         r("slope", 5).alias("slope"), r("center", 5).alias("center"), "n")
 
 

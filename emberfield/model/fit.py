@@ -196,7 +196,8 @@ def _gaussian_mode(parts, blocks: list[str], prior_sd: float, fixed: Mapping[str
         rss = Syy - 2 * b @ Sxy + b @ Sxx @ b + n * (ybar - a) ** 2
         fresh = sigma2 if "sigma" in fixed else max(rss / max(n - edf, 1.0), 1e-12)
         old, sds = sds, {k: fixed.get(k, v) for k, v in _update_sds(b, V, blocks, sds).items()}
-        moved = max([abs(fresh - sigma2) / sigma2, *(abs(sds[k] - old[k]) / sds[k] for k in sds)])
+        # On the scale of the noise: a spread that sinks towards zero is settled once it no longer matters.
+        moved = max([abs(fresh - sigma2) / sigma2, *(abs(sds[k] - old[k]) / np.sqrt(fresh) for k in sds)])
         sigma2 = fresh
         if moved < 1e-10:
             break
@@ -267,7 +268,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 def fit_student(
     df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0, nu: float | None = None,
-    rounds: int = 60, tol: float = 1e-5,
+    rounds: int = 100, tol: float = 1e-5,
 ) -> Fit:
     """Student-t regression by re-weighted sums: one pass over a cached design per round.
 
@@ -324,7 +325,7 @@ def fit_student(
             # On the scale of the noise, so that badly scaled columns do not stop it early or late.
             moved = max([
                 abs(center - old_center) / sigma, *(np.abs(b - old_b) * spread / sigma), abs(sigma - old_sigma) / sigma,
-                *(abs(sds[k] - before[k]) / sds[k] for k in sds),
+                *(abs(sds[k] - before[k]) / sigma for k in sds),
             ])
             if moved < tol:
                 break

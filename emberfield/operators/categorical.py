@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 from .clean import in_window
+from .joins import dimension
 from .ordered import row_rank
 from .quantiles import group_quantiles
 
@@ -73,14 +73,14 @@ def binary_recode(col: str, code: str, yes: str, no: str) -> Column:
 
 def lookup(df: DataFrame, col: str, dim: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """Columns of a dimension table by key; NULL where the key is unknown."""
-    side = dim.select(F.col(key).alias("_key"), *values)
-    return df.join(broadcast_if_small(side), F.col(col) == F.col("_key"), "left").drop("_key")
+    side = dimension(dim.select(F.col(key).alias("_key"), *values).filter("_key IS NOT NULL"), ["_key"])
+    return df.join(side, F.col(col) == F.col("_key"), "left").drop("_key")
 
 
 def canonicalise(df: DataFrame, col: str, aliases: DataFrame, raw: str = "alias", canon: str = "canonical") -> DataFrame:
     """Replace known misspellings through an alias table; unknown names stay as they are."""
-    side = aliases.select(F.col(raw).alias("_raw"), F.col(canon).alias("_canon"))
-    joined = df.join(broadcast_if_small(side), F.col(col) == F.col("_raw"), "left")
+    side = dimension(aliases.select(F.col(raw).alias("_raw"), F.col(canon).alias("_canon")).filter("_raw IS NOT NULL"), ["_raw"])
+    joined = df.join(side, F.col(col) == F.col("_raw"), "left")
     return joined.withColumn(col, F.coalesce("_canon", col)).drop("_raw", "_canon")
 
 

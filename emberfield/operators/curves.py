@@ -14,6 +14,10 @@ from .ordered import ALL
 from .quantiles import group_quantiles
 
 
+# Bandwidths beyond which a kernel is below 1e-17 of its height.
+REACH = 9.0
+
+
 def density_curve(
     df: DataFrame, by: Sequence[str], value: str, grid: int = 256, clip: tuple[float | None, float | None] = (None, None),
     method: str = "auto", largest: int | None = None,
@@ -55,9 +59,18 @@ def density_curve(
         .groupBy(*by, "_n", "_h", "_min", "_lo", "_step", F.floor((F.col("_v") - F.col("_min")) / width + 0.5).alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    points = bins.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
-    x = F.col("_lo") + F.col("_i") * F.col("_step")
+    # A bin matters to the points within REACH bandwidths; each point also gets one empty bin, so that none is lost.
     center = F.col("_min") + F.col("_bin") * width
+    reach = REACH * F.col("_h")
+    first = F.greatest(F.lit(0), F.ceil((center - reach - F.col("_lo")) / F.col("_step"))).cast("int")
+    last = F.least(F.lit(grid - 1), F.floor((center + reach - F.col("_lo")) / F.col("_step"))).cast("int")
+    near = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    empty = stats.select(
+        *[F.col(f"_s_{c}").alias(c) for c in by], "_n", "_h", "_min", "_lo", "_step", F.lit(0).cast("bigint").alias("_bin"), F.lit(0).cast("bigint").alias("_c"),
+        F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_i"),
+    )
+    points = bins.withColumn("_i", F.explode(near)).unionByName(empty)
+    x = F.col("_lo") + F.col("_i") * F.col("_step")
     u = (x - center) / F.col("_h")
     kernel = F.sum(F.col("_c") * F.exp(-0.5 * u * u))
     norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))

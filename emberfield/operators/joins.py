@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import BROADCAST_CELLS, broadcast_if_small
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,21 +19,34 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
+def dimension(dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A table to look up by ``keys``: a key that occurs twice is an error, and a small table is marked for broadcasting.
+
+    One small job over the table tells both. A missing key matches nothing, so it may repeat.
+    """
+    counts = dim.dropna(subset=list(keys)).groupBy(*keys).count()
+    row = counts.agg(F.sum("count").alias("rows"), F.max_by(F.struct(*keys), "count").alias("key"), F.max("count").alias("most")).first()
+    if (row["most"] or 0) > 1:
+        raise ValueError(f"key {list(keys)} is not unique, for example {row['key'].asDict()}")
+    return F.broadcast(dim) if (row["rows"] or 0) * len(dim.columns) <= BROADCAST_CELLS else dim
+
+
 def join_dimension(df: DataFrame, dim: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Left join to a small dimension whose key has another name; that key is dropped."""
-    side = dim.withColumnRenamed(right_key, "_right_key")
-    return df.join(broadcast_if_small(side), F.col(left_key) == F.col("_right_key"), "left").drop("_right_key")
+    side = dim.withColumnRenamed(right_key, "_right_key").filter("_right_key IS NOT NULL")
+    return df.join(dimension(side, ["_right_key"]), F.col(left_key) == F.col("_right_key"), "left").drop("_right_key")
 
 
 def join_daily(
     df: DataFrame, daily: DataFrame, on: Sequence[tuple[str, str]] | Sequence[str], null_safe: bool = False,
-    check_unique: bool = True, check_size: bool = True,
+    check_unique: bool = True, check_size: bool = False,
 ) -> DataFrame:
     """Left join to a table with one row per key.
 
     ``on`` holds column names or (left, right) pairs. With ``null_safe`` a missing key matches a
-    missing key. Pass ``check_unique=False`` for a side that was just grouped by its key. A side
-    of checked size is broadcast; a larger one is shuffled with hot keys split by Spark.
+    missing key. Pass ``check_unique=False`` for a side that was just grouped by its key: the join then starts no job.
+    Spark broadcasts a side that turns out small, and splits hot keys of a large one; ``check_size`` counts the
+    side beforehand, for one that costs little to count.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in on]
     if check_unique:

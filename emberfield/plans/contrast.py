@@ -7,21 +7,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model.design import design
+from ..model.design import complete_rows, design
 from ..model.fit import Draws
 from ..model.predict import predict_draws, predict_packed
+from ..operators.categorical import label
 from ..operators.clean import in_window
 from ..operators.curves import density_curve
 from ..operators.joins import paired_contrast
 from ..operators.reshape import explode_draws, scenarios, stack_observed_predicted
-from ..operators.summary import back_transform, exceedance, median_qi, median_qi_packed
+from ..operators.summary import back_transform, median_qi, median_qi_packed
 from ..operators.windows import ccdf
 from ..sources import read_stage, write_stage
 
 
-def _model_uses(spec: Mapping, impact: str) -> None:
+def _model_uses(spec: Mapping, impact: str, zero: str = "zero") -> None:
     if impact not in spec.get("factors", {}):
         raise ValueError(f"the model has no factor {impact!r}, so both scenarios would be equal")
+    if zero not in spec["factors"][impact]:
+        raise ValueError(f"{zero!r} is not a level of {impact!r}, so the scenario without the event has no rows")
 
 
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
@@ -43,7 +46,8 @@ def predict_scenarios(
     All columns of ``obs`` stay, so nothing has to be aligned by position later.
     """
     _model_uses(spec, impact)
-    window = spread_rows(obs.filter(in_window(date, start, end)), key)
+    # Incomplete rows go before the copy, so that both scenarios hold the same observations.
+    window = spread_rows(complete_rows(obs.filter(in_window(date, start, end)), spec), key)
     both = scenarios(window, impact)
     predict = predict_packed if packed else predict_draws
     return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites)
@@ -132,10 +136,13 @@ def exceedance_table(
 ) -> DataFrame:
     """Probability of reaching the action level, on the count scale.
 
-    Only the grouping columns and the draws are kept; the draws of a row meet in one task, so the
-    partial average leaves one number per row and group before the shuffle.
+    The share of all draws at or above it, per group; missing draws and groups without a level do not count.
     """
-    keep = list(dict.fromkeys([*by, *([maximum] if maximum else []), *([genus] if genus else [])]))
-    long = explode_draws(packed.select(*keep, "draws"), "draws")
-    long = long.withColumn("value", back_transform("value", maximum))
-    return exceedance(long, by, "value", threshold, genus)
+    level = label(genus, threshold) if genus else F.lit(float(threshold))
+    value = lambda v: back_transform(v, maximum)
+    # Two numbers per row before the shuffle; the draws are not unfolded.
+    rows = packed.select(
+        *by, F.size(F.filter("draws", lambda v: value(v) >= level)).alias("_hits"),
+        F.size(F.filter("draws", lambda v: value(v).isNotNull() & level.isNotNull())).alias("_draws"),
+    )
+    return rows.groupBy(*by).agg(F.try_divide(F.sum("_hits").cast("double"), F.sum("_draws")).alias("exceedance"))

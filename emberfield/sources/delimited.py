@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +41,33 @@ def _convert(col: Column, kind: str) -> Column:
     return col
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """Column names in the first line of a file or folder of files."""
+    return [c.lstrip("\ufeff") for c in spark.read.option("header", True).csv(path).columns]
+
+
 def load_observations(spark: SparkSession, path: str | Sequence[str], source: str | Source) -> DataFrame:
-    """Sampling file with canonical names and types; unreadable cells become NULL."""
+    """Sampling file with canonical names and types; unreadable cells become NULL.
+
+    Columns are found by their headers, in any order; a header may be spelled with other signs between its
+    words, as in ``Total Phyto`` for ``Total.Phyto``. A header that is missing or not known is an error. Files of
+    different layouts are matched each by its own headers.
+    """
     spec = SOURCES[source] if isinstance(source, str) else source
-    raw = read_delimited(spark, path, spec.text_schema)
-    return raw.select(*[_convert(F.col(name), kind).alias(name) for _, name, kind in spec.columns])
+    paths = [path] if isinstance(path, str) else list(path)
+    frames = []
+    for one in paths:
+        found = [spec.canonical(h) for h in _header(spark, one)]
+        names = {name for _, name, _ in spec.columns}
+        if len(found) != len(set(found)) or set(found) != names:
+            raise ValueError(f"{one}: headers for {sorted(names - set(found))} are missing, not known: {[h for h, f in zip(_header(spark, one), found) if f not in names]}")
+        frames.append(found)
+    if any(f != frames[0] for f in frames):
+        # Files of several layouts are read each by its own.
+        return reduce(DataFrame.unionByName, [load_observations(spark, one, spec) for one in paths])
+    kinds = {name: kind for _, name, kind in spec.columns}
+    raw = read_delimited(spark, paths, T.StructType([T.StructField(name, T.StringType()) for name in frames[0]]))
+    return raw.select(*[_convert(F.col(name), kinds[name]).alias(name) for _, name, _ in spec.columns])
 
 
 def read_yearly(spark: SparkSession, paths: Sequence[str], schema: T.StructType, na: str = "NA") -> DataFrame:

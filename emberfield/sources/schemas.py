@@ -21,6 +21,12 @@ class Source:
     def text_schema(self) -> T.StructType:
         return T.StructType([T.StructField(canon, T.StringType()) for _, canon, _ in self.columns])
 
+    def canonical(self, header: str) -> str | None:
+        """Canonical name of a header; what stands between its letters and digits does not matter."""
+        plain = lambda h: "".join(c for c in h.lower() if c.isalnum())
+        names = {plain(h): name for h, name, _ in self.columns}
+        return names.get(plain(header))
+
     @property
     def headers(self) -> list[str]:
         return [header for header, _, _ in self.columns]
