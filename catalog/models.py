@@ -16,7 +16,7 @@ from emberfield.model.gram import gram, gram_sql
 from emberfield.operators.categorical import impact_window, lookup
 from emberfield.operators.clean import filter_window
 from emberfield.operators.joins import paired_contrast, packed_contrast
-from emberfield.operators.ordered import largest_group
+from emberfield.operators.ordered import display_order, largest_group
 from emberfield.operators.reshape import explode_draws
 from emberfield.operators.summary import back_transform, median_qi, median_qi_packed, scale_by_max
 from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_table, interval_table, level_table, predict_pairs, predict_scenarios, prediction_curve
@@ -266,6 +266,18 @@ def bloom_exceedance(spark, d):
     return out.withColumn("exceedance", r("exceedance", 9))
 
 
+SORTED = "CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 END"
+
+
+@query("exceedance_sorted", f"""WITH {prediction_sql('hurdle_lognormal', 50)}, m AS (SELECT max(reading) AS top FROM ({SAMPLES_SQL})),
+x AS (SELECT date, kind, impact, {rq(f'''avg(CASE WHEN value * top >= top * CASE kind {' '.join(f"WHEN '{k}' THEN {v * 30}e0" for k, v in THRESHOLDS.items())} END
+THEN 1.0 ELSE 0.0 END)''', 9)} AS exceedance FROM p, m GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (ORDER BY {SORTED} NULLS LAST, date, kind, impact) AS position FROM x""")
+def exceedance_sorted(spark, d):
+    """The same table in reading order: kinds by a list, others last, then the date."""
+    return display_order(bloom_exceedance(spark, d), [("kind", ["view", "click", "error"]), "date", "kind", "impact"])
+
+
 # ---------------------------------------------------------------- designs, sums and fits
 
 LINES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

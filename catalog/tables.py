@@ -8,7 +8,7 @@ from emberfield.operators.joins import align_by_key, join_daily, join_dimension
 from emberfield.operators.reshape import explode_draws, paired_unpivot, scenarios, stack_observed_predicted, to_long, union_by_name
 from emberfield.operators.clean import filter_window
 from emberfield.operators.summary import daily_mean
-from emberfield.plans.features import bay_features, station_features
+from emberfield.plans.features import bay_features, harvest_features, station_features
 
 from .common import SAMPLES_SQL, WINDOW_END, WINDOW_START, query, r, rq, samples, table
 
@@ -146,6 +146,59 @@ def weather_ranges(spark, d):
     return weather_features(spark, d, method="ranges")
 
 
+BAY_SQL = f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS total,
+  CASE WHEN l_partkey % 5 <> 0 THEN l_quantity END AS temp, CASE WHEN l_suppkey % 7 <> 0 THEN l_tax END AS chlorophyll, l_discount AS pseudo FROM lineitem),
+wet AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(max(o_custkey) AS DOUBLE) AS rainfall FROM orders GROUP BY 1),
+j AS (SELECT s.*, wet.rainfall FROM s LEFT JOIN wet ON s.date = wet.date),
+f AS (SELECT * REPLACE (coalesce(last_value(temp IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(temp IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS temp)
+  FROM j WINDOW w AS (ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, temp, chlorophyll, {rq('pseudo / max(pseudo) OVER ()')} AS pseudo_scaled,
+{rq('CASE WHEN count(temp) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 3 THEN avg(temp) OVER (w ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END')} AS temp72,
+{rq('CASE WHEN count(chlorophyll) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) = 2 THEN avg(chlorophyll) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) END')} AS chlorophyll48
+FROM f WINDOW w AS (ORDER BY date, l_orderkey, l_linenumber, l_partkey, l_suppkey)"""
+
+
+@query("bay_features_columns", BAY_SQL)
+def bay_columns(spark, d):
+    """Declared columns: one filled, two with rolling means, one read from text, one scaled."""
+    li = table(spark, d, "lineitem").select(
+        *KEYS, F.col("l_shipdate").cast("date").alias("date"), F.col("l_extendedprice").alias("total_phytoplankton"), F.col("l_discount").alias("pseudo"),
+        F.when(F.col("l_partkey") % 5 != 0, F.col("l_quantity")).alias("temp"),
+        F.when(F.col("l_suppkey") % 7 != 0, F.col("l_tax").cast("string")).otherwise("n.d.").alias("chlorophyll"))
+    orders = table(spark, d, "orders").withColumn("date", F.col("o_orderdate").cast("date"))
+    wet = orders.groupBy("date").agg(F.max("o_custkey").cast("double").alias("rainfall"))
+    out = bay_features(
+        li, orders.groupBy("date").agg(F.count(F.lit(1)).alias("solar_exposure")), wet, {}, ["date", *KEYS], check_unique=False,
+        rolling={"temp72": ("temp", 3), "chlorophyll48": ("chlorophyll", 2)}, filled=["temp"], numbers=["chlorophyll"], scaled=["pseudo"])
+    return out.select(*KEYS, "temp", "chlorophyll", *[r(c).alias(c) for c in ("pseudo_scaled", "temp72", "chlorophyll48")])
+
+
+# Sites of the harvest query, dealt by number: area, second area, canonical name, impact in the table.
+HARVEST_SITES = [
+    ("Wagonga", "Inlet", "Wagonga", "zero"), ("Wonboyn", "Lake", "Wonboyn", "high"), (None, "Lake", "Pambula", "low"),
+    ("Wallis", "Lake", "Wallis Lake", "low"), ("Far", "Away", "Far Away", None),
+]
+HARVEST_SQL = f"""WITH t(k, location, base, latitude) AS (VALUES (0, 'Wagonga', 'zero', -36.22161e0), (1, 'Wonboyn', 'high', -37.24121e0), (2, 'Pambula', 'low', -36.96522e0),
+  (3, 'Wallis Lake', 'low', -32.18268e0), (4, 'Far Away', NULL, NULL)),
+s AS (SELECT event_id, CAST(ts AS DATE) AS date, user_id, event_type, value, location, base, latitude FROM events JOIN t ON event_id % 5 = k),
+c AS (SELECT date, location, count(*) AS views FROM s WHERE event_type = 'view' GROUP BY 1, 2)
+SELECT event_id, location, latitude, CASE WHEN date < DATE '2024-01-15' THEN 'zero' WHEN location = 'Wagonga' THEN 'med' WHEN location = 'Wallis Lake' THEN 'high' ELSE base END AS impact,
+CAST(floor(date_diff('day', (SELECT min(date) FROM s), date) / 7) AS BIGINT) AS week, CAST(month(date) AS BIGINT) AS month_of_year, views,
+{rq('value / (SELECT max(value) FROM s)')} AS pseudo_scaled FROM s LEFT JOIN c USING (date, location)"""
+
+
+@query("harvest_features", HARVEST_SQL)
+def harvest(spark, d):
+    """Many-site samples: names put right, impact since a day with overrides, latitude, daily covariates, scaled counts."""
+    pick = lambda i: F.get(F.array(*[F.lit(site[i]) for site in HARVEST_SITES]), (F.col("event_id") % 5).cast("int"))
+    e = table(spark, d, "events").withColumns({"date": F.col("ts").cast("date"), "area": pick(0), "area2": pick(1), "pseudo": F.col("value")})
+    views = e.filter(F.col("event_type") == "view").groupBy("date", pick(2).alias("location")).agg(F.count(F.lit(1)).alias("views"))
+    impacts = spark.createDataFrame([(s[2], s[3]) for s in HARVEST_SITES], "location string, impact string")
+    out = harvest_features(e.select("event_id", "date", "area", "area2", "pseudo"), impacts, views, cutoff="2024-01-15", scaled=["pseudo"], check_unique=False)
+    return out.select("event_id", "location", "latitude", "impact", "week", F.col("month_of_year").cast("bigint"), "views", r("pseudo_scaled").alias("pseudo_scaled"))
+
+
 @query("station_features", f"""WITH s AS ({SAMPLES_SQL}), k AS (SELECT obs_id, date, reading FROM s WHERE reading IS NOT NULL)
 SELECT obs_id, {rq('CASE WHEN reading > 0 THEN log10(reading) END')} AS log10_phytoplankton, CAST(month(date) AS BIGINT) AS month_of_year,
 CASE WHEN date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' THEN 'low' ELSE 'zero' END AS impact,

@@ -170,3 +170,23 @@ def _rank_ranges(df: DataFrame, by, order, name: str, total: str, ranges: int |
     rows = rows.withColumn(name, F.coalesce("_before", F.lit(0)) + F.row_number().over(cut.window()))
     rows = rows.withColumn(total, F.coalesce("_total", F.count(held).over(whole)))
     return rows.select(*df.columns, name, total)
+
+
+def display_order(
+    df: DataFrame, order: Sequence[str | tuple[str, Sequence]], position: str = "position", method: str = "auto",
+) -> DataFrame:
+    """A result table sorted for reading, with the row number in an explicit column.
+
+    ``order`` names columns, or pairs of a column and its level list: levels sort by their place in the list. Missing
+    values, and values outside a list, come last. ``order`` must end in a unique tie-break. The sort is by ranges, so the
+    table may have any size; a reader who needs the order later has ``position``.
+    """
+    keys, names = {}, []
+    for i, item in enumerate(order):
+        col, levels = (item, None) if isinstance(item, str) else item
+        value = F.col(col) if levels is None else F.array_position(F.array(*map(F.lit, levels)), F.col(col)).cast("int")
+        value = value if levels is None else F.when(value > 0, value)
+        keys |= {f"_gap{i}": value.isNull(), f"_key{i}": value}
+        names += [f"_gap{i}", f"_key{i}"]
+    ranked = row_rank(df.withColumns(keys), [], names, position, method=method, total="_n")
+    return ranked.select(*df.columns, position).orderBy(position)

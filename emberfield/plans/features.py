@@ -21,6 +21,7 @@ from ..sources import drop_embedded_headers, rename_positional
 RAIN_COLUMNS = ["Day"] + [c for m in MONTH_NAMES for c in (m, f"{m}-Year")]
 # Fixed value: rainfall units to the units of the model.
 RAIN_FACTOR = 2.5
+RAIN_MEANS = {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}
 
 
 def solar_daily(raw: DataFrame, year: str, month: str, day: str, irradiance: str) -> DataFrame:
@@ -45,29 +46,34 @@ def rain_daily(raw: DataFrame) -> DataFrame:
 
 def bay_features(
     samples: DataFrame, solar: DataFrame, rain: DataFrame, windows: Mapping[str, tuple[str, str]], order: Sequence[str],
-    location: str = "San Francisco", check_unique: bool = True, method: str = "auto",
+    location: str = "San Francisco", check_unique: bool = True, method: str = "auto", rolling: Mapping[str, tuple[str, int]] = RAIN_MEANS,
+    filled: Sequence[str] = ("rainfall",), numbers: Sequence[str] = (), scaled: Sequence[str] = (),
 ) -> DataFrame:
-    """Samples with daily weather, filled rainfall, impact windows, month and rolling means.
+    """Samples with daily weather, filled gaps, impact windows, month and rolling means.
+
+    ``rolling`` maps a new column to (column, rows); ``filled`` names the columns whose gaps are filled first;
+    ``numbers`` are text columns read as numbers before that; ``scaled`` are divided by their maximum, kept beside them.
 
     ``windows`` maps an impact column to its closed window of days. ``order`` ends in a unique
     tie-break, because a date alone leaves many samples in no order.
     """
-    df = keep_present(samples, "total_phytoplankton")
+    df = keep_present(samples, "total_phytoplankton").withColumns({c: as_number(c) for c in numbers})
     df = join_daily(df, solar, ["date"], check_unique=check_unique)
     df = join_daily(df, rain, ["date"], check_unique=check_unique)
-    means = {"rainfall48": ("rainfall", 2), "rainfall72": ("rainfall", 3)}
+    means = dict(rolling)
     # The joins keep the row count, so the samples alone tell whether one task can hold them.
     if needs_ranges(samples, method):
-        cut = rolling_ranges(fill_ranges(split_ranges(df, [], order), ["rainfall"]), means)
+        cut = rolling_ranges(fill_ranges(split_ranges(df, [], order), list(filled)), means)
         df = cut.result([*df.columns, *means])
     else:
-        df = fill_down_up(df, ["rainfall"], order, method="window")
+        df = fill_down_up(df, list(filled), order, method="window")
         df = rolling_mean(df, means, order, method="window")
     # What a row says alone comes last, so that it is not carried through the sorts.
     df = df.withColumn("log10_phytoplankton", log10_positive("total_phytoplankton"))
     for name, (start, end) in windows.items():
         df = df.withColumn(name, impact_window("date", start, end))
-    return constant(df, location=location).withColumn("month_of_year", month_of("date"))
+    df = constant(df, location=location).withColumn("month_of_year", month_of("date"))
+    return scale_by_max(df, scaled) if scaled else df
 
 
 def station_features(
@@ -86,6 +92,7 @@ def station_features(
 def harvest_features(
     samples: DataFrame, impacts: DataFrame, covariates: DataFrame, cutoff: str = "2020-03-01",
     overrides: Mapping[str, str] = IMPACT_OVERRIDES, scaled: Sequence[str] = ("pseudo", "alexandrium", "dinophysis"),
+    check_unique: bool = True,
 ) -> DataFrame:
     """Many-site samples: canonical site, impact since the cut-off, latitude, covariates, scaled counts.
 
@@ -101,5 +108,5 @@ def harvest_features(
     df = lookup(df, "location", latitudes, "site", ["latitude"])
     first = samples.agg(F.min("date")).scalar()
     df = df.withColumns({"week": week_index("date", first), "month_of_year": month_of("date")})
-    df = join_daily(df, covariates, ["date", "location"])
+    df = join_daily(df, covariates, ["date", "location"], check_unique=check_unique)
     return scale_by_max(df, scaled)

@@ -142,3 +142,13 @@ def test_row_id(spark):
     df = skewed(spark)
     ids = row_id(df, ["t", "i"], method="ranges").orderBy("t", "i").select("id").toPandas()["id"]
     assert list(ids) == list(range(1, 6001))
+
+
+@pytest.mark.parametrize("method", ["window", "ranges"])
+def test_display_order(spark, method):
+    from emberfield.operators.ordered import display_order
+
+    rows = [("high", "2020-01-02", 1), ("zero", None, 2), ("zero", "2020-01-05", 3), (None, "2019-01-01", 4), ("odd", "2020-01-01", 5), ("high", "2020-01-01", 6)]
+    df = spark.createDataFrame(rows, "level string, day string, i int")
+    got = display_order(df, [("level", ["zero", "high"]), "day", "i"], method=method).collect()
+    assert [r["i"] for r in got] == [3, 2, 6, 1, 4, 5] and [r["position"] for r in got] == [1, 2, 3, 4, 5, 6]
