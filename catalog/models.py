@@ -249,6 +249,17 @@ def difference_density(spark, d):
     return out.select("kind", r("x").alias("x"), r("density", 9).alias("density"))
 
 
+HIT_SQL = PAIRS_SQL.replace("FROM p", "FROM p WHERE scenario <> 'actual' OR impact <> 'zero'", 1)
+
+
+@query("difference_density_hit", f"WITH {prediction_sql('student', 20)}, df AS (SELECT * FROM ({HIT_SQL}) WHERE difference IS NOT NULL) {density_sql('df', 'kind', 'difference', 9)}")
+def difference_density_hit(spark, d):
+    """Only samples that were really hit."""
+    p = predicted(spark, d, "student", 20, packed=False)
+    out = difference_curve(p, ["obs_id"], ["kind"], largest=value_range(spark, d, ["kind"], 20), hit="impact")
+    return out.select("kind", r("x").alias("x"), r("density", 9).alias("density"))
+
+
 THRESHOLDS = {"click": 0.1, "purchase": 0.02, "signup": 0.02, "view": 0.1, "error": 0.02}
 
 
@@ -447,6 +458,16 @@ ex AS (SELECT effect, CAST(grid_point AS INTEGER) AS grid_point, {rq('x_value')}
 {interval_sql('ex', 'effect, grid_point, x_value, level', 'value')}"""
 
 
+@query("conditional_effects_site", effect_sql(100, 50))
+def effects_of_sites(spark, d):
+    """A model with site effects, at the level of the population: the same numbers as without them."""
+    grid = effect_grid(table(spark, d, "lineitem"), ["l_quantity", "l_tax"], {"l_returnflag": ["N", "A", "R"]}, points=50)
+    draws = effect_draws(100)
+    draws.beta = np.column_stack([draws.beta, np.full((100, 2), 0.7)])
+    out = conditional_effects(grid, draws, "lognormal", {**EFFECT_SPEC, "site": {"column": "l_shipmode", "levels": ["AIR", "SHIP"]}})
+    return rounded(out).withColumn("x_value", r("x_value"))
+
+
 @query("conditional_effects", effect_sql(100, 50))
 def effects(spark, d):
     li = table(spark, d, "lineitem")

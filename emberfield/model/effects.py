@@ -41,7 +41,13 @@ def effect_grid(df: DataFrame, numeric: Sequence[str], factors: Mapping[str, Seq
 
 
 def conditional_effects(grid: DataFrame, draws: Draws, family: str, spec: Mapping, width: float = 0.95) -> DataFrame:
-    """Median and interval of the expected response at each grid row."""
+    """Median and interval of the expected response at each grid row.
+
+    A model with site effects is taken at the level of the population, where they are zero, unless the grid names a site.
+    """
+    site = spec.get("site")
+    if site and site["column"] not in grid.columns:
+        grid = grid.withColumn(site["column"], F.lit(None))
     keys = ["effect", "grid_point", "x_value", "level"]
     parts = int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = grid.repartition(parts, "effect", "grid_point")  # few rows, before the draws multiply them

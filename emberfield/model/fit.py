@@ -79,6 +79,7 @@ class Fit:
     rows: int
     edf: float
     nu: float | None = None
+    nu_weights: dict[float, float] = field(default_factory=dict)
     zeros: int = 0
     dropped: int = 0
     rounds: int = 1
@@ -109,8 +110,12 @@ class Fit:
             free = max(self.rows - self.edf, 1.0)
             sigma = self.sigma * np.sqrt(free / rng.chisquare(free, n_draws))
         nu = np.full(n_draws, self.nu) if self.nu else None
+        if self.nu_weights:
+            nu = rng.choice(list(self.nu_weights), n_draws, p=list(self.nu_weights.values()))
         hu = rng.beta(1 + self.zeros, 1 + self.rows, n_draws) if self.family == "hurdle_lognormal" else None
-        sd_site = np.full(n_draws, self.sds["site"]) if "site" in self.sds else None
+        sd_site = None
+        if "site" in self.sds:  # the log of a spread known from k effects has a variance of about 1 / 2k
+            sd_site = self.sds["site"] * np.exp(rng.standard_normal(n_draws) / np.sqrt(2.0 * len(self.sites)))
         return Draws(beta, sigma, nu, hu, sd_site)
 
 
@@ -266,6 +271,12 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([lgamma(v) for v in np.atleast_1d(x)])
 
 
+def _weights(grid: np.ndarray, height: np.ndarray) -> dict[float, float]:
+    """Posterior of the degrees of freedom on the grid, a step counting as wide as it is on the log scale."""
+    weight = np.exp(height - height.max()) * np.gradient(np.log(grid)) * grid
+    return dict(zip(grid.tolist(), (weight / weight.sum()).tolist()))
+
+
 def fit_student(
     df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0, nu: float | None = None,
     rounds: int = 100, tol: float = 1e-5,
@@ -307,8 +318,9 @@ def fit_student(
             beta = np.concatenate([[center - shift[-1] + (shift[1:-1] - m0) @ b], b])
             flat, _ = sum_blocks(rows, _student_pass(beta, sigma, dof, grid, shift), size * size)
             nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(flat[: size * size].reshape(size, size), shift)
+            height = constant + prior + flat[size * size:]
             if used <= NU_ROUNDS:  # then it rests, so that it cannot swing between two values
-                dof = float(grid[int(np.argmax(constant + prior + flat[size * size:]))])
+                dof = float(grid[int(np.argmax(height))])
             # Block spreads settle on the driver for these sums; a pass over the data costs more.
             before, old_b, old_center, old_sigma = dict(sds), b, center, sigma
             for _ in range(SETTLE):
@@ -339,5 +351,5 @@ def fit_student(
     va = 1.0 / (info * n0 / sigma**2 + (0.0 if np.isinf(prior_sd) else prior_sd**-2))
     return Fit(
         "student", response, spec, [t.name for t in parts], blocks, b, V, float(center), va, m0, sigma, int(round(n0)), edf,
-        nu=dof, sds=sds, rounds=used, dropped=every - int(round(n0)), converged=bool(moved < tol), moved=float(moved),
+        nu=dof, nu_weights=_weights(grid, height) if nu is None else {}, sds=sds, rounds=used, dropped=every - int(round(n0)), converged=bool(moved < tol), moved=float(moved),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model.design import complete_rows, design
-from ..model.fit import Draws
+from ..model.fit import Draws, Fit
 from ..model.predict import predict_draws, predict_packed
 from ..operators.categorical import label
 from ..operators.clean import in_window
@@ -53,6 +53,16 @@ def predict_scenarios(
     return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites)
 
 
+def predict_fitted(obs: DataFrame, fit: Fit, draws: Draws, key: str, impact: str, date: str, pairs: bool = False, **rest) -> DataFrame:
+    """:func:`predict_scenarios`, or :func:`predict_pairs`, with family, specification and known sites of the fit.
+
+    A site the fit has not seen gets an effect drawn from the spread of the sites.
+    """
+    site = fit.spec["site"]["column"] if fit.spec.get("site") else None
+    run = predict_pairs if pairs else predict_scenarios
+    return run(obs, fit.spec, draws, fit.family, key, impact, date, site=site, known_sites=fit.sites, **rest)
+
+
 def predict_pairs(
     obs: DataFrame, spec: Mapping, draws: Draws, family: str, key: str, impact: str, date: str,
     start: str | None = None, end: str | None = None, seed: int = 0, site: str | None = None, known_sites: Sequence = (),
@@ -117,9 +127,15 @@ def ccdf_table(
 
 
 def difference_curve(
-    long: DataFrame, key: Sequence[str], by: Sequence[str] = (), method: str = "auto", largest: int | None = None
+    long: DataFrame, key: Sequence[str], by: Sequence[str] = (), method: str = "auto", largest: int | None = None, hit: str | None = None,
+    zero: str = "zero",
 ) -> DataFrame:
-    """Density of actual minus counterfactual, per site when ``by`` names it."""
+    """Density of actual minus counterfactual, per site when ``by`` names it.
+
+    With ``hit``, the impact column, only observations that were really hit count: the others have no difference.
+    """
+    if hit:  # an actual row without impact goes, and its pair with it
+        long = long.filter((F.col("scenario") != "actual") | (F.col(hit) != zero))
     pairs = paired_contrast(long, [*key, "draw_id", *by])
     return density_curve(pairs, by, "difference", method=method, largest=largest)
 

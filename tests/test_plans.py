@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -140,3 +141,23 @@ def test_bloom_exceedance(spark, observed):
 def test_scenario_needs_the_factor_in_the_model(observed):
     with pytest.raises(ValueError, match="no factor"):
         predict_scenarios(observed, {"linear": ["rain"]}, None, "student", "obs_id", "impact", "date")
+
+
+def test_fit_drives_the_prediction(spark):
+    """Sites of the fit are known without being named; both scenarios hold the same complete rows."""
+    from emberfield.model.fit import fit_student
+    from emberfield.plans.contrast import predict_fitted
+
+    rows = [(i, f"s{i % 4}", ["zero", "high"][i % 2], float(i % 7) + i % 4, "2020-03-05") for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, site string, impact string, y double, d string").withColumn("d", F.to_date("d"))
+    fit = fit_student(df, "y", {"factors": {"impact": ["zero", "high"]}, "site": {"column": "site", "levels": ["s0", "s1", "s2", "s3"]}}, nu=5.0)
+    draws = fit.draws(50, seed=1)
+    assert len(set(draws.sd_site)) > 1
+    window = spark.createDataFrame([(1, "s1", "high"), (2, "new", "high"), (3, "s2", "odd"), (4, "s2", None)], "i long, site string, impact string").withColumn("d", F.to_date(F.lit("2020-03-05")))
+    out = predict_fitted(window, fit, draws, "i", "impact", "d").collect()
+    assert sorted((r["i"], r["scenario"]) for r in out) == [(i, s) for i in (1, 2) for s in ("actual", "counterfactual")]
+    pairs = predict_fitted(window, fit, draws, "i", "impact", "d", pairs=True).collect()
+    want = {r["i"]: r["draws"] for r in out if r["scenario"] == "actual"}
+    assert len(pairs) == len(want) == 2 and all(np.allclose(r["actual"], want[r["i"]]) for r in pairs)
+    with pytest.raises(ValueError, match="not a level"):
+        predict_fitted(window, replace(fit, spec={"factors": {"impact": ["low", "high"]}}), draws, "i", "impact", "d")
