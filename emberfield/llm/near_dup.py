@@ -28,7 +28,7 @@ SHINGLE, PERCENT = 5, 75
 BAND, TABLES, MINHASHES = 2, 20, 128
 AGREE = 72  # of MINHASHES; a pair at similarity 0.75 agrees on 96 on average, with a deviation of 4.9
 PAIRS_UP_TO = 8
-BUCKET_BLOCK, SET_BLOCK = 1024, 128
+BUCKET_BLOCK, SET_BLOCK = 256, 128
 
 _rng = np.random.default_rng(20_240_607)
 FACTORS = (_rng.integers(0, 1 << 31, MINHASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)

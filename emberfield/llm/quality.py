@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,11 +171,9 @@ def score_quality(docs: DataFrame, machine: Machine, text_col: str = "text", sco
     if score_col in docs.columns:
         docs = docs.drop(score_col)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype="float64")
-        return pd.Series(np.concatenate([weights.value.scores(*features(w)) for w in split_words(pa.array(texts, pa.large_string(), from_pandas=True))]))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(weights.value.scores(*features(w)) for w in split_words(texts))]))
 
     return docs.withColumn(score_col, score(F.coalesce(F.col(text_col), F.lit(""))))
 

@@ -133,7 +133,8 @@ def emit_keys(keys: Callable[[Words], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         key, ids, ks, start, count = (np.concatenate(c) for c in zip(*held))
-        key >>= U64(16)  # 48 bits: a key shared by chance only adds windows to verify
+        # Least hashes are small; mixed anew they spread evenly. 48 bits do: a key shared by chance only adds windows to verify.
+        key = mix(key, 9) >> U64(16)
         order = np.argsort(key, kind="stable")
         first = changes(key[order])
         many = np.append(~first[1:], False)

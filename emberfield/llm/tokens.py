@@ -11,6 +11,8 @@ import pyarrow as pa
 U64 = np.uint64
 # Bytes of text worked on together; a longer document is a piece of its own.
 PIECE = 1 << 20
+# Bytes hashed together: the tables of powers are as long.
+STRETCH = 1 << 18
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -92,7 +94,7 @@ class Words:
 def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out, i = np.empty(len(starts), dtype=U64), 0
     while i < len(starts):  # the tables of powers stay small, also for long texts
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * PIECE, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STRETCH, side="right")))
         a, b = int(starts[i]), int(ends[j - 1])
         out[i:j] = range_sums(data[a:b].astype(U64) + U64(1), starts[i:j] - a, ends[i:j] - a, BYTES)
         i = j
