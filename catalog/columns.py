@@ -20,16 +20,26 @@ from .common import IMPACT_ORDER, KIND_IMPACT, SAMPLES_SQL, WINDOW_END, WINDOW_S
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
 
 
+def year_bounds(y: int) -> tuple[str | None, str | None]:
+    """First and last day of a slice; the outer slices are open, so that no day is lost."""
+    return (None if y == YEARS[0] else f"{y}-01-01"), (None if y == YEARS[-1] else f"{y}-12-31")
+
+
+def year_sql(y: int) -> str:
+    first, last = year_bounds(y)
+    return " AND ".join(["TRUE", *([f"o_orderdate >= DATE '{first}'"] if first else []), *([f"o_orderdate < DATE '{y + 1}-01-01'"] if last else [])])
+
+
 @query("union_yearly", "\nUNION ALL\n".join(
     f"SELECT o_orderkey, CAST({y} AS BIGINT) AS year, o_totalprice, "
     + ("CAST(NULL AS VARCHAR)" if y == YEARS[-1] else "o_orderpriority") + " AS priority "
-    f"FROM orders WHERE o_orderdate >= DATE '{y}-01-01' AND o_orderdate < DATE '{y + 1}-01-01'" for y in YEARS))
+    f"FROM orders WHERE {year_sql(y)}" for y in YEARS))
 def union_yearly(spark, d):
-    """One slice per year; the last layout lacks a column."""
+    """One slice per year, the first and the last one open; the last layout lacks a column."""
     orders = table(spark, d, "orders")
     parts = []
     for y in YEARS:
-        part = filter_window(orders, "o_orderdate", f"{y}-01-01", f"{y}-12-31")
+        part = filter_window(orders, "o_orderdate", *year_bounds(y))
         cols = ["o_orderkey", F.lit(y).cast("bigint").alias("year"), "o_totalprice"]
         if y != YEARS[-1]:
             cols.append(F.col("o_orderpriority").alias("priority"))
