@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .tokens import OTHER, PLAIN, U64, Words, mix, split_words
 
 # Rows a task gathers before it sums them up and passes them on.
-FLUSH = 1 << 19
+FLUSH = 1 << 20
 # Spans and starts on the way to their documents.
 SPAN, START = [np.int64, np.int64, np.int32, np.int32], [np.int64, np.int64, np.int32]
 # Stands for a missing id, so that missing ids come last.
