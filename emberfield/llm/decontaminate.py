@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, lower_ascii
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# The same words before A-Z is lower-cased, as an expression and inside a SQL text.
+ANY_CASE = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
+ANY_CASE_SQL = ANY_CASE.replace("\\", "\\\\")
 # The set is broadcast up to this many windows of about 100 bytes; a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -114,10 +117,7 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col:
     hits = find_hits(rows, windows, ["n"], "text", ("row",))
     hits = hits.groupBy("n").agg(F.first("row", ignorenulls=True).alias("row"), F.collect_list(F.expr("if(at IS NULL, NULL, sequence(at, at + len - 1))")).alias("hit"))
     rows = hits.select("row.*", F.array_distinct(F.flatten("hit")).alias("hit"))
-    gaps = F.split("text", r"[0-9A-Za-z\x80-\x{10FFFF}]+")
-    cut = F.expr(f"""concat(gaps[0], array_join(transform(regexp_extract_all(text, '{WORDS_ANY}', 0),
+    gaps = F.split("text", ANY_CASE)
+    cut = F.expr(f"""concat(gaps[0], array_join(transform(regexp_extract_all(text, '{ANY_CASE_SQL}', 0),
         (x, i) -> concat(if(array_contains(hit, i), '', x), gaps[i + 1])), ''))""")
     return rows.withColumn("gaps", gaps).select("id", F.when(F.size("hit") == 0, F.col("text")).otherwise(cut).alias("text"))
-
-
-WORDS_ANY = r"[0-9A-Za-z\\x80-\\x{10FFFF}]+"
