@@ -159,6 +159,6 @@ def exceedance_table(
     # Two numbers per row before the shuffle; the draws are not unfolded.
     rows = packed.select(
         *by, F.size(F.filter("draws", lambda v: value(v) >= level)).alias("_hits"),
-        F.size(F.filter("draws", lambda v: value(v).isNotNull() & level.isNotNull())).alias("_draws"),
+        F.when(value(F.lit(1.0)).isNotNull() & level.isNotNull(), F.size(F.array_compact("draws"))).otherwise(0).alias("_draws"),
     )
     return rows.groupBy(*by).agg(F.try_divide(F.sum("_hits").cast("double"), F.sum("_draws")).alias("exceedance"))
