@@ -45,13 +45,14 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("name", "parent", "children", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "holds", "called")
 
     def __init__(self, name: str, parent: Node | None, aside: bool = False, named: bool = False):
         self.name, self.parent, self.aside, self.named = name, parent, aside, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.holds = self.called = False
 
 
 def _marks(more: str) -> tuple[bool, bool]:
@@ -132,6 +133,8 @@ def measure(root: Node) -> list[Node]:
         inner = _elements(node)
         node.chars = own + sum(c.chars for c in inner)
         node.tags = sum(c.tags + 1 for c in inner)
+        node.holds = node.named or any(c.holds for c in inner)
+        node.called = node.name in CONTAINER or any(c.called for c in inner)
         if node.name == "a":
             node.link_chars, node.link_tags = node.chars, node.tags + 1
         else:
@@ -147,7 +150,11 @@ def measure(root: Node) -> list[Node]:
 
 
 def article(root: Node) -> tuple[Node, set[int]]:
-    """The node to read, and the ids of its descendants to leave out."""
+    """The node to read, and the ids of its descendants to leave out.
+
+    The core is the outermost node on the path from the best one to the body that is, or else is named as, the article; without
+    one, the body with its threshold. Neighbours of the core's path that are as dense, or named too, are read with it.
+    """
     order = measure(root)
     best = max(order, key=lambda n: n.sum)
     if best.sum <= 0:
@@ -155,18 +162,33 @@ def article(root: Node) -> tuple[Node, set[int]]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    # A container that names itself the article is read whole.
-    for node in path:
-        if node.name in CONTAINER or node.named and node.name not in ("body", "html"):
-            if not any(n.name in CONTAINER for n in path[path.index(node) + 1:]):
-                return node, set()
+    calls = [n for n in path if n.name in CONTAINER]
+    named = [n for n in path if n.named and n.name not in ("body", "html")]
     top = next((n for n in path if n.name == "body"), path[-1])
+    if calls and path.index(calls[-1]) >= path.index(top):
+        return calls[-1], set()
     path = path[: path.index(top) + 1]
+    named = [n for n in named if n in path]
+    core = calls[-1] if calls else named[-1] if named else top
+    # What lies in the core is read whole, but for lists of links around the inmost node that is named.
+    inmost = core if calls else named[0] if named else best
     least = min(n.density for n in path)
     out: set[int] = set()
-    for child, node in zip(path, path[1:]):
-        out |= {id(c) for c in _elements(node) if c is not child and c.density < least and not re.fullmatch("h[1-6]|p|br", c.name)}
-    return top, out
+    reach = path.index(core)
+    for k in range(path.index(inmost), len(path) - 1):
+        for c in _elements(path[k + 1]):
+            if c is path[k] or not c.chars:
+                continue
+            dense, links = c.density >= least, 2 * c.link_chars > c.chars
+            if calls:
+                kept = dense and c.called
+            else:
+                kept = dense or re.fullmatch("h[1-6]|p|br", c.name) or not links and (c.holds or named and k < path.index(core))
+            if not kept:
+                out.add(id(c))
+            else:
+                reach = max(reach, k + 1)
+    return path[reach], out
 
 
 def read(node: Node, out: set[int]) -> str:

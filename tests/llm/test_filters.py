@@ -218,3 +218,20 @@ def test_pages(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got) and {r["text"] for r in got if r["id"] is not None} == {t.strip() for t in PAGES.values()}
     assert max(r["n_chars"] for r in got) == 499_999
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BLOCK_PAGES = {
+    # No block of the three holds more than a third; the parent's sum is less than a part's.
+    "<body><div id=story>{}</div></body>".format("".join(f"<div class=story-part>{f'<p>{k} {PARAGRAPH}</p>' * 5}</div>" for k in "abc")): " ".join(f"{k} {PARAGRAPH.strip()}" for k in "abc" for _ in range(5)),
+    f"<body><ul class=links><li><a href=x>One</a><li><a href=y>Two</a></ul><div class=post-intro><p>What it is about.</p></div><div class=post-body>{f'<p>{PARAGRAPH}</p>' * 5}</div></body>":
+        "What it is about. " + PARAGRAPH * 5,
+    f"<body><div class=row><div class=post-intro><span>Lead.</span></div></div><div class=row><div class=post-body>{f'<p>{PARAGRAPH}</p>' * 5}</div></div></body>": "Lead. " + PARAGRAPH * 5,
+    f"<body><div id=content><div class=left><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class=entry>{f'<p>{PARAGRAPH}</p>' * 5}</div><div class=data><table><tr><td>1<td>2</table></div></div>Made by us</body>":
+        PARAGRAPH * 5 + "1 2",
+    f"<body><article>{f'<p>a {PARAGRAPH}</p>' * 5}</article><div>Between</div><article>{f'<p>b {PARAGRAPH}</p>' * 5}</article></body>": f"a {PARAGRAPH}" * 5 + f"b {PARAGRAPH}" * 5,
+}
+
+
+@pytest.mark.parametrize("page", BLOCK_PAGES)
+def test_articles_in_several_blocks(page):
+    assert main_text(page) == BLOCK_PAGES[page].strip()
