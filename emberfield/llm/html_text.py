@@ -18,14 +18,21 @@ from pyspark.sql import functions as F
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+MEDIA = frozenset("object canvas audio video".split())
+FOREIGN = frozenset(["svg", "math"])
+# Nodes of svg and math that hold HTML again.
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"br", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
-NEVER = frozenset("head nav header footer aside form button select menu dialog input label fieldset".split()) | RAW
+# Start tags that end svg and math left open.
+BREAKOUT = BLOCK | frozenset("b big code em embed font i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
+NEVER = frozenset("head nav header footer aside form button select menu dialog input label fieldset svg".split()) | RAW | MEDIA
 CONTAINER = frozenset(["article", "main"])
+NAMED = frozenset("article main content post entry story".split())
 ENDS_WITH = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
              "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",))}
 # Words of class, id and role that mark what is not the article.
@@ -39,35 +46,41 @@ BESIDE = frozenset("no with without has".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "holds", "called")
+    __slots__ = ("name", "parent", "children", "foreign", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "holds", "called")
 
     def __init__(self, name: str, parent: Node | None, aside: bool = False, named: bool = False):
         self.name, self.parent, self.aside, self.named = name, parent, aside, named
         self.children: list[Node | str] = []
+        self.foreign = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.holds = self.called = False
 
 
 def _marks(more: str) -> tuple[bool, bool]:
-    """Do class, id, role or style say that a node is not, or is, the article?"""
+    """Do class, id, role or style say that a node is not, or is, the article?
+
+    A class or id of its own that names the article outweighs others that do not, as in "post comments-open".
+    """
     if not more or "=" not in more and "hidden" not in more:
         return False, False
-    words = [{x.lower() for x in PARTS.findall(name)} for m in NAMES.findall(more) for name in "".join(m).split()]
-    words = [w for w in words if not w & BESIDE]
-    return any(w & ASIDE for w in words) or bool(HIDDEN.search(more)), any(w & {"article", "main", "content", "post", "entry", "story"} for w in words)
+    words = [(m[0].lower() == "role", {x.lower() for x in PARTS.findall(name)}) for m in NAMES.findall(more) for name in "".join(m[1:]).split()]
+    words = [(role, w) for role, w in words if not w & BESIDE]
+    own = any(w & NAMED and not w & ASIDE for _, w in words)
+    return any(w & ASIDE and (role or not own) for role, w in words) or bool(HIDDEN.search(more)), any(w & NAMED for _, w in words)
 
 
 def parse(page: str) -> Node:
     """Tree of a page; unclosed and stray tags are put right the way browsers do, roughly."""
     root = at = Node("html", None)
     pos = 0
+    media: dict[int, tuple[Node, bool]] = {}
     while True:
         m = TOKEN.search(page, pos)
         text = page[pos: m.start() if m else len(page)]
@@ -76,6 +89,7 @@ def parse(page: str) -> Node:
                 text = text[: text.rindex("<")]  # a tag cut off by the end of the page
             at.children.append(html.unescape(text))
         if m is None:
+            _end_media(media)
             return root
         pos = m.end()
         name = (m["name"] or "").lower()
@@ -87,12 +101,16 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not root:
                 at = node.parent
+                media.pop(id(node), None)
             elif name == "p":
                 at.children.append(Node("p", at))
             continue
+        if name in BREAKOUT:
+            while at.foreign and at.name not in POINTS:
+                at = at.parent
         if name in CLOSES_P:
             node = at
-            while node is not root and node.name not in ("p", "button", "td", "th", "table", "caption"):
+            while node is not root and node.name not in ("p", "button", "td", "th", "table", "caption", *MEDIA, *FOREIGN):
                 node = node.parent
             if node.name == "p":
                 at = node.parent
@@ -107,14 +125,30 @@ def parse(page: str) -> Node:
                 at = found.parent
         aside, named = _marks(m["more"])
         node = Node(name, at, aside and name not in ("body", *CONTAINER) or name in NEVER, named or name in CONTAINER)
+        node.foreign = name in FOREIGN or at.foreign and at.name not in POINTS
         at.children.append(node)
+        # The slash means nothing on these.
+        ended = m["more"].endswith("/") and (node.foreign or name not in ("div", "p", "span", "a", "section", "article", "li", "td", *MEDIA))
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = close.end() if close else len(page)
-        elif name not in VOID and not m["more"].endswith("/"):
+            if not (node.foreign and ended):
+                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+                pos = close.end() if close else len(page)
+        elif name not in VOID and not ended:
             at = node
-        elif name not in VOID and name in ("div", "p", "span", "a", "section", "article", "li", "td"):
-            at = node  # the slash means nothing on these
+            if name in MEDIA:
+                media[id(node)] = node, m["more"].endswith("/")
+
+
+def _end_media(left_open: dict[int, tuple[Node, bool]]) -> None:
+    """Ends media elements that no tag ended before their first block, or at their slash; the rest belongs to their parents."""
+    for node, slash in reversed(left_open.values()):
+        first = 0 if slash else next((i for i, c in enumerate(node.children) if isinstance(c, Node) and c.name in BLOCK), len(node.children))
+        moved, node.children = node.children[first:], node.children[:first]
+        for c in moved:
+            if isinstance(c, Node):
+                c.parent = node.parent
+        at = next(i for i, c in enumerate(node.parent.children) if c is node) + 1
+        node.parent.children[at:at] = moved
 
 
 def _elements(node: Node):

@@ -235,3 +235,20 @@ BLOCK_PAGES = {
 @pytest.mark.parametrize("page", BLOCK_PAGES)
 def test_articles_in_several_blocks(page):
     assert main_text(page) == BLOCK_PAGES[page].strip()
+
+
+CUT_PAGES = {
+    f"<article><p>{PARAGRAPH}<svg viewBox='0 0 1 1'/> after <math/> math</p><p>End</p></article>": f"{PARAGRAPH}after math End",
+    f"<article><svg><title/><text>Axis</text></svg><p>{PARAGRAPH}</p><svg><path d=x><p>Next</p></article>": f"{PARAGRAPH}Next",
+    f"<article><p>{PARAGRAPH}<svg><foreignObject><div>Label</div></foreignObject></svg> end</p></article>": f"{PARAGRAPH}end",
+    **{f"<article><div><{x} data=a>Fallback</div><p>{PARAGRAPH}</p><{x}><p>Next</p><p>And <{x} src=b />so on</p></article>": f"{PARAGRAPH}Next And so on" for x in ("object", "video", "audio", "canvas")},
+    f"<article><p>One <video><p>Fallback</p></video>two <object><object>In</object>out</object>three {PARAGRAPH}</p></article>": f"One two three {PARAGRAPH}",
+    f"<article><p>{PARAGRAPH}So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>": f"{PARAGRAPH}So a=1 holds.",
+    f"<body><div class='post comments-open'><p>{PARAGRAPH}</p></div><div class='post-comments'><p>Me too</p></div></body>": PARAGRAPH,
+    f"<body><section id=story class='category-advertising'><p>{PARAGRAPH}</p></section><div class=content role=navigation>Menu</div></body>": PARAGRAPH,
+}
+
+
+@pytest.mark.parametrize("page", CUT_PAGES)
+def test_no_article_text_cut(page):
+    assert main_text(page) == CUT_PAGES[page].strip()
