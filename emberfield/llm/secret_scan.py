@@ -1,8 +1,8 @@
 """Secrets in text, with the corpus-wide ownership of each.
 
 Patterns give candidates; their hashes are counted over the whole corpus by distinct repositories and owners. A
-value that many owners hold is a copied example, one that a single owner holds looks live. High-entropy tokens of a
-single owner that no pattern names are added as spans of kind ``owned``.
+value that many owners hold, or one owner in many repositories, is a copied example; one that a single owner holds in few
+looks live. High-entropy tokens that look live and that no pattern names are added as spans of kind ``owned``.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "owned"]
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 TOKEN_LEAST, ENTROPY_LEAST = 20, 3.5
-# Owners from which on a value counts as a widely copied example.
-COPIED = 3
+# Owners, and repositories, from which on a value counts as a widely copied example.
+COPIED, COPIED_REPOS = 3, 10
 
 _HEX = np.isin(np.arange(256), [*range(48, 58), *range(97, 103)])
 _TOKEN = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), 43, 45, 47, 95])
@@ -108,8 +108,8 @@ def find_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
     """A row per document: ``id``, ``found``: an array of (start, end, kind, hash, owners, repos, verdict) in order.
 
-    ``verdict`` is "example" for values of at least COPIED owners, "live" for those of one owner, else "shared". The repository
-    is the document where ``repo_col`` is not given. A null or empty text has no secrets; a null owner is an owner of
+    ``verdict`` is "example" for values of at least COPIED owners or COPIED_REPOS repositories, else "live" for those of one
+    owner, else "shared". A repository is one of its owner's, and the document where ``repo_col`` is not given. A null or empty text has no secrets; a null owner is an owner of
     its own; rows repeated are scanned each, and count once as repositories. Other columns are not read.
     """
     rows = docs.select(
@@ -120,7 +120,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = rows.filter(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
     # Summed before each shuffle: a value copied everywhere is one row per task, owner and repository.
     spread = each.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
-    verdict = F.when(F.col("owners") >= COPIED, "example").when(F.col("owners") == 1, "live").otherwise("shared")
+    verdict = F.when((F.col("owners") >= COPIED) | (F.col("repos") >= COPIED_REPOS), "example").when(F.col("owners") == 1, "live").otherwise("shared")
     told = each.join(spread, "hash").withColumn("verdict", verdict).filter("kind < 3 OR verdict = 'live'")
     found = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repos", "verdict"))).alias("found"))
     return rows.select("row", "id").join(found, "row", "left").select("id", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))

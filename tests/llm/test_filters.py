@@ -11,7 +11,7 @@ from emberfield.llm.decontaminate import contamination, drop_contaminated, remov
 from emberfield.llm.html_text import extract_text, main_text
 from emberfield.llm.mixing import capped_targets, mix_sources, sainte_lague
 from emberfield.llm.quality import Machine, keep_good, learn_quality, score_quality
-from emberfield.llm.secret_scan import digest, scan_secrets
+from emberfield.llm.secret_scan import COPIED_REPOS, digest, scan_secrets
 from emberfield.llm.url_filter import judge_urls, split_url
 
 from . import brute
@@ -77,6 +77,24 @@ def test_secrets(spark):
     assert digest(scan_secrets(frame(spark, []))).count() == 0
 
 
+def test_secrets_of_many_repositories(spark):
+    token = "aB3dE5fG7hJ9kL1mN3pQ"
+    hot = [(i, f"see {token}1 and secret=copied-word", "en", "hot", *[None] * 5) for i in range(COPIED_REPOS)]
+    few = [(100 + i, f"see {token}2 and secret=other-word", "en", "hot", *[None] * 5) for i in range(COPIED_REPOS - 1)]
+    same = [(200, f"see {token}3", "en", "hot", *[None] * 5)] * COPIED_REPOS  # one repository
+    two = [(300 + i, "secret=third-word", "en", f"s{i % 2}", *[None] * 5) for i in range(COPIED_REPOS)]
+    by = {r["id"]: r for r in digest(scan_secrets(frame(spark, hot + few + same + two))).collect()}
+    for i in range(COPIED_REPOS):
+        assert (by[i]["n_assign"], by[i]["n_owned"], by[i]["n_live"], by[i]["n_example"]) == (1, 0, 0, 1)
+        assert (by[300 + i]["n_live"], by[300 + i]["n_example"]) == (0, 1)
+    for i in range(COPIED_REPOS - 1):
+        assert (by[100 + i]["n_assign"], by[100 + i]["n_owned"], by[100 + i]["n_live"], by[100 + i]["n_example"]) == (1, 1, 2, 0)
+    assert by[200]["n_owned"] == 1
+    # Repositories of a column of their own: 40 documents of one are one.
+    rows = frame(spark, [(i, f"see {token}4", "one", "hot", *[None] * 5) for i in range(40)])
+    assert {r["n_owned"] for r in digest(scan_secrets(rows, repo_col=rows.columns[2])).collect()} == {1}
+
+
 def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower_ascii(text or ""))
 
