@@ -1,10 +1,10 @@
-"""Long repeats by a sparse suffix array.
+"""Long repeats by hash buckets of minimisers, in place of a suffix order.
 
 Of all suffixes of the texts only those are kept that begin at a minimiser: the least of the hashes of HEAD words in
 a row within some window of WINDOW words. Two places that share WINDOW words share such a suffix at the same distance. The kept
-suffixes are sorted by the hash of their first HEAD words and neighbours compared; where neighbours agree, the match
-is extended: every window of WINDOW words around the suffix, as far to the left and to the right as the minimiser rules,
-is compared in full with the same windows elsewhere, and windows that also start earlier are merged into spans.
+suffixes meet by a hash of their first HEAD words alone; they are not sorted by the words that follow, and no common
+prefix is extended. Where two meet, every window of WINDOW words that the minimiser rules is hashed anew, in 96 bits, and
+compared with all such windows elsewhere; windows that also start earlier are merged into spans.
 """
 
 from __future__ import annotations
