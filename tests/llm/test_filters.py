@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from emberfield.llm import mixing
 from emberfield.llm.decontaminate import contamination, drop_contaminated, remove_passages
 from emberfield.llm.html_text import extract_text, main_text
 from emberfield.llm.mixing import capped_targets, mix_sources, sainte_lague
@@ -189,6 +190,23 @@ def test_mixing(spark):
     assert [r["taken"] for r in mix_sources(frame(spark, [(1, None, *[None] * 7)])).collect()] == [0]
 
 
+def test_mixing_many_sources(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"s{i}" for i in range(150)] + ["é", None]
+    # Many sources of equal size tie at the last quotient; some are small enough to be capped, some empty.
+    size = {n: rng.choice([0, 3, 40, 40, 40, 900]) for n in names}
+    rows = [(i, " ".join(["w"] * size[n]), "en", n, *[None] * 5) for i, n in enumerate(names * 2)]
+    for weights, cap in [((5, 2, 1), 3), ((1000, 1), 1)]:
+        few = mix_sources(frame(spark, rows), weights, cap, shard_words=500).collect()
+        monkeypatch.setattr(mixing, "MAX_SOURCES", 20)
+        many = mix_sources(frame(spark, rows), weights, cap, shard_words=500).collect()
+        monkeypatch.undo()
+        assert sorted(map(tuple, many)) == sorted(map(tuple, few)) and len(many) == len(rows)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 20)
+    none = mix_sources(frame(spark, [(i, None, "en", n, *[None] * 5) for i, n in enumerate(names)])).collect()
+    assert len(none) == len(names) and {(r["target"], r["taken"]) for r in none} == {(0.0, 0)}
+
+
 def test_quality(spark):
     rng = random.Random(6)
     good = lambda: ". ".join(" ".join(f"w{rng.randrange(300)}" for _ in range(9)) for _ in range(rng.randrange(1, 12)))
