@@ -1,10 +1,10 @@
 """Long repeats by recompression: rounds that name runs and pairs of symbols the same way everywhere.
 
-Names are 64-bit hashes of what they stand for, so they are global without an exchange. The first round names runs of
-one word; each round then splits the symbols into left and right ones by a bit of their name and names the pairs
-(left, right). Whether two neighbours join depends on them alone, so two equal windows agree on all symbols but those
-at their ends. A window is keyed by the least hash of the phrases (a few symbols in a row) that lie inside for sure;
-equal windows have equal keys, and repeated keys are verified window by window.
+Names are 64-bit hashes of what they stand for, so they are global without an exchange. Runs of one word
+are named once, before the rounds; each of ROUNDS rounds then splits the symbols into left and right ones by a bit of
+their name and names the pairs (left, right). Whether two neighbours join depends on them alone, so two equal windows
+agree on all symbols but those at their ends. A window is keyed by the least hash of the phrases (a few symbols in a row) that lie inside for sure;
+equal windows have equal keys, and windows with repeated keys are verified by hashes of all their words.
 """
 
 from __future__ import annotations
