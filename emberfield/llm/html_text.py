@@ -28,6 +28,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"br", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
+# Where the search for an open p ends.
+HOLDS_P = frozenset("p button td th table caption".split()) | MEDIA | FOREIGN
+# On these the slash of a start tag means nothing.
+UNSLASHED = frozenset("div p span a section article li td".split()) | MEDIA
 # Start tags that end svg and math left open.
 BREAKOUT = BLOCK | frozenset("b big code em embed font i img listing meta nobr ruby s small span strike strong sub sup tt u var".split())
 NEVER = frozenset("head nav header footer aside form button select menu dialog input label fieldset svg".split()) | RAW | MEDIA
@@ -110,7 +114,7 @@ def parse(page: str) -> Node:
                 at = at.parent
         if name in CLOSES_P:
             node = at
-            while node is not root and node.name not in ("p", "button", "td", "th", "table", "caption", *MEDIA, *FOREIGN):
+            while node is not root and node.name not in HOLDS_P:
                 node = node.parent
             if node.name == "p":
                 at = node.parent
@@ -127,8 +131,7 @@ def parse(page: str) -> Node:
         node = Node(name, at, aside and name not in ("body", *CONTAINER) or name in NEVER, named or name in CONTAINER)
         node.foreign = name in FOREIGN or at.foreign and at.name not in POINTS
         at.children.append(node)
-        # The slash means nothing on these.
-        ended = m["more"].endswith("/") and (node.foreign or name not in ("div", "p", "span", "a", "section", "article", "li", "td", *MEDIA))
+        ended = m["more"].endswith("/") and (node.foreign or name not in UNSLASHED)
         if name in RAW:
             if not (node.foreign and ended):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
