@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import table
 from .content_sort import exact_groups
 from .decontaminate import contamination
 from .html_text import extract_text
+from .language_id import held_out as language_held_out
+from .language_id import learn_languages, tell_languages
 from .mixing import mix_sources
 from .near_dup import near_groups
 from .quality import held_out, learn_quality, score_quality
 from .recompression import drop_repeated_passages
 from .secret_scan import digest, scan_secrets
+from .spelling import spelling_groups
 from .suffix_dedup import repeated_spans
 from .url_filter import judge_urls
 
@@ -132,3 +136,54 @@ m AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) A
 SELECT doc_id, min(p) - 1 AS start, max(p) AS "end", count(*) AS n_words FROM m GROUP BY doc_id, grp""")
 def op1(spark, folder):
     return repeated_spans(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# CRC32 bit by bit; words one edit apart share what is left when a letter is dropped at the same place, or one is the other less a letter.
+@query("op11_spelling", r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+e AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM d GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, n, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), 0, 0, 0, 0, 0, 0, 0] ELSE [192 | (unicode(c) >> 6), 0, 0, 0, 0, 0, 0, 0, 128 | (unicode(c) & 63), 0, 0, 0, 0, 0, 0, 0] END)),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM e WHERE length(run) >= 6),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+i AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS MATERIALIZED (SELECT *, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM i),
+p AS MATERIALIZED (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+r AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN r USING (word)),
+t AS (WITH RECURSIVE s AS (SELECT word, word AS here, form AS next FROM f UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next) SELECT word, here AS root FROM s WHERE next IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t USING (word)""")
+def op11(spark, folder):
+    return spelling_groups(table(spark, folder, "documents"))
+
+
+@query("op12_collocations", r"""WITH d AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS MATERIALIZED (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS MATERIALIZED (SELECT lang, piece, unnest(w) AS w1, unnest(range(len(w))) AS pos FROM w),
+q AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY piece ORDER BY pos)),
+g AS MATERIALIZED (SELECT lang, 1 AS k, w1 AS phrase FROM q UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM q WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM q WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM q WHERE w4 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS MATERIALIZED (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cut AS MATERIALIZED (SELECT lang, k, phrase, a, unnest(range(1, k)) AS j, w FROM c),
+s AS MATERIALIZED (SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score FROM cut c
+  JOIN f x ON x.lang || ' ' || x.phrase = c.lang || ' ' || array_to_string(w[1:j], ' ') JOIN f y ON y.lang || ' ' || y.phrase = c.lang || ' ' || array_to_string(w[j+1:], ' ')),
+b AS MATERIALIZED (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+sub AS MATERIALIZED (SELECT lang, phrase, max(a) AS longer FROM (
+  SELECT lang, a, unnest(list_transform(range(1, k), lambda i: array_to_string(w[i:i + 1], ' '))) AS phrase FROM c WHERE k > 2
+  UNION ALL SELECT lang, a, unnest(list_transform(range(1, k - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM c WHERE k > 3) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT b.* FROM b LEFT JOIN sub USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM rk JOIN n USING (lang) WHERE rank <= 2000""")
+def op12(spark, folder):
+    return collocations(table(spark, folder, "documents"))
+
+
+@query("op13_language_id")
+def op13(spark, folder):
+    docs = table(spark, folder, "documents")
+    told = tell_languages(docs.select("doc_id", "text"), learn_languages(docs))
+    return told.select("doc_id", language_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -113,24 +113,24 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
 
 
-def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about PIECE bytes, at least one text each."""
+def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``size`` bytes, at least one text each."""
     i = 0
     while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield i, j
         i = j
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """Words (white space of six kinds between them) of a string column, piece by piece."""
+def split_words(texts: pa.Array, lower: bool = False, gaps: np.ndarray = _SPACES, size: int = PIECE) -> Iterator[Words]:
+    """Words (white space of six kinds, or the bytes marked in ``gaps``, between them) of a string column, piece by piece."""
     offsets, data = text_bytes(texts)
-    for i, j in pieces(offsets):
+    for i, j in pieces(offsets, size):
         part = data[offsets[i]: offsets[j]]
         if lower:
             part = _LOWER[part]
         at = offsets[i: j + 1] - offsets[i]
-        word = ~_SPACES[part]
+        word = ~gaps[part]
         begin, end = word.copy(), word.copy()
         if len(word):
             begin[1:] &= ~word[:-1]

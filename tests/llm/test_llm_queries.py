@@ -26,7 +26,7 @@ def con():
 
 def test_registered():
     names = {n.split("_")[0] for n in contract.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in contract.queries()
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
 
 
