@@ -34,7 +34,8 @@ NO_LANGUAGE = "und"
 FIRST_ROUND, ROUND_GROWTH = 8, 8
 # Bitmaps have 16 bits for each hash up to this size (32 MB), from where wrong hits become more frequent.
 LEAST_BITS, MOST_BITS = 16, 28
-PIECE = 8 << 20
+# Bytes of text and hashes that a task holds at once.
+PIECE, HELD = 2 << 20, 1 << 20
 SLICES = 64
 
 _BREAKS = np.zeros(256, dtype=bool)
@@ -131,7 +132,7 @@ def _counter(size: int, clauses: Clauses, shared, named: bool, tail: bool):
                 if not named:
                     held.append((key, n))
                     waiting += len(key)
-                    if waiting > 4_000_000:
+                    if waiting > HELD:
                         yield from _flush(held)
                         held, waiting = [], 0
                     continue
