@@ -218,10 +218,6 @@ def exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _edges(ids, ks, np.concatenate(a), np.concatenate(b))
 
 
-def _nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.struct(F.col("a_id").alias("id"), F.col("a_k").alias("k")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_k").alias("k")).alias("b"))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: ``id``, ``k``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -243,12 +239,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = keys.groupBy("left").agg(F.count("*").alias("total")).filter("total > 1")
     rows = keys.join(full, "left").join(classes.select("rep.*", "sig"), ["id", "k"])
     rows = blocks(rows, "left", BUCKET_BLOCK, "total").select("key", "side", "id", "k", "sig").repartition(parts, "key")
-    near = components(_nodes(rows.mapInArrow(candidate_edges, EDGES)))
+    near = components(rows.mapInArrow(candidate_edges, EDGES))
     totals = near.groupBy("root").agg(F.count("*").alias("total"))
     sets = near.join(totals, "root").select("node.*", F.xxhash64("root").alias("root"), "total")
-    sets = texts.dropDuplicates(["id", "k"]).join(sets, ["id", "k"]).mapInArrow(full_sets, "id long, k long, root long, total long, shingles binary")
+    # Only the texts of candidates travel; rows repeated with one id and text count once.
+    sets = texts.join(sets, ["id", "k"]).dropDuplicates(["id", "k"]).mapInArrow(full_sets, "id long, k long, root long, total long, shingles binary")
     sets = blocks(sets, "root", SET_BLOCK, "total").select("key", "id", "k", "shingles").repartition(parts, "key")
-    final = components(_nodes(sets.mapInArrow(exact_links, EDGES)))
+    final = components(sets.mapInArrow(exact_links, EDGES))
     roots = classes.select("n", "one", "two", "rep").join(final, F.col("rep") == F.col("node"), "left").select("n", "one", "two", F.coalesce("root.id", "rep.id").alias("component"))
     out = every.select("id", "k", "n", "one", "two").join(roots, ["n", "one", "two"], "left").select("id", "k", "n", F.coalesce("component", "id").alias("component"))
     missing = lambda c: F.expr(f"nullif({c}, {NO_ID})")

@@ -1,7 +1,9 @@
 """Exact, near and substring duplicates against plain versions on small tables with odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from emberfield.llm import components as llm_components
 from emberfield.llm.components import components
 from emberfield.llm.content_sort import drop_exact_copies, exact_groups
 from emberfield.llm.near_dup import connect, drop_near_copies, linked, near_groups
@@ -108,9 +110,22 @@ def test_empty_tables(spark):
 
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 7), *[(i, i + 1) for i in range(20, 60)], *[(100, i) for i in range(101, 160)]]
-    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {(i, 1) for i in (1, 2, 3)} | {(8, 8), (9, 8)} | {(i, 20) for i in range(20, 61)} | {(i, 100) for i in range(100, 160)}
-    assert got == want
+    for parts in (1, 7):
+        rows = spark.createDataFrame([(a, 0, b, 0) for a, b in edges], "a_id long, a_k long, b_id long, b_k long").repartition(parts)
+        assert {(r["node"]["id"], r["root"]["id"]) for r in components(rows).collect()} == want
+    assert components(rows.filter("false")).collect() == []
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    """A node of 100,000 edges and a long chain, in tasks that see a few edges at a time."""
+    monkeypatch.setattr(llm_components, "CONTRACTED", 500)
+    n = 100_000
+    hub = spark.range(1, n + 1).selectExpr("id + 10 AS a_id", "0L AS a_k", f"{5 * n} AS b_id", "0L AS b_k")
+    chain = spark.range(1, 300).selectExpr(f"{9 * n} + id AS a_id", "1L AS a_k", f"{9 * n} + id + 1 AS b_id", "1L AS b_k")
+    got = components(hub.unionByName(chain).repartition(13)).selectExpr("node.id AS node", "root.id AS root", "root.k AS k")
+    seen = {(r["root"], r["k"]): r["n"] for r in got.groupBy("root", "k").agg(F.count("*").alias("n")).collect()}
+    assert seen == {(11, 0): n + 1, (9 * n + 1, 1): 300} and got.select("node").distinct().count() == n + 301
 
 
 def test_linked_and_connect():
