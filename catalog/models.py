@@ -13,6 +13,7 @@ from emberfield.model.design import design, learn_levels, learn_smooths, terms
 from emberfield.model.effects import conditional_effects, effect_grid
 from emberfield.model.fit import Draws, fit_hurdle_lognormal, fit_lognormal, fit_student
 from emberfield.model.gram import gram, gram_sql
+from emberfield.model.sites import fit_sites, site_sums
 from emberfield.operators.categorical import impact_window, lookup
 from emberfield.operators.clean import filter_window
 from emberfield.operators.joins import paired_contrast, packed_contrast
@@ -375,6 +376,76 @@ def site_intercept(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double").select("term", r("estimate", 5).alias("estimate"))
 
 
+# ---------------------------------------------------------------- effects of any number of sites
+
+MANY = """g AS (SELECT o_custkey AS site, count(*) AS n, avg(ln(o_totalprice)) AS m FROM orders WHERE o_totalprice > 0 AND o_custkey IS NOT NULL GROUP BY 1),
+w AS (SELECT *, n / (n + {s}e0 * {s}e0 / ({d}e0 * {d}e0)) AS w FROM g), b AS (SELECT sum(w * m) / sum(w) AS base FROM w)""".format(s=SITE_SIGMA, d=SITE_SD)
+
+
+@query("fit_many_sites", f"""WITH {MANY} SELECT CAST(site AS VARCHAR) AS site, n, {rq('w * (m - base)', 5)} AS effect, {rq(f'sqrt({SITE_SIGMA}e0 * {SITE_SIGMA}e0 * w / n)', 6)} AS sd FROM w, b
+UNION ALL SELECT 'intercept', (SELECT sum(n)::BIGINT FROM g), {rq('base', 5)}, NULL FROM b""")
+def many_sites(spark, d):
+    """An effect for each customer with orders, noise and spread given: the site block is eliminated, no term is dense."""
+    fit = fit_sites(table(spark, d, "orders"), "o_totalprice", {}, "o_custkey", prior_sd=float("inf"), fixed={"sigma": SITE_SIGMA, "site": SITE_SD})
+    effects = fit.effects().select(F.col("site").cast("string").alias("site"), "n", r("effect", 5).alias("effect"), r("sd").alias("sd"))
+    base = spark.createDataFrame([("intercept", fit.rows, float(fit.beta[0]), None)], "site string, n bigint, effect double, sd double")
+    return effects.unionByName(base.withColumn("effect", r("effect", 5)))
+
+
+@query("fit_many_sites_slope", f"""WITH o AS (SELECT l_suppkey AS site, l_quantity - 25 AS x, ln(l_extendedprice) - 10 AS y FROM lineitem WHERE l_extendedprice > 0),
+g AS (SELECT site, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, 1e0 / (count(*) + {SITE_SIGMA}e0 * {SITE_SIGMA}e0 / ({SITE_SD}e0 * {SITE_SD}e0)) AS w FROM o GROUP BY 1),
+a AS (SELECT sum(n - w * n * n) AS a11, sum(sx - w * n * sx) AS a12, sum(sxx - w * sx * sx) AS a22, sum(sy - w * n * sy) AS b1, sum(sxy - w * sx * sy) AS b2 FROM g),
+f AS (SELECT (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS base, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS slope FROM a)
+SELECT CAST(site AS VARCHAR) AS term, {rq('w * (sy - n * base - sx * slope)', 5)} AS estimate FROM g, f
+UNION ALL SELECT 'intercept', {rq('base + 10 - 25 * slope', 5)} FROM f UNION ALL SELECT 'slope', {rq('slope', 6)} FROM f""")
+def many_sites_slope(spark, d):
+    """The same with a covariate: slope and intercept from the small block that is left."""
+    fit = fit_sites(table(spark, d, "lineitem"), "l_extendedprice", {"linear": ["l_quantity"]}, "l_suppkey", prior_sd=float("inf"), fixed={"sigma": SITE_SIGMA, "site": SITE_SD})
+    effects = fit.effects().select(F.col("site").cast("string").alias("term"), r("effect", 5).alias("estimate"))
+    rest = [("intercept", float(np.round(fit.beta[0], 5))), ("slope", float(np.round(fit.beta[1], 6)))]
+    return effects.unionByName(spark.createDataFrame(rest, "term string, estimate double"))
+
+
+def site_prediction_sql(m: int) -> str:
+    """CTEs ending in ``p``: predictions whose site effects follow from the sums of all samples of the site before the window."""
+    key = f"CAST(obs_id AS VARCHAR) || ':' || scenario || ':{SEED}'"
+    place = f"'site:' || CAST(site AS VARCHAR) || ':{SEED}'"
+    dummies = ["1e0", "day_part", *[f"CASE WHEN impact = '{v}' THEN 1e0 ELSE 0e0 END" for v in IMPACT_ORDER[1:]]]
+    dot = " + ".join(f"b{i} * ({x})" for i, x in enumerate(dummies))
+    betas = ", ".join(f"{line_sql(ab)} AS b{i}" for i, ab in enumerate(BETA))
+    return f"""a AS (SELECT obs_id, date, site, {case_sql('kind', KIND_IMPACT)} AS impact, hour(ts) / 24e0 AS day_part, count FROM ({SAMPLES_SQL})),
+g AS (SELECT site, count(*) AS n, {', '.join(f'sum({x}) AS s{i}' for i, x in enumerate(dummies))}, sum(log10(count)) AS sy FROM a
+  WHERE date < DATE '{WINDOW_START}' AND count > 0 AND impact IS NOT NULL AND site % 3 <> 0 GROUP BY site),
+o AS (SELECT * FROM a WHERE date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' AND impact IS NOT NULL),
+sc AS (SELECT obs_id, site, day_part, impact, 'actual' AS scenario FROM o UNION ALL SELECT obs_id, site, day_part, 'zero', 'counterfactual' FROM o),
+dr AS (SELECT CAST(d AS BIGINT) AS draw_id, {betas}, {line_sql(SIGMA)} AS sigma, {line_sql(NU)} AS nu, {line_sql(SD_SITE)} AS sd_site FROM range({m}) t(d)),
+wd AS (SELECT *, {word_sql(key, 0)} AS wa, {word_sql(key, 1)} AS wb, {word_sql(place, 0)} AS sa, {word_sql(place, 1)} AS sb FROM sc LEFT JOIN g USING (site)),
+un AS (SELECT wd.*, dr.*, {mix_sql('wa', 'ua')}, {mix_sql('wb', 'ub')}, {mix_sql('sa', 'us')}, {mix_sql('sb', 'vs')},
+  1e0 / (coalesce(n, 0) + pow(sigma / sd_site, 2)) AS w, coalesce(sy - ({' + '.join(f'b{i} * s{i}' for i in range(len(dummies)))}), 0e0) AS res FROM wd, dr),
+p AS (SELECT obs_id, scenario, draw_id, {dot} + CASE WHEN site IS NULL THEN 0e0 ELSE w * res + sigma * sqrt(w) * {NORMAL.format(u='us', v='vs')} END
+  + sigma * sqrt(nu * (pow(ua, -2e0 / nu) - 1)) * cos(2e0 * pi() * ub) AS value FROM un)"""
+
+
+def site_predictions(spark, d, m: int, packed: bool):
+    """Effects of two thirds of the sites follow from their samples before the window; the other sites are new."""
+    obs = impacted(spark, d)
+    past = design(obs.filter((F.col("ts") < F.lit(dt.date.fromisoformat(WINDOW_START))) & (F.col("count") > 0) & (F.col("site") % 3 != 0)), SPEC)
+    shift = [0.0, 0.5, 0.0, 0.0, 0.0, 1.0]  # any place to measure from gives the same effects
+    sums = site_sums(past.withColumn("y", F.log10("count")), "x", "y", "site", shift)
+    window = filter_window(obs, "ts", WINDOW_START, WINDOW_END).select("obs_id", "date", "site", "impact", "day_part")
+    return predict_scenarios(window, SPEC, given_draws(m), "student", "obs_id", "impact", "date", seed=SEED, site="site", packed=packed, sums=sums, shift=shift)
+
+
+@query("predict_many_sites", f"WITH {site_prediction_sql(20)} {PREDICTED}")
+def many_sites_long(spark, d):
+    return long_rows(site_predictions(spark, d, 20, packed=False))
+
+
+@query("predict_many_sites_packed", f"WITH {site_prediction_sql(20)} {PREDICTED}")
+def many_sites_packed(spark, d):
+    return long_rows(explode_draws(site_predictions(spark, d, 20, packed=True), "draws"))
+
+
 @query("fit_hurdle_lognormal", f"""SELECT {rq('regr_intercept(CASE WHEN l_discount > 0 THEN ln(l_discount) END, l_quantity)', 5)} AS intercept,
 {rq('regr_slope(CASE WHEN l_discount > 0 THEN ln(l_discount) END, l_quantity)', 5)} AS slope, count(*) FILTER (WHERE l_discount > 0) AS n,
 {rq('(1e0 + count(*) FILTER (WHERE l_discount = 0)) / (2e0 + count(*))', 5)} AS zero_share FROM lineitem WHERE l_discount >= 0""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model.design import complete_rows, design
 from ..model.fit import Draws, Fit
 from ..model.predict import predict_draws, predict_packed
+from ..model.sites import SiteFit
 from ..operators.categorical import label
 from ..operators.clean import in_window
 from ..operators.curves import density_curve
@@ -39,7 +40,7 @@ def spread_rows(df: DataFrame, key: str) -> DataFrame:
 def predict_scenarios(
     obs: DataFrame, spec: Mapping, draws: Draws, family: str, key: str, impact: str, date: str,
     start: str | None = None, end: str | None = None, seed: int = 0, site: str | None = None,
-    known_sites: Sequence = (), packed: bool = True,
+    known_sites: Sequence = (), packed: bool = True, sums: DataFrame | None = None, shift: Sequence[float] | None = None,
 ) -> DataFrame:
     """Predictions of every complete row in the window, observed and with impact ``zero``.
 
@@ -50,22 +51,25 @@ def predict_scenarios(
     window = spread_rows(complete_rows(obs.filter(in_window(date, start, end)), spec), key)
     both = scenarios(window, impact)
     predict = predict_packed if packed else predict_draws
-    return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites)
+    return predict(design(both, spec), draws, family, [key, "scenario"], seed=seed, site=site, known_sites=known_sites, sums=sums, shift=shift)
 
 
-def predict_fitted(obs: DataFrame, fit: Fit, draws: Draws, key: str, impact: str, date: str, pairs: bool = False, **rest) -> DataFrame:
+def predict_fitted(obs: DataFrame, fit: Fit | SiteFit, draws: Draws, key: str, impact: str, date: str, pairs: bool = False, **rest) -> DataFrame:
     """:func:`predict_scenarios`, or :func:`predict_pairs`, with family, specification and known sites of the fit.
 
     A site the fit has not seen gets an effect drawn from the spread of the sites.
     """
-    site = fit.spec["site"]["column"] if fit.spec.get("site") else None
     run = predict_pairs if pairs else predict_scenarios
+    if isinstance(fit, SiteFit):
+        return run(obs, fit.spec, draws, fit.family, key, impact, date, site=fit.site, sums=fit.sums, shift=fit.shift, **rest)
+    site = fit.spec["site"]["column"] if fit.spec.get("site") else None
     return run(obs, fit.spec, draws, fit.family, key, impact, date, site=site, known_sites=fit.sites, **rest)
 
 
 def predict_pairs(
     obs: DataFrame, spec: Mapping, draws: Draws, family: str, key: str, impact: str, date: str,
     start: str | None = None, end: str | None = None, seed: int = 0, site: str | None = None, known_sites: Sequence = (),
+    sums: DataFrame | None = None, shift: Sequence[float] | None = None,
 ) -> DataFrame:
     """Both scenarios of an observation in one row, as arrays ``actual`` and ``counterfactual``.
 
@@ -80,7 +84,7 @@ def predict_pairs(
     for name in ("actual", "counterfactual"):
         rows = predict_packed(
             rows.withColumn("scenario", F.lit(name)), draws, family, [key, "scenario"], x=f"_{name}", seed=seed, site=site,
-            known_sites=known_sites, out=name)
+            known_sites=known_sites, out=name, sums=sums, shift=shift)
     return rows.select(*keep, "actual", "counterfactual")
 
 
