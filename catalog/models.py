@@ -468,6 +468,25 @@ def student_flat(spark, d):
     return fit_row(spark, fit, sigma=fit.sigma)
 
 
+GIVEN_NU = 4
+
+
+@query("fit_site_effects_given", f"""WITH RECURSIVE g AS (SELECT c_nationkey AS site, log10(c_acctbal) AS y FROM customer WHERE c_acctbal > 0),
+it AS (SELECT 0 AS k, site, avg(avg(y)) OVER () AS a, 0e0 AS u FROM g GROUP BY site
+UNION ALL SELECT k, site, a, (swy - sw * a) / (sw + {SITE_SIGMA}e0 * {SITE_SIGMA}e0 / ({SITE_SD}e0 * {SITE_SD}e0)) FROM
+ (SELECT *, sum(swy * h) OVER () / sum(sw * h) OVER () AS a FROM
+  (SELECT *, 1 - sw / (sw + {SITE_SIGMA}e0 * {SITE_SIGMA}e0 / ({SITE_SD}e0 * {SITE_SD}e0)) AS h FROM
+   (SELECT k, site, sum(w) AS sw, sum(w * y) AS swy FROM
+    (SELECT it.k + 1 AS k, g.site, y, {GIVEN_NU + 1}e0 / ({GIVEN_NU}e0 + pow((y - a - u) / {SITE_SIGMA}e0, 2)) AS w FROM it JOIN g ON g.site = it.site WHERE it.k < 60) GROUP BY k, site))))
+SELECT 'site=' || site AS term, {rq('u', 5)} AS estimate FROM it WHERE k = 60 UNION ALL SELECT 'intercept', {rq('any_value(a)', 5)} FROM it WHERE k = 60""")
+def site_effects_given(spark, d):
+    """Student fit with noise, degrees of freedom and spread given: re-weighted, shrunk means of the sites."""
+    c = table(spark, d, "customer").filter(F.col("c_acctbal") > 0).withColumn("log_balance", F.log10("c_acctbal"))
+    spec = {"site": {"column": "c_nationkey", "levels": learn_levels(c, "c_nationkey")}}
+    fit = fit_student(c, "log_balance", spec, prior_sd=float("inf"), nu=float(GIVEN_NU), tol=1e-10, fixed={"sigma": SITE_SIGMA, "site": SITE_SD})
+    return spark.createDataFrame([(n, float(b)) for n, b in zip(fit.names, fit.beta)], "term string, estimate double").select("term", r("estimate", 5).alias("estimate"))
+
+
 @query("fit_site_effects")
 def site_effects(spark, d):
     """Student fit with impact, time of day and a shrunk effect per nation; rows are coefficients."""

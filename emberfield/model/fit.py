@@ -12,24 +12,24 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from math import lgamma
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .accelerate import Anderson
 from .design import design, is_complete, terms
 from .gram import about, check_terms, column_sums, joint_products, pack_blocks, square, sum_blocks, sum_rows
 
-# Degrees of freedom tried for the Student-t family; its prior is gamma(2, 0.1).
-NU_GRID = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0, 15.0, 20.0, 30.0, 50.0, 100.0)
-# Rounds in which the degrees of freedom may still move.
-NU_ROUNDS = 20
+# The degrees of freedom of the Student-t family have a gamma(2, 0.1) prior, start here and stay between these bounds.
+NU_START, NU_BOUNDS = 7.0, (1.0, 1000.0)
+# Rounds that move by less than this, on the scale of the noise, are mixed.
+NEAR = 0.05
 # Fewer rows than this are not worth spreading.
 SPREAD_ROWS = 100_000
-# Driver-side updates of the block spreads between two passes.
-SETTLE = 200
+# Driver-side updates of the block spreads between two passes, and the bounds of a spread.
+SETTLE, SPREAD_BOUNDS = 500, (1e-4, 1e4)
 
 
 @dataclass
@@ -79,7 +79,7 @@ class Fit:
     rows: int
     edf: float
     nu: float | None = None
-    nu_weights: dict[float, float] = field(default_factory=dict)
+    nu_sd: float = 0.0
     zeros: int = 0
     dropped: int = 0
     rounds: int = 1
@@ -110,8 +110,8 @@ class Fit:
             free = max(self.rows - self.edf, 1.0)
             sigma = self.sigma * np.sqrt(free / rng.chisquare(free, n_draws))
         nu = np.full(n_draws, self.nu) if self.nu else None
-        if self.nu_weights:
-            nu = rng.choice(list(self.nu_weights), n_draws, p=list(self.nu_weights.values()))
+        if self.nu_sd:  # its logarithm is about normal
+            nu = np.clip(nu * np.exp(self.nu_sd * rng.standard_normal(n_draws)), *NU_BOUNDS)
         hu = rng.beta(1 + self.zeros, 1 + self.rows, n_draws) if self.family == "hurdle_lognormal" else None
         sd_site = None
         if "site" in self.sds:  # the log of a spread known from k effects has a variance of about 1 / 2k
@@ -254,38 +254,99 @@ def fit_hurdle_lognormal(df: DataFrame, response: str, spec: Mapping, prior_sd:
     return _fit_log(df, response, spec, prior_sd, "hurdle_lognormal", fixed)
 
 
-def _student_pass(beta: np.ndarray, sigma: float, nu: float, grid: np.ndarray, shift: np.ndarray):
-    """Weighted sums about ``shift`` at the current fit (``beta`` belongs to columns so measured), and the kernel of the log-likelihood for each grid nu."""
+def _student_pass(beta: np.ndarray, sigma: float, nu: float, shift: np.ndarray):
+    """Weighted sums about ``shift`` at the current fit (``beta`` belongs to columns so measured), and the sums behind the slopes and curvatures in noise and nu."""
 
     def statistic(Z: np.ndarray) -> np.ndarray:
         Z = about(shift, Z)
-        r2 = ((Z[:, -1] - Z[:, :-1] @ beta) / sigma) ** 2
-        w = (nu + 1.0) / (nu + r2)
-        kernel = -0.5 * (grid + 1.0) * np.log1p(r2[:, None] / grid).sum(axis=0)
-        return np.concatenate([(Z.T @ (Z * w[:, None])).ravel(), kernel])
+        r = (Z[:, -1] - Z[:, :-1] @ beta) / sigma
+        w = (nu + 1.0) / (nu + r * r)
+        return np.concatenate([(Z.T @ (Z * w[:, None])).ravel(), _tail_sums(r, nu)])
 
     return statistic
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.array([lgamma(v) for v in np.atleast_1d(x)])
+def _tail_sums(r: np.ndarray, nu: float) -> np.ndarray:
+    """Sums over scaled residuals from which :func:`_tail_step` takes slopes and curvatures."""
+    r2 = r * r
+    d = nu + r2
+    part = r2 / (nu * d)
+    return np.array([
+        np.log1p(r2 / nu).sum(), part.sum(), (part * (nu * nu + 2.0 * nu + r2) / (nu * d)).sum(), (r2 / d**2).sum(),
+        (r / d).sum(), (r / d**2).sum(), ((nu - r2) / d**2).sum(),
+    ])
 
 
-def _weights(grid: np.ndarray, height: np.ndarray) -> dict[float, float]:
-    """Posterior of the degrees of freedom on the grid, a step counting as wide as it is on the log scale."""
-    weight = np.exp(height - height.max()) * np.gradient(np.log(grid)) * grid
-    return dict(zip(grid.tolist(), (weight / weight.sum()).tolist()))
+def _polygamma(x: float) -> tuple[float, float]:
+    """Digamma and trigamma of x > 0: recurrence up to 10, then their asymptotic series."""
+    one = two = 0.0
+    while x < 10.0:
+        one, two, x = one - 1.0 / x, two + 1.0 / (x * x), x + 1.0
+    f = 1.0 / (x * x)
+    one += np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f / 240)))
+    two += 1.0 / x + 0.5 * f + f / x * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
+    return float(one), float(two)
+
+
+def _tail_step(sigma: float, nu: float, n: float, edf: float, sums: np.ndarray, free: tuple[bool, bool], pull: tuple[float, float] = (0.0, 0.0)):
+    """A Newton step for the level, log sigma and log nu together, from :func:`_tail_sums`: (move of the level, sigma, nu, curvature in log nu).
+
+    Skewed residuals tie the three to each other, so that separate steps can circle. ``free`` tells whether sigma and nu move, ``pull`` is slope and curvature of
+    the prior of the level. Where the curvature is not that of a mode the level does not move (nan), and sigma and nu take their own steps uphill.
+    """
+    (a1, a2), (b1, b2) = _polygamma((nu + 1.0) / 2.0), _polygamma(nu / 2.0)
+    logs, part, bend, last, odd, odd2, even = sums
+    slope = n * (0.5 * (a1 - b1) - 0.5 / nu) - 0.5 * logs + 0.5 * (nu + 1.0) * part + 1.0 / nu - 0.1
+    curve = n * (0.25 * (a2 - b2) + 0.5 / nu**2) + 0.5 * part - 0.5 * bend - 1.0 / nu**2
+    g = np.array([(nu + 1.0) * odd / sigma + pull[0], (nu + 1.0) * nu * part - (n - edf), nu * slope])
+    H = np.zeros((3, 3))
+    H[0, 0] = -(nu + 1.0) * even / sigma**2 + pull[1]
+    H[1, 1], H[2, 2] = -2.0 * (nu + 1.0) * nu * last, nu * nu * curve + nu * slope
+    H[0, 1] = H[1, 0] = -2.0 * nu * (nu + 1.0) * odd2 / sigma
+    H[0, 2] = H[2, 0] = nu / sigma * (odd - (nu + 1.0) * odd2)
+    H[1, 2] = H[2, 1] = nu * (nu * part - (nu + 1.0) * last)
+    some = [0] + [i + 1 for i in range(2) if free[i]]
+    step, own = np.full(3, np.nan), H[np.ix_(some, some)]
+    scale = np.sqrt(np.abs(np.diag(own)) + 1e-300)
+    if np.linalg.eigvalsh(own / np.outer(scale, scale)).max() < -1e-6:
+        step[some] = np.linalg.solve(-own, g[some])
+    else:
+        step[1:] = [-g[i] / H[i, i] if H[i, i] < 0 else 0.5 * np.sign(g[i]) for i in (1, 2)]
+    if free[0]:
+        sigma = float(sigma * np.exp(np.clip(step[1], -1.0, 1.0)))
+    if free[1]:
+        nu = float(np.clip(nu * np.exp(np.clip(step[2], -1.0, 1.0)), *NU_BOUNDS))
+    return float(step[0]), sigma, nu, float(H[2, 2])
+
+
+def _settle_spreads(sums, sigma: float, blocks: list[str], sds: Mapping[str, float], fixed: Mapping[str, float], prior_sd: float):
+    """Coefficients and block spreads that agree with each other for given weighted sums, by accelerated rounds on the driver."""
+    nw, _, ybar, Sxx, Sxy, _ = sums
+    free = [k for k in sds if k not in fixed]
+    sds, mixing = dict(sds), Anderson()
+    for _ in range(SETTLE):
+        solved = _solve(Sxx, Sxy, nw, ybar, sigma**2, _precision(blocks, sds, prior_sd), prior_sd)
+        if not free:
+            break
+        then = _update_sds(solved[0], solved[1], blocks, sds)
+        if all(abs(then[k] - sds[k]) <= 1e-10 * max(sigma, then[k]) for k in free):
+            break
+        step = mixing.next(np.log([sds[k] for k in free]), np.log([then[k] for k in free]))
+        sds |= dict(zip(free, np.exp(np.clip(step, *np.log(SPREAD_BOUNDS))).tolist()))
+    return (*solved, sds)
 
 
 def fit_student(
     df: DataFrame, response: str, spec: Mapping, prior_sd: float = 1.0, nu: float | None = None,
-    rounds: int = 100, tol: float = 1e-5,
+    rounds: int = 100, tol: float = 1e-5, fixed: Mapping[str, float] | None = None,
 ) -> Fit:
     """Student-t regression by re-weighted sums: one pass over a cached design per round.
 
-    ``nu`` is the posterior mode on a small grid unless it is given. A fit that is not settled after ``rounds`` says so:
-    see ``converged`` and ``moved``.
+    Coefficients, noise and degrees of freedom move together, the latter two by a Newton step from sums of the same pass, and the
+    rounds are accelerated (safeguarded Anderson mixing). ``nu`` is found unless it is given; ``fixed`` gives ``sigma`` or the spread of a block, such as ``site``. A fit that
+    is not settled after ``rounds`` says so: see ``converged`` and ``moved``.
     """
+    fixed = dict(fixed or {})
     parts = terms(spec)
     check_terms(len(parts) + 1)
     blocks = [t.block for t in parts][1:]
@@ -304,43 +365,42 @@ def fit_student(
             rows = wide
         G0 = square(sum_blocks(rows, lambda Z: joint_products(about(shift, Z)), len(shift) ** 2)[0])
         apart = _pull_apart(G0, shift)
-        b, V, a, va, m, sigma, edf, sds, _, _ = _gaussian_mode(apart, blocks, prior_sd, {})
+        b, V, a, va, m, sigma, edf, sds, _, _ = _gaussian_mode(apart, blocks, prior_sd, fixed)
         n0, m0, _, Sxx0, _, _ = apart
-        spread = np.sqrt(np.diag(Sxx0) / n0)
-        grid = np.array(NU_GRID if nu is None else (nu,))
-        constant = n0 * (_log_gamma((grid + 1) / 2) - _log_gamma(grid / 2) - 0.5 * np.log(grid))
-        prior = np.log(grid) - 0.1 * grid
-        dof = float(grid[len(grid) // 2])
+        spread = np.maximum(np.sqrt(np.diag(Sxx0) / n0), 1e-12)
+        dof = float(NU_START if nu is None else nu)
         size = len(parts) + 1
         center = a + (m0 - m) @ b  # the fit at the means of all rows
+        mixing, curve = Anderson(), 0.0
         for used in range(1, rounds + 1):
             # Columns are measured from the shift; m0 lies within rounding of it.
             beta = np.concatenate([[center - shift[-1] + (shift[1:-1] - m0) @ b], b])
-            flat, _ = sum_blocks(rows, _student_pass(beta, sigma, dof, grid, shift), size * size)
-            nw, m, ybar, Sxx, Sxy, Syy = _pull_apart(flat[: size * size].reshape(size, size), shift)
-            height = constant + prior + flat[size * size:]
-            if used <= NU_ROUNDS:  # then it rests, so that it cannot swing between two values
-                dof = float(grid[int(np.argmax(height))])
+            flat, _ = sum_blocks(rows, _student_pass(beta, sigma, dof, shift), size * size + 7)
+            weighted = _pull_apart(flat[: size * size].reshape(size, size), shift)
+            m, Sxx = weighted[1], weighted[3]
             # Block spreads settle on the driver for these sums; a pass over the data costs more.
-            before, old_b, old_center, old_sigma = dict(sds), b, center, sigma
-            for _ in range(SETTLE):
-                b, V, a, va = _solve(Sxx, Sxy, nw, ybar, sigma**2, _precision(blocks, sds, prior_sd), prior_sd)
-                old, sds = sds, _update_sds(b, V, blocks, sds)
-                if all(abs(sds[k] - old[k]) < 1e-6 * sds[k] for k in sds):
-                    break
+            before = sds
+            then_b, V, a, va, sds = _settle_spreads(weighted, sigma, blocks, sds, fixed, prior_sd)
             edf = 1.0 + float(np.trace(V @ Sxx)) / sigma**2
-            rss = Syy - 2 * b @ Sxy + b @ Sxx @ b + nw * (ybar - a) ** 2
-            # The last factor is one at the solution; with it the rounds converge much faster.
-            pace = (n0 + edf / dof) / nw
-            sigma = float(np.sqrt(max(pace * rss / max(n0 - edf, 1.0), 1e-12)))
-            center = a + (m0 - m) @ b
+            weight = 0.0 if np.isinf(prior_sd) else prior_sd**-2
+            pull = (-weight * (center + (m - m0) @ b), -weight)
+            level, then_sigma, then_dof, curve = _tail_step(sigma, dof, n0, edf, flat[size * size:], ("sigma" not in fixed, nu is None), pull)
+            then_center = a + (m0 - m) @ then_b
+            if abs(level) < sigma:
+                then_center = center + level
             # On the scale of the noise, so that badly scaled columns do not stop it early or late.
-            moved = max([
-                abs(center - old_center) / sigma, *(np.abs(b - old_b) * spread / sigma), abs(sigma - old_sigma) / sigma,
-                *(abs(sds[k] - before[k]) / sigma for k in sds),
-            ])
+            now = np.concatenate([[center / sigma], b * spread / sigma, [np.log(sigma), np.log(dof)]])
+            then = np.concatenate([[then_center / sigma], then_b * spread / sigma, [np.log(then_sigma), np.log(then_dof)]])
+            moved = max([*np.abs(then - now), *(abs(sds[k] - before[k]) / sigma for k in sds)])
             if moved < tol:
+                center, b, sigma, dof = then_center, then_b, then_sigma, then_dof
                 break
+            # Far from the mode the Newton step leads best, near it the mixing.
+            step = mixing.next(now, then) if moved < NEAR else then
+            center, b = float(step[0] * sigma), step[1:-2] * sigma / spread
+            # Noise and degrees of freedom may leap at most by a factor of e.
+            sigma = fixed.get("sigma", float(np.exp(np.clip(step[-2], now[-2] - 1, now[-2] + 1))))
+            dof = dof if nu is not None else float(np.clip(np.exp(np.clip(step[-1], now[-1] - 1, now[-1] + 1)), *NU_BOUNDS))
         if moved >= tol:
             _not_settled("student", moved)
     finally:
@@ -351,5 +411,6 @@ def fit_student(
     va = 1.0 / (info * n0 / sigma**2 + (0.0 if np.isinf(prior_sd) else prior_sd**-2))
     return Fit(
         "student", response, spec, [t.name for t in parts], blocks, b, V, float(center), va, m0, sigma, int(round(n0)), edf,
-        nu=dof, nu_weights=_weights(grid, height) if nu is None else {}, sds=sds, rounds=used, dropped=every - int(round(n0)), converged=bool(moved < tol), moved=float(moved),
+        nu=dof, nu_sd=float(min(1.0, 1.0 / np.sqrt(-curve))) if nu is None and curve < 0 else 0.0, sds=sds, rounds=used, dropped=every - int(round(n0)),
+        converged=bool(moved < tol), moved=float(moved),
     )
