@@ -66,6 +66,24 @@ def interval_weighted(spark, d):
     return rounded(median_qi(li, ["l_returnflag"], "l_extendedprice", frequency="times"))
 
 
+def weighted_sql(p: str, name: str) -> str:
+    """Value at a share of the cumulative weight, between the two neighbours."""
+    place = f"CAST(n - 1 AS DECIMAL(20,0)) * CAST({p} AS DECIMAL(4,3))"
+    low, share = f"floor({place})", f"CAST({place} - floor({place}) AS DOUBLE)"
+    a, b = f"min(v) FILTER (WHERE upto >= {low} + 1)", f"min(v) FILTER (WHERE upto >= {low} + 2)"
+    return rq(f"any_value(1 - {share}) * {a} + any_value({share}) * coalesce({b}, {a})") + f" AS {name}"
+
+
+@query("median_qi_heavy", f"""WITH x AS (SELECT l_returnflag, l_extendedprice AS v, sum(CAST(l_quantity AS HUGEINT) * 1000000000000) AS w FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_returnflag, v, sum(w) OVER (PARTITION BY l_returnflag ORDER BY v) AS upto, sum(w) OVER (PARTITION BY l_returnflag) AS n FROM x)
+SELECT l_returnflag, {weighted_sql('0.5', 'value')}, {weighted_sql('0.025', 'lower')}, {weighted_sql('0.975', 'upper')}, CAST(0.95 AS DOUBLE) AS width, 'median' AS point, 'qi' AS interval
+FROM c GROUP BY l_returnflag""")
+def interval_heavy(spark, d):
+    """Weights of 10^12 and more: values are selected by cumulative weight, no row is unfolded."""
+    li = table(spark, d, "lineitem").withColumn("times", F.col("l_quantity").cast("bigint") * 1_000_000_000_000)
+    return rounded(median_qi(li, ["l_returnflag"], "l_extendedprice", frequency="times", method="bracketed"))
+
+
 VECTOR_SQL = """(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"""
 
 

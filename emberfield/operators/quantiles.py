@@ -9,6 +9,7 @@ bounded; the second counts the rows between the brackets and keeps only the valu
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ MAX_EXACT_ROWS = 1_000_000
 ACCURACY = 10_000
 MAX_ACCURACY = 1_000_000
 
+# A bracket of weighted rows is cut into so many cells at once; a power of two.
+CELLS = 256
+
 
 def _columns(extra: Mapping[str, Column]) -> list[Column]:
     return [v.alias(k) for k, v in extra.items()]
@@ -110,6 +114,65 @@ def _bracketed(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     return out.join(side, same).select(*out.columns, *extra)
 
 
+def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float], frequency: str, extra, max_rows: int) -> DataFrame:
+    """Exact quantiles of weighted rows: brackets around each wanted rank are cut into cells, the cells that hold a rank become the
+    next brackets, until a bracket has at most ``max_rows`` values; these are summed up and selected by cumulative weight.
+
+    Cells are cut at quantiles of the rows, so each level leaves a CELLS-th of them or a single value, whatever the weights and values.
+    """
+    wide = lambda c: c.cast("decimal(38,0)")
+    weight = F.when(F.col(value).isNull(), 0).otherwise(_weight(frequency))
+    weighed = df.withColumns({"_v": F.col(value).cast("double"), "_w": weight})
+    sizes = durable(weighed.groupBy(*by).agg(F.coalesce(F.sum(wide(F.col("_w"))), wide(F.lit(0))).alias("_n"), *_columns(extra)))
+    rows = weighed.filter("_w > 0").select(*by, "_v", "_w")
+    keys = [F.col(c).alias(f"_k_{c}") for c in by]
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    # Places among n - 1 steps in decimals: doubles cannot hold ranks beyond 2^53.
+    place = lambda p: (F.col("_n") - 1).cast("decimal(20,0)") * F.lit(Decimal(str(p)).quantize(Decimal(1).scaleb(-17))).cast("decimal(18,17)")
+    low = lambda p: wide(F.floor(place(p)))
+    ranks = F.array_distinct(F.array(*[x for p in probs for x in (low(p) + 1, F.least(low(p) + 2, F.col("_n")))]))
+    ranks = durable(sizes.filter("_n > 0").select(*keys, F.explode(ranks).alias("_rank")))
+    at = ["_base", "_lo", "_hi"]
+    brackets = sizes.filter("_n > 0").select(*keys, wide(F.lit(0)).alias("_base"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
+    while True:
+        inside = rows.join(broadcast_if_small(brackets), same & (F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
+        cuts = [i / CELLS for i in range(1, CELLS)]
+        found = durable(inside.groupBy(*by, *at).agg(
+            F.count("*").alias("_rows"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts")))
+        if found.filter((F.col("_rows") > max_rows) & (F.col("_least") < F.col("_most"))).isEmpty():
+            break
+        halves = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
+        below = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get("_cuts", i + h - 1) < F.col("_v"), i + h).otherwise(i))
+        place_of = found.select(*keys, *[F.col(c).alias(f"_b{c}") for c in at], "_cuts")
+        here = same
+        for c in at:
+            here = here & F.col(c).eqNullSafe(F.col(f"_b{c}"))
+        # A value that is a cut is a cell of its own, so a frequent value cannot keep a bracket as it is.
+        placed = inside.drop(*[f"_k_{c}" for c in by]).join(broadcast_if_small(place_of), here).withColumn("_below", below)
+        cells = placed.groupBy(*by, *at, (F.col("_below") * 2 + F.when(F.get("_cuts", F.col("_below")) == F.col("_v"), 1).otherwise(0)).alias("_cell"))
+        cells = cells.agg(F.sum(wide(F.col("_w"))).alias("_c"), F.max("_v").alias("_top"))
+        order = Window.partitionBy(*by, *at).orderBy("_cell")
+        cells = cells.select(
+            *keys, (F.col("_base") + F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).cast("decimal(38,0)").alias("_from"), "_c",
+            F.coalesce(F.lag("_top").over(order), F.col("_lo")).alias("_lo"), F.col("_top").alias("_hi"))
+        wanted = ranks.select(*[F.col(f"_k_{c}").alias(c) for c in by], "_rank")
+        hit = cells.join(wanted, same & (F.col("_from") < F.col("_rank")) & (F.col("_rank") <= F.col("_from") + F.col("_c")), "left_semi")
+        brackets = durable(hit.select(*[f"_k_{c}" for c in by], F.col("_from").alias("_base"), "_lo", "_hi"))
+    order = Window.partitionBy(*by, "_base").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = inside.groupBy(*by, "_base", "_v").agg(F.sum(wide(F.col("_w"))).alias("_c"))
+    summed = summed.withColumn("_upto", F.col("_base") + F.sum("_c").over(order))
+    wanted = ranks.join(summed, same & (F.col("_upto") - F.col("_c") < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+    picked = wanted.groupBy(*[f"_k_{c}" for c in by]).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_rank").cast("string"), F.col("_v")))).alias("_values"))
+    out = sizes.join(picked, same, "left")
+    values = []
+    for p in probs:
+        pick = lambda rank: F.get(F.map_values(F.map_filter("_values", lambda k, _: k == rank.cast("string"))), F.lit(0))  # noqa: B023, E731
+        values.append(_between(pick(low(p) + 1), pick(F.least(low(p) + 2, F.col("_n"))), (place(p) - low(p)).cast("double")))
+    return out.select(*by, F.col("_n").cast("bigint").alias("n"), F.when(F.col("_n") > 0, F.array(*values)).alias("q"), *extra)
+
+
 def group_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], method: str = "auto",
     frequency: str | None = None, accuracy: int | None = None, largest: int | None = None,
@@ -139,10 +202,9 @@ def group_quantiles(
     if method == "exact":
         return _exact(df, by, value, probs, frequency, extra)
     if frequency:
-        # Missing values and weights of zero keep one row without a value, so that no group is lost.
-        weight = F.when(F.col(value).isNull(), 0).otherwise(_weight(frequency))
-        df = df.withColumn(value, F.when(weight > 0, F.col(value)))
-        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(weight, F.lit(1)).cast("int"))))
+        if by:
+            return _weighted(df, by, value, probs, frequency, extra, max_exact_rows)
+        return _weighted(df.withColumn(ALL, F.lit(0)), [ALL], value, probs, frequency, extra, max_exact_rows).drop(ALL)
     if method == "approximate":
         return _approximate(df, by, value, probs, accuracy, extra)
     if by:

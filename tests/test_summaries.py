@@ -271,6 +271,50 @@ def test_quantile_methods_agree_on_odd_values(spark, frequency):
     assert got["exact"]["c"] == ((7, [5.0, 1.0]) if frequency else (3, [5.0, 3.0]))
 
 
+def weighted_quantile(pairs, p):
+    """By fractions over the sorted values, without unfolding."""
+    from fractions import Fraction
+
+    n = sum(w for _, w in pairs)
+    place = (n - 1) * Fraction(str(p))
+    low, found = int(place), []
+    for rank in (low + 1, min(low + 2, n)):
+        seen = 0
+        for v, w in sorted(pairs):
+            seen += w
+            if seen >= rank:
+                found.append(v)
+                break
+    a, b = found
+    return a if a == b else float((1 - (place - low)) * Fraction(a) + (place - low) * Fraction(b))
+
+
+@pytest.mark.parametrize("most,cells", [(1_000_000, 256), (50, 4), (3, 2)])
+def test_weighted_quantiles_of_large_weights(spark, monkeypatch, most, cells):
+    """Weights up to 10^12, ties, one value with most of the weight, brackets cut many times: exact."""
+    import random
+
+    from emberfield.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "CELLS", cells)
+    rng = random.Random(4)
+    groups = {
+        "small": [(1.0, 10**9), (2.0, 10**9)], "one": [(5.0, 10**12)], "even": [(float(i), 10**12 + i) for i in range(200)],
+        "ties": [(float(rng.randrange(5)), rng.randrange(1, 10**9)) for _ in range(300)], "hot": [(float(i), 1) for i in range(150)] + [(75.5, 10**12)] * 100,
+        "wide": [(rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200), rng.randrange(1, 10**12)) for _ in range(200)], None: [(3.0, 7), (9.0, 2)],
+    }
+    df = spark.createDataFrame([(g, v, w) for g, rows in groups.items() for v, w in rows] + [("empty", None, 4), ("none", 1.0, 0)], "g string, v double, w long")
+    probs = [0.5, 0.025, 0.975, 0.0, 1.0, 0.333]
+    got = {r["g"]: r for r in quantiles.group_quantiles(df, ["g"], "v", probs, method="bracketed", frequency="w", max_exact_rows=most).collect()}
+    assert set(got) == {*groups, "empty", "none"} and got["empty"]["n"] == got["none"]["n"] == 0 and got["empty"]["q"] is None
+    for g, rows in groups.items():
+        assert got[g]["n"] == sum(w for _, w in rows)
+        assert got[g]["q"] == pytest.approx([weighted_quantile(rows, p) for p in probs], rel=1e-9)
+    all_rows = [x for rows in groups.values() for x in rows]
+    whole = quantiles.group_quantiles(df, [], "v", [0.5], method="bracketed", frequency="w", max_exact_rows=most).collect()
+    assert len(whole) == 1 and whole[0]["q"] == pytest.approx([weighted_quantile(all_rows, 0.5)])
+
+
 def test_packed_forms_skip_missing_draws(spark):
     df = spark.createDataFrame([(1, [None, 1.0, 2.0, 9.0]), (2, [None]), (3, [])], "i int, d array<double>")
     long = df.select("i", F.explode_outer("d").alias("v"))
