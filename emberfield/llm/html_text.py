@@ -37,8 +37,15 @@ BREAKOUT = BLOCK | frozenset("b big code em embed font i img listing meta nobr r
 NEVER = frozenset("head nav header footer aside form button select menu dialog input label fieldset svg".split()) | RAW | MEDIA
 CONTAINER = frozenset(["article", "main"])
 NAMED = frozenset("article main content post entry story".split())
-ENDS_WITH = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
-             "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "tbody": ("thead tbody tr td th", ("table",))}
+# Start tags that end open nodes, and the nodes in which these are sought.
+ENDS_WITH = {
+    name: (frozenset(ended.split()), frozenset(within.split()))
+    for name, ended, within in [
+        ("li", "li", "ul ol menu dir"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table"), ("td", "td th", "tr table"),
+        ("th", "td th", "tr table"), ("option", "option", "select"), ("tbody", "thead tbody tr td th", "table"),
+    ]
+}
+SCOPING = frozenset(x for pair in ENDS_WITH.values() for names in pair for x in names)
 # Words of class, id and role that mark what is not the article.
 ASIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disqus footer header "
@@ -47,111 +54,204 @@ ASIDE = frozenset(
 )
 # A class like "with-sidebar" says what is beside the node, not what it is.
 BESIDE = frozenset("no with without has".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
+# Beside these, a word of ASIDE still is all that a class or id says.
+NEUTRAL = frozenset(
+    "site page main left right top bottom box bar list wrap wrapper container area section block inner outer form link links button buttons panel region "
+    "global primary secondary item items group row col column unit slot zone a b c".split()
 )
-NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# Headings and paragraphs, often named after what they tell of.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+# On these an id may say what is not the article; elsewhere it is an anchor.
+HOLDERS = frozenset("div section ul ol dl table details center".split())
+# A node of a doubtful name stays from this share of the threshold on.
+DOUBT = 0.25
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+))")
+COMMENT_END = re.compile("--!?>")
+# The end of a tag, or an attribute: its name, then the quote or the bare text of its value.
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:>|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:(["'])|([^\s>"'][^\s>]*+)?))?)""")
+READ = frozenset("class id role style hidden aria-hidden".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "foreign", "aside", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum", "holds", "called")
+    __slots__ = ("name", "parent", "children", "foreign", "aside", "doubt", "named", "left_open", "slash", "chars", "tags", "link_chars", "link_tags", "density", "sum", "holds", "called")
 
     def __init__(self, name: str, parent: Node | None, aside: bool = False, named: bool = False):
         self.name, self.parent, self.aside, self.named = name, parent, aside, named
         self.children: list[Node | str] = []
-        self.foreign = False
+        self.foreign = self.doubt = self.left_open = self.slash = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.holds = self.called = False
 
 
-def _marks(more: str) -> tuple[bool, bool]:
-    """Do class, id, role or style say that a node is not, or is, the article?
+def _marks(name: str, attributes: dict[str, str]) -> tuple[bool, bool, bool]:
+    """Do class, id, role or style say that a node is not the article, perhaps is not, or is it?
 
-    A class or id of its own that names the article outweighs others that do not, as in "post comments-open".
+    A class or id of its own that names the article outweighs others that do not, as in "post comments-open". One word among
+    others in an id, or in a class of a section, a heading or a paragraph, only raises doubts: it may be made from a title.
     """
-    if not more or "=" not in more and "hidden" not in more:
-        return False, False
-    words = [(m[0].lower() == "role", {x.lower() for x in PARTS.findall(name)}) for m in NAMES.findall(more) for name in "".join(m[1:]).split()]
-    words = [(role, w) for role, w in words if not w & BESIDE]
-    own = any(w & NAMED and not w & ASIDE for _, w in words)
-    return any(w & ASIDE and (role or not own) for role, w in words) or bool(HIDDEN.search(more)), any(w & NAMED for _, w in words)
+    if not attributes:
+        return False, False, False
+    aside = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or bool(UNSHOWN.search(attributes.get("style", "")))
+    words = [(kind, {x.lower() for x in PARTS.findall(token)}) for kind in ("role", "class", "id") for token in attributes.get(kind, "").split()]
+    words = [(kind, w) for kind, w in words if not w & BESIDE]
+    own, doubt = any(w & NAMED and not w & ASIDE for _, w in words), False
+    for kind, w in words:
+        if not w & ASIDE or own and kind != "role":
+            continue
+        if kind == "role":
+            aside = True
+        elif name in PROSE:
+            doubt |= kind == "class"
+        elif kind == "class" and name != "section" or name in HOLDERS and w <= ASIDE | NEUTRAL:
+            aside = True
+        else:
+            doubt |= name in HOLDERS
+    return aside, doubt, any(w & NAMED for _, w in words)
+
+
+def _attributes(page: str, pos: int, last: dict[str, int]) -> tuple[int, dict[str, str], bool] | None:
+    """Where a tag ends, the attributes read, and whether it ends with a slash; None if the page ends before it.
+
+    A quote opens a value only after ``=``. One that is never closed, or closed in the midst of a later word after the tag's end,
+    is a stray one. ``last`` tells where the last quotes of the page are.
+    """
+    found: dict[str, str] = {}
+    while True:
+        m = ATTRIBUTE.match(page, pos)
+        if m is None:
+            return None
+        pos, name, quote, value = m.end(), m[1], m[2], m[3] or ""
+        if name is None:
+            return pos, found, m[0].endswith("/>")
+        if quote:
+            close = page.find(quote, pos) if pos <= last[quote] else -1
+            stray = close < 0 or page[close + 1: close + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">")
+            end = page.find(">", pos, close if close >= 0 else len(page)) if stray else -1
+            if end < 0 and close < 0:
+                return None
+            value, pos = (page[pos:end], end) if end >= 0 else (page[pos:close], close + 1)
+        name = name.lower()
+        if name in READ:
+            found.setdefault(name, value)
+
+
+def _after_comment(page: str, opened: str, pos: int) -> int:
+    if opened == "<!--":
+        if page.startswith(">", pos) or page.startswith("->", pos):
+            return page.index(">", pos) + 1
+        m = COMMENT_END.search(page, pos)
+        return m.end() if m else len(page)
+    close = "]]>" if opened == "<![CDATA[" else ">"
+    end = page.find(close, pos)
+    return end + len(close) if end >= 0 else len(page)
 
 
 def parse(page: str) -> Node:
-    """Tree of a page; unclosed and stray tags are put right the way browsers do, roughly."""
-    root = at = Node("html", None)
-    pos = 0
-    media: dict[int, tuple[Node, bool]] = {}
+    """Tree of a page; unclosed and stray tags are put right the way browsers do, roughly. Time is linear in the page's length."""
+    root = Node("html", None)
+    # Open nodes, each with the place of the p that a block would end, and of the nodes that the tags of ENDS_WITH would end.
+    stack: list[tuple[Node, int, dict[str, int]]] = [(root, -1, {})]
+    places: dict[str, list[int]] = {}
+    last = {quote: page.rfind(quote) for quote in "\"'"}
+    media, pos = False, 0
+
+    def end(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop()[0].name].pop()
+
     while True:
-        m = TOKEN.search(page, pos)
+        m = OPEN.search(page, pos)
         text = page[pos: m.start() if m else len(page)]
         if text:
-            if m is None and re.search(r"<[a-zA-Z/][^>]*\Z", text):
-                text = text[: text.rindex("<")]  # a tag cut off by the end of the page
-            at.children.append(html.unescape(text))
+            stack[-1][0].children.append(html.unescape(text))
         if m is None:
-            _end_media(media)
-            return root
+            break
         pos = m.end()
-        name = (m["name"] or "").lower()
-        if not name or name == "html":
+        if m["name"] is None:
+            pos = _after_comment(page, m[0], pos)
+            continue
+        tag = _attributes(page, pos, last)
+        if tag is None:
+            break  # cut off by the end of the page
+        pos, attributes, slash = tag
+        name = m["name"].lower()
+        if name == "html":
             continue
         if m["end"]:
-            node = at
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                at = node.parent
-                media.pop(id(node), None)
+            if places.get(name):
+                place = places[name][-1]
+                stack[place][0].left_open = False
+                end(place)
             elif name == "p":
-                at.children.append(Node("p", at))
+                stack[-1][0].children.append(Node("p", stack[-1][0]))
             continue
         if name in BREAKOUT:
-            while at.foreign and at.name not in POINTS:
-                at = at.parent
-        if name in CLOSES_P:
-            node = at
-            while node is not root and node.name not in HOLDS_P:
-                node = node.parent
-            if node.name == "p":
-                at = node.parent
-        if name in ENDS_WITH:
-            ended, within = ENDS_WITH[name]
-            node, found = at, None
-            while node is not root and node.name not in within:
-                if node.name in ended.split():
-                    found = node
-                node = node.parent
-            if found:
-                at = found.parent
-        aside, named = _marks(m["more"])
+            while stack[-1][0].foreign and stack[-1][0].name not in POINTS:
+                end(len(stack) - 1)
+        if name in CLOSES_P and stack[-1][1] >= 0:
+            end(stack[-1][1])
+        if name in ENDS_WITH and name in stack[-1][2]:
+            end(stack[-1][2][name])
+        at, p, ends = stack[-1]
+        aside, doubt, named = _marks(name, attributes)
         node = Node(name, at, aside and name not in ("body", *CONTAINER) or name in NEVER, named or name in CONTAINER)
+        node.doubt = doubt and name not in CONTAINER
         node.foreign = name in FOREIGN or at.foreign and at.name not in POINTS
         at.children.append(node)
-        ended = m["more"].endswith("/") and (node.foreign or name not in UNSLASHED)
+        ended = slash and (node.foreign or name not in UNSLASHED)
         if name in RAW:
             if not (node.foreign and ended):
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
                 pos = close.end() if close else len(page)
         elif name not in VOID and not ended:
-            at = node
+            place = len(stack)
+            if name in SCOPING:
+                ends = {k: v for k, v in ends.items() if name not in ENDS_WITH[k][1]}
+                for k, (names, _) in ENDS_WITH.items():
+                    if name in names:
+                        ends.setdefault(k, place)
+            stack.append((node, place if name == "p" else -1 if name in HOLDS_P else p, ends))
+            places.setdefault(name, []).append(place)
             if name in MEDIA:
-                media[id(node)] = node, m["more"].endswith("/")
+                node.left_open, node.slash, media = True, slash, True
+    if media:
+        _end_media(root)
+    return root
 
 
-def _end_media(left_open: dict[int, tuple[Node, bool]]) -> None:
+def _end_media(root: Node) -> None:
     """Ends media elements that no tag ended before their first block, or at their slash; the rest belongs to their parents."""
-    for node, slash in reversed(left_open.values()):
-        first = 0 if slash else next((i for i, c in enumerate(node.children) if isinstance(c, Node) and c.name in BLOCK), len(node.children))
-        moved, node.children = node.children[first:], node.children[:first]
-        for c in moved:
-            if isinstance(c, Node):
-                c.parent = node.parent
-        at = next(i for i, c in enumerate(node.parent.children) if c is node) + 1
-        node.parent.children[at:at] = moved
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        given, node.children = node.children, []
+        # Media left open within each other, and what is still to be read of each.
+        owners, reading = [node], [(node, iter(given))]
+        while reading:
+            of, rest = reading[-1]
+            c = next(rest, None)
+            if c is None:
+                reading.pop()
+                if owners[-1] is of and of is not node:
+                    owners.pop()
+                continue
+            if not isinstance(c, Node):
+                owners[-1].children.append(c)
+                continue
+            if c.name in BLOCK:
+                del owners[1:]
+            c.parent = owners[-1]
+            c.parent.children.append(c)
+            if c.left_open:
+                reading.append((c, iter(c.children)))
+                c.children = []
+                if not c.slash:
+                    owners.append(c)
+            else:
+                todo.append(c)
 
 
 def _elements(node: Node):
@@ -199,20 +299,23 @@ def article(root: Node) -> tuple[Node, set[int]]:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    calls = [n for n in path if n.name in CONTAINER]
-    named = [n for n in path if n.named and n.name not in ("body", "html")]
-    top = next((n for n in path if n.name == "body"), path[-1])
-    if calls and path.index(calls[-1]) >= path.index(top):
-        return calls[-1], set()
-    path = path[: path.index(top) + 1]
-    named = [n for n in named if n in path]
+    top = next((k for k, n in enumerate(path) if n.name == "body"), len(path) - 1)
+    calls = [k for k, n in enumerate(path) if n.name in CONTAINER]
+    named = [k for k, n in enumerate(path[: top + 1]) if n.named and n.name not in ("body", "html")]
+    least = min(n.density for n in path[: top + 1])
+    on_path = {id(n) for n in path}
+    # Names that may be made from a title: density and links decide.
+    out = {id(n) for n in order if n.doubt and id(n) not in on_path and (2 * n.link_chars > n.chars or n.density < DOUBT * least)}
+    if calls and calls[-1] >= top:
+        return path[calls[-1]], out
+    path = path[: top + 1]
     core = calls[-1] if calls else named[-1] if named else top
-    # What lies in the core is read whole, but for lists of links around the inmost node that is named.
-    inmost = core if calls else named[0] if named else best
-    least = min(n.density for n in path)
-    out: set[int] = set()
-    reach = path.index(core)
-    for k in range(path.index(inmost), len(path) - 1):
+    # What lies in the core is read whole, but for lists of links around the inmost node that is named, and blocks of links beside the best.
+    inmost = core if calls else named[0] if named else 0
+    reach = core
+    if not calls:
+        out.update(id(c) for k in range(inmost) for c in _elements(path[k + 1]) if c is not path[k] and c.name in HOLDERS and c.link_tags > 1 and 2 * c.link_chars > c.chars)
+    for k in range(inmost, len(path) - 1):
         for c in _elements(path[k + 1]):
             if c is path[k] or not c.chars:
                 continue
@@ -220,7 +323,7 @@ def article(root: Node) -> tuple[Node, set[int]]:
             if calls:
                 kept = dense and c.called
             else:
-                kept = dense or re.fullmatch("h[1-6]|p|br", c.name) or not links and (c.holds or named and k < path.index(core))
+                kept = dense or c.name in PROSE or c.name == "br" or not links and (c.holds or bool(named) and k < core)
             if not kept:
                 out.add(id(c))
             else:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -288,3 +289,36 @@ CUT_PAGES = {
 @pytest.mark.parametrize("page", CUT_PAGES)
 def test_no_article_text_cut(page):
     assert main_text(page) == CUT_PAGES[page].strip()
+
+
+# Names made from titles, stray quotes, odd comments and tags cut off.
+NAMED_PAGES = {
+    **{f"<body><article><p>{PARAGRAPH}</p>{part}<p>{PARAGRAPH}</p></article></body>": f"{PARAGRAPH}{told} {PARAGRAPH}" for part, told in [
+        (f"<section id='related-work'><h2>Related work</h2><p>{PARAGRAPH}</p></section>", f"Related work {PARAGRAPH.strip()}"),
+        (f"<section id='social-effects'><p>{PARAGRAPH}</p></section>", PARAGRAPH.strip()),
+        ("<h2 id='search'>Search</h2>", "Search"), ("<h1 id='comment-on-the-law'>On the law</h1>", "On the law"),
+        (f"<p id='notice-period'>{PARAGRAPH}</p>", PARAGRAPH.strip()),
+        ("<p class=it's>It is</p>", "It is"), ("<p><a href=\"x>stray</a> and <a href=\"y\">fine</a></p>", "stray and fine"),
+        ("<p title='a > b'>Shown</p>", "Shown"), ("<!-->In<!-- x --!>between<!---> here<!-- > -->", "Inbetween here"),
+    ]},
+    **{f"<body><article><p>{PARAGRAPH}</p>{part}</article></body>": PARAGRAPH for part in [
+        "<div id=comments><p>Me too, and at length.</p></div>", "<div class='comment-list'><p>Me too</p></div>", "<p class=share>Share</p>",
+        "<section id='related-posts'><a href=x>One more</a> <a href=y>Another</a></section>", "<div id=site-search>Find</div>",
+    ]},
+    f"<body><article><p>{PARAGRAPH}<a <b <c": PARAGRAPH,
+    f"<body><article><p>{PARAGRAPH}<a href=\"x": PARAGRAPH,
+    f"<body><div id=main-content><div class=links><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div class=text>{f'<p>{PARAGRAPH}</p>' * 5}</div></div></body>": PARAGRAPH * 5,
+}
+
+
+@pytest.mark.parametrize("page", NAMED_PAGES)
+def test_names_quotes_and_comments(page):
+    assert main_text(page) == NAMED_PAGES[page].strip()
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<object>", "<a b=\"x>", "<li><div>", "<div></x>", "<div><td>", "<svg><div>", "<!--", "<div class=post>"])
+def test_time_is_linear(part):
+    """A megabyte takes seconds, where a square would take hours."""
+    began = time.monotonic()
+    main_text(part * (1_000_000 // len(part)) + PARAGRAPH)
+    assert time.monotonic() - began < 60
