@@ -8,7 +8,7 @@ import time
 import numpy as np
 import pytest
 
-from emberfield.llm import mixing
+from emberfield.llm import decontaminate, mixing
 from emberfield.llm.decontaminate import contamination, drop_contaminated, remove_passages
 from emberfield.llm.html_text import extract_text, main_text
 from emberfield.llm.mixing import capped_targets, mix_sources, sainte_lague
@@ -119,7 +119,10 @@ def plain_contamination(rows, items, n=10):
     return out
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_contamination(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", bound)
     rng = random.Random(4)
     vocab = [f"v{i}" for i in range(400)]
     items = [(i, ", ".join(rng.choice(vocab) for _ in range(rng.choice([10, 15, 30])))) for i in range(12)] + [(12, "Short one É"), (13, ""), (14, None), (3, "again; the same id with more than ten words in it so there"), (15, "v1-v2")]
@@ -142,6 +145,12 @@ def test_contamination(spark):
     for doc, text, *_ in rows:
         hits = next(w for w in want if w[0] == doc)
         assert len(plain_words(left[doc])) == hits[1] - hits[2] and (hits[5] or left[doc] == text)
+    windows = decontaminate.benchmark_windows(bench, "item_id", "text", 10)
+    plan = decontaminate.find_hits(frame(spark, rows), windows, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert ("rightHint" in plan or "strategy=broadcast" in plan) == (bound > 0)
+    if not bound:  # keys and places are shuffled, never the words of a text
+        sides = [n for n in re.findall(r"Project \[([^\n]*)\]", plan) if "key#" in n and "at#" in n]
+        assert sides and not any(re.search(r"\bw#", n) for n in sides)
     assert contamination(frame(spark, rows), bench.limit(0)).filter("contaminated").count() == 0
     assert contamination(frame(spark, []), bench).count() == 0 and drop_contaminated(frame(spark, []), bench).count() == 0
 
