@@ -14,6 +14,8 @@ from emberfield.model.effects import conditional_effects, effect_grid
 from emberfield.model.fit import Draws, fit_hurdle_lognormal, fit_lognormal, fit_student
 from emberfield.model.gram import gram, gram_sql
 from emberfield.model.sites import fit_sites, site_sums
+from emberfield.model.splines import bspline_columns, learn_psplines
+from emberfield.model.state import fit_from_state, fit_state, moments
 from emberfield.operators.categorical import impact_window, lookup
 from emberfield.operators.clean import filter_window
 from emberfield.operators.joins import paired_contrast, packed_contrast
@@ -21,6 +23,7 @@ from emberfield.operators.ordered import display_order, largest_group
 from emberfield.operators.reshape import explode_draws
 from emberfield.operators.summary import back_transform, median_qi, median_qi_packed, scale_by_max
 from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_table, interval_table, level_table, predict_pairs, predict_scenarios, prediction_curve
+from emberfield.session import durable
 
 from .common import IMPACT_ORDER, KIND_IMPACT, SAMPLES_SQL, WINDOW_END, WINDOW_START, case_sql, kinds, query, r, rq, samples, table
 from .summaries import density_sql, interval_sql, rounded
@@ -314,6 +317,32 @@ def design_matrix(spark, d):
     return out.select(*LINES, *[r(F.get("x", F.lit(i))).alias(f"x{i}") for i in range(len(terms(spec)))])
 
 
+SEGMENTS = 6
+# A basis function as four-fold truncated cubics, apart from the way it is computed.
+BASIS = ", ".join(
+    rq("(" + " ".join(f"{'-' if k % 2 else '+'} {c}e0 * pow(greatest(t - {i - 3 + k}, 0), 3)" for k, c in enumerate((1, 4, 6, 4, 1))) + ") / 6e0", 8) + f" AS b{i}"
+    for i in range(SEGMENTS + 3))
+
+
+@query("bspline_basis", f"""WITH e AS (SELECT min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem),
+t AS (SELECT l.*, CAST(l_quantity - low AS DOUBLE) * {SEGMENTS} / (high - low) AS t FROM lineitem l, e) SELECT {', '.join(LINES)}, {BASIS} FROM t""")
+def bspline_basis(spark, d):
+    """Cubic B-splines of the quantity on equal segments of its range."""
+    li = table(spark, d, "lineitem")
+    spec = learn_psplines(li, ["l_quantity"], segments=SEGMENTS)["l_quantity"]
+    return li.select(*LINES, *[r(b, 8).alias(f"b{i}") for i, b in enumerate(bspline_columns(F.col("l_quantity"), spec))])
+
+
+@query("fit_pspline")
+def pspline_fit(spark, d):
+    """Price by a smooth of the quantity under a difference penalty, smoothing found from the sums; rows are coefficients."""
+    li = table(spark, d, "lineitem")
+    spec = {"factors": {"l_returnflag": learn_levels(li, "l_returnflag", "N")}, "psplines": learn_psplines(li, ["l_quantity"])}
+    fit = fit_lognormal(li, "l_extendedprice", spec)
+    rows = [(n, float(b)) for n, b in zip(fit.names, fit.beta)] + [("sigma", fit.sigma), ("spread", fit.sds["smooth:l_quantity"])]
+    return spark.createDataFrame(rows, "term string, estimate double")
+
+
 GRAM_COLUMNS = ["one", "l_quantity", "l_discount", "l_tax", "y"]
 GRAM_SQL = "WITH g AS (SELECT 1e0 AS one, l_quantity, l_discount, l_tax, ln(l_extendedprice) AS y FROM lineitem WHERE l_extendedprice > 0)\n" + "\nUNION ALL\n".join(
     f"SELECT CAST({i} AS BIGINT) AS i, CAST({j} AS BIGINT) AS j, {rq(f'sum({GRAM_COLUMNS[i]} * {GRAM_COLUMNS[j]})', 4)} AS value FROM g"
@@ -376,6 +405,37 @@ def site_intercept(spark, d):
     return spark.createDataFrame(rows, "term string, estimate double").select("term", r("estimate", 5).alias("estimate"))
 
 
+# ---------------------------------------------------------------- fits from sums kept by year
+
+YEARLY = "g AS (SELECT year(l_shipdate) AS part, l_quantity AS x, ln(l_extendedprice) AS y FROM lineitem WHERE l_extendedprice > 0 AND l_quantity IS NOT NULL)"
+
+
+def yearly_state(spark, d):
+    return fit_state(table(spark, d, "lineitem"), "l_extendedprice", {"linear": ["l_quantity"]}, F.year("l_shipdate"))
+
+
+@query("fit_state_sums", f"""WITH {YEARLY}, m AS (SELECT CAST(part AS VARCHAR) AS part, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS xx, covar_pop(y, x) AS xy, var_pop(y) AS yy FROM g GROUP BY 1)
+SELECT part, n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, {rq('mx')} AS mean_i, {rq('mx')} AS mean_j, {rq('xx')} AS product FROM m
+UNION ALL SELECT part, n, 0, 1, {rq('mx')}, {rq('my')}, {rq('xy')} FROM m UNION ALL SELECT part, n, 1, 1, {rq('my')}, {rq('my')}, {rq('yy')} FROM m""")
+def state_sums(spark, d):
+    """The state itself: means, and products about them per row, by year."""
+    long = F.col("i").cast("bigint"), F.col("j").cast("bigint")
+    return moments(yearly_state(spark, d)).select("part", F.col("rows").alias("n"), *[c.alias(k) for c, k in zip(long, "ij")], r("mean_i").alias("mean_i"), r("mean_j").alias("mean_j"), r(F.col("product") / F.col("rows")).alias("product"))
+
+
+@query("fit_state_without_year", f"""WITH {YEARLY}, p AS (SELECT DISTINCT part FROM g)
+SELECT CAST(p.part AS VARCHAR) AS left_out, count(*) AS n, {rq('regr_intercept(y, x)', 5)} AS intercept, {rq('regr_slope(y, x)', 6)} AS slope FROM p JOIN g ON g.part <> p.part GROUP BY 1""")
+def without_year(spark, d):
+    """A fit without each year in turn: the rows are read once, each fit reads the state only."""
+    state = durable(yearly_state(spark, d))
+    rows = []
+    for part in sorted(row["part"] for row in state.filter("rows > 0").select("part").collect()):
+        fit = fit_from_state(state.filter(F.col("part") != part), "l_extendedprice", {"linear": ["l_quantity"]}, prior_sd=float("inf"))
+        rows.append((part, fit.rows, float(fit.beta[0]), float(fit.beta[1])))
+    out = spark.createDataFrame(rows, "left_out string, n bigint, intercept double, slope double")
+    return out.withColumns({"intercept": r("intercept", 5), "slope": r("slope", 6)})
+
+
 # ---------------------------------------------------------------- effects of any number of sites
 
 MANY = """g AS (SELECT o_custkey AS site, count(*) AS n, avg(ln(o_totalprice)) AS m FROM orders WHERE o_totalprice > 0 AND o_custkey IS NOT NULL GROUP BY 1),

@@ -5,6 +5,7 @@ A specification is a plain dict:
 - ``linear``: numeric columns;
 - ``factors``: column to level list, reference first (dummy coding);
 - ``smooths``: column to {center, scale, knots}: a linear term plus a truncated cubic per knot;
+- ``psplines``: column to {center, scale, lower, upper, segments}: a linear term plus bends of a B-spline under a difference penalty;
 - ``site``: {column, levels}: one dummy per known site, shrunk as a random intercept.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import group_quantiles
+from .splines import bend_columns
 
 # A factor has a dozen or so levels as a rule; far beyond that the
 # normal equations on the driver stop being small.
@@ -68,6 +70,10 @@ def terms(spec: Mapping) -> list[Term]:
         for i, k in enumerate(s["knots"]):
             bend = F.greatest(t - F.lit(float(k)), F.lit(0.0))
             out.append(Term(f"s({c}).{i + 1}", bend * bend * bend, f"smooth:{c}"))
+    for c, s in spec.get("psplines", {}).items():
+        out.append(Term(c, (F.col(c).cast("double") - F.lit(float(s["center"]))) / F.lit(float(s["scale"])), "fixed"))
+        for i, bend in enumerate(bend_columns(F.col(c), s)):
+            out.append(Term(f"p({c}).{i + 1}", bend, f"smooth:{c}"))
     site = spec.get("site")
     if site:
         for level in site["levels"]:
@@ -79,7 +85,7 @@ def terms(spec: Mapping) -> list[Term]:
 def is_complete(spec: Mapping) -> Column:
     """Is every predictor present and every factor inside its level list? Never NULL."""
     test = F.lit(True)
-    for c in [*spec.get("linear", ()), *spec.get("smooths", {})]:
+    for c in [*spec.get("linear", ()), *spec.get("smooths", {}), *spec.get("psplines", {})]:
         test = test & F.col(c).isNotNull()
     for c, levels in spec.get("factors", {}).items():
         test = test & F.coalesce(F.col(c).isin(list(levels)), F.lit(False))

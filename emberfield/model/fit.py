@@ -194,18 +194,23 @@ def _gaussian_mode(parts, blocks: list[str], prior_sd: float, fixed: Mapping[str
     n, m, ybar, Sxx, Sxy, Syy = parts
     sigma2 = fixed["sigma"] ** 2 if "sigma" in fixed else max(Syy / n, 1e-12)
     sds = {k: fixed.get(k, v) for k, v in _block_sds(blocks).items()}
+    free, mixing = [k for k in sds if k not in fixed], Anderson()
     for used in range(1, rounds + 1):
         P = _precision(blocks, sds, prior_sd)
         b, V, a, va = _solve(Sxx, Sxy, n, ybar, sigma2, P, prior_sd)
         edf = 1.0 + float(np.trace(V @ Sxx)) / sigma2
         rss = Syy - 2 * b @ Sxy + b @ Sxx @ b + n * (ybar - a) ** 2
         fresh = sigma2 if "sigma" in fixed else max(rss / max(n - edf, 1.0), 1e-12)
-        old, sds = sds, {k: fixed.get(k, v) for k, v in _update_sds(b, V, blocks, sds).items()}
+        then = {k: fixed.get(k, v) for k, v in _update_sds(b, V, blocks, sds).items()}
         # On the scale of the noise: a spread that sinks towards zero is settled once it no longer matters.
-        moved = max([abs(fresh - sigma2) / sigma2, *(abs(sds[k] - old[k]) / np.sqrt(fresh) for k in sds)])
-        sigma2 = fresh
+        moved = max([abs(fresh - sigma2) / sigma2, *(abs(then[k] - sds[k]) / np.sqrt(fresh) for k in sds)])
+        now, sigma2, sds = np.log([sigma2, *(sds[k] for k in free)]), fresh, then
         if moved < 1e-10:
             break
+        if free:  # plain rounds creep where a spread is small
+            step = mixing.next(now, np.log([fresh, *(then[k] for k in free)]))
+            sigma2 = sigma2 if "sigma" in fixed else float(np.exp(np.clip(step[0], np.log(fresh) - 1.0, np.log(fresh) + 1.0)))
+            sds = then | dict(zip(free, np.exp(np.clip(step[1:], *np.log(SPREAD_BOUNDS))).tolist()))
     return b, V, a, va, m, float(np.sqrt(sigma2)), edf, sds, moved, used
 
 
@@ -224,10 +229,16 @@ def _fit_log(df: DataFrame, response: str, spec: Mapping, prior_sd: float, famil
     check_terms(len(parts) + 1)
     positive, zeros, every = _counts(df, response, spec)
     logged = design(df, spec).filter(F.col(response) > 0).select("x", F.log(response).alias("y"))
-    blocks = [t.block for t in parts][1:]
     shift = _provisional_means(sum_rows(logged, "x", "y", column_sums)[0])
     G = square(sum_rows(logged, "x", "y", lambda Z: joint_products(about(shift, Z)), len(shift) ** 2)[0])
-    b, V, a, va, m, sigma, edf, sds, moved, used = _gaussian_mode(_pull_apart(G, shift), blocks, prior_sd, fixed or {})
+    return log_fit_of(_pull_apart(G, shift), response, spec, prior_sd, family, fixed, positive, zeros, every)
+
+
+def log_fit_of(apart, response: str, spec: Mapping, prior_sd: float, family: str, fixed: Mapping[str, float] | None, positive: int, zeros: int, every: int) -> Fit:
+    """The fit of a (hurdle) lognormal family from the rows' means and centred products, as :func:`_pull_apart` gives them."""
+    parts = terms(spec)
+    blocks = [t.block for t in parts][1:]
+    b, V, a, va, m, sigma, edf, sds, moved, used = _gaussian_mode(apart, blocks, prior_sd, fixed or {})
     if moved >= 1e-6:
         _not_settled(family, moved)
     hurdle = family == "hurdle_lognormal"
