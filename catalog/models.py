@@ -22,7 +22,7 @@ from emberfield.operators.joins import paired_contrast, packed_contrast
 from emberfield.operators.ordered import display_order, largest_group
 from emberfield.operators.reshape import explode_draws
 from emberfield.operators.summary import back_transform, median_qi, median_qi_packed, scale_by_max
-from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_table, interval_table, level_table, predict_pairs, predict_scenarios, prediction_curve
+from emberfield.plans.contrast import ccdf_table, difference_curve, exceedance_levels, exceedance_table, interval_table, level_table, predict_pairs, predict_scenarios, prediction_curve
 from emberfield.session import durable
 
 from .common import IMPACT_ORDER, KIND_IMPACT, SAMPLES_SQL, WINDOW_END, WINDOW_START, case_sql, kinds, query, r, rq, samples, table
@@ -281,6 +281,21 @@ def bloom_exceedance(spark, d):
     return out.withColumn("exceedance", r("exceedance", 9))
 
 
+LEVELS = 200
+
+
+@query("exceedance_levels", f"""WITH {prediction_sql('hurdle_lognormal', 50)}, m AS (SELECT max(reading) AS top FROM ({SAMPLES_SQL})), l AS (SELECT (i + 1) * top / {LEVELS}e0 AS level FROM m, range({LEVELS}) t(i))
+SELECT kind, impact, {rq('level')} AS level, {rq('avg(CASE WHEN value * top >= level THEN 1.0 ELSE 0.0 END)', 9)} AS exceedance FROM p, m, l GROUP BY kind, impact, level""")
+def bloom_levels(spark, d):
+    """The whole curve of exceedance by kind and impact: 200 levels in the pass that one takes."""
+    obs = impacted(spark, d)
+    top = obs.agg(F.max("reading")).first()[0]
+    scaled = scale_by_max(obs.withColumn("count", F.col("reading")), ["count"])
+    p = predicted(spark, d, "hurdle_lognormal", 50, packed=True, extra=scaled)
+    out = exceedance_levels(p, ["kind", "impact"], "count_max", [(i + 1) * top / LEVELS for i in range(LEVELS)])
+    return out.withColumns({"level": r("level"), "exceedance": r("exceedance", 9)})
+
+
 SORTED = "CASE kind WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 END"
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .categorical import label
@@ -107,6 +108,36 @@ def exceedance_packed(df: DataFrame, draws: str, threshold: float, name: str = "
     return df.withColumn(name, F.try_divide(hits.cast("double"), F.size(F.filter(draws, lambda v: v.isNotNull()))))
 
 
+def exceedance_curve(df: DataFrame, by: Sequence[str], value: str | Column, levels: Sequence[float], name: str = "exceedance") -> DataFrame:
+    """Share of values at or above each of many levels, per group: rows (keys, level, ``name``), one per distinct level.
+
+    Each value finds its place among the sorted levels by bisection, values are counted by place before the shuffle, and counts are added up
+    from the top: the cost of a value hardly depends on the number of levels, and a group becomes at most one row per level.
+    Missing values do not count; a group of such alone has a missing share. NaN is above every level.
+    """
+    levels = sorted({float(v) for v in levels})
+    n = len(levels)
+    if not n or any(v in (float("inf"), float("-inf")) or v != v for v in levels):
+        raise ValueError("finite levels are needed")
+    keys = [f"_k{i}" for i in range(len(by))]  # keys may be called like the columns made here
+    values = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], (F.col(value) if isinstance(value, str) else value).cast("double").alias("_value"))
+    cuts = Bucketizer(splits=[float("-inf"), *levels, float("inf")], inputCol="_value", outputCol="_place", handleInvalid="keep")
+    # The place is the number of levels at or below; the last one but one holds infinity, the last one NaN.
+    place = F.when(F.col("_value").isNull(), 0).otherwise(F.least(F.col("_place").cast("int"), F.lit(n)))
+    counts = cuts.transform(values).groupBy(*keys, place.alias("_place")).agg(F.count("_value").alias("_n"))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_place"))
+    counts = counts.select(
+        *keys, "_place", F.sum("_n").over(down).alias("_hits"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all"),
+        F.lead("_place", 1, 0).over(down).alias("_below"), (F.row_number().over(down) == 1).alias("_top"),
+    )
+    # A row speaks for the levels between the next lower place and its own, the highest one also for those above, which nothing reaches.
+    told = lambda start, length, hits: F.transform(F.slice(F.lit(levels), start, length), lambda v: F.struct(v.alias("level"), hits.alias("hits")))
+    own = told(F.col("_below") + 1, F.col("_place") - F.col("_below"), F.col("_hits"))
+    above = told(F.col("_place") + 1, F.when(F.col("_top"), n - F.col("_place")).otherwise(0), F.lit(0).cast("bigint"))
+    rows = counts.select(*keys, "_all", F.explode(F.concat(own, above)).alias("_told"))
+    return rows.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], F.col("_told.level").alias("level"), F.try_divide(F.col("_told.hits").cast("double"), F.col("_all")).alias(name))
+
+
 def coef_summary(
     draws: DataFrame, beta: str, terms: Sequence[str], width: float = 0.95, method: str = "auto"
 ) -> DataFrame:

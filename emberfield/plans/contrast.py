@@ -16,7 +16,7 @@ from ..operators.clean import in_window
 from ..operators.curves import density_curve
 from ..operators.joins import paired_contrast
 from ..operators.reshape import explode_draws, scenarios, stack_observed_predicted
-from ..operators.summary import back_transform, median_qi, median_qi_packed
+from ..operators.summary import back_transform, exceedance_curve, median_qi, median_qi_packed
 from ..operators.windows import ccdf
 from ..sources import read_stage, write_stage
 
@@ -166,3 +166,10 @@ def exceedance_table(
         F.when(value(F.lit(1.0)).isNotNull() & level.isNotNull(), F.size(F.array_compact("draws"))).otherwise(0).alias("_draws"),
     )
     return rows.groupBy(*by).agg(F.try_divide(F.sum("_hits").cast("double"), F.sum("_draws")).alias("exceedance"))
+
+
+def exceedance_levels(packed: DataFrame, by: Sequence[str], maximum: str | None, levels: Sequence[float]) -> DataFrame:
+    """Probability of reaching each of many levels, on the count scale: rows (keys, level, exceedance), from one pass over the draws."""
+    value = back_transform("_draw", maximum)
+    rows = packed.select(*by, *([maximum] if maximum and maximum not in by else []), F.explode_outer("draws").alias("_draw"))
+    return exceedance_curve(rows, by, value, levels)
