@@ -29,6 +29,8 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ["assign", "access", "hex", "owned"]
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 TOKEN_LEAST, ENTROPY_LEAST = 20, 3.5
+# A value with over 1/HOT of all occurrences is hot; there are fewer than HOT such values, so they are broadcast.
+HOT = 1000
 # Owners, and repositories, from which on a value counts as a widely copied example.
 COPIED, COPIED_REPOS = 3, 10
 
@@ -119,9 +121,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = durable(rows.mapInArrow(find_candidates, FOUND))
     each = rows.filter(F.size("spans") > 0).select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
     # Summed before each shuffle: a value copied everywhere is one row per task, owner and repository.
-    spread = each.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"))
+    spread = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("times"))
+    spread = spread.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.sum("times").alias("times"))
+    spread = spread.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repos"), F.sum("times").alias("times"))
     verdict = F.when((F.col("owners") >= COPIED) | (F.col("repos") >= COPIED_REPOS), "example").when(F.col("owners") == 1, "live").otherwise("shared")
-    told = each.join(spread, "hash").withColumn("verdict", verdict).filter("kind < 3 OR verdict = 'live'")
+    spread = durable(spread.select("hash", "owners", "repos", "times", verdict.alias("verdict")))
+    # Occurrences of hot values stay where they are; of the others none can fill a task.
+    total = spread.agg(F.sum("times")).first()[0] or 0
+    hot, rest = spread.filter(F.col("times") * HOT > total).drop("times"), spread.filter(F.col("times") * HOT <= total).drop("times")
+    told = each.join(F.broadcast(hot), "hash").unionByName(each.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(rest, "hash"))
+    told = told.filter("kind < 3 OR verdict = 'live'")
     found = told.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repos", "verdict"))).alias("found"))
     return rows.select("row", "id").join(found, "row", "left").select("id", F.coalesce("found", F.array().cast(found.schema["found"].dataType)).alias("found"))
 

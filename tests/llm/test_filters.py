@@ -13,6 +13,7 @@ from emberfield.llm.decontaminate import contamination, drop_contaminated, remov
 from emberfield.llm.html_text import extract_text, main_text
 from emberfield.llm.mixing import capped_targets, mix_sources, sainte_lague
 from emberfield.llm.quality import Machine, keep_good, learn_quality, score_quality
+from emberfield.llm import secret_scan
 from emberfield.llm.secret_scan import COPIED_REPOS, digest, scan_secrets
 from emberfield.llm.url_filter import judge_urls, split_url
 
@@ -79,6 +80,21 @@ def test_secrets(spark):
     assert digest(scan_secrets(frame(spark, []))).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000, 10**9])
+def test_secrets_hot_or_not(spark, monkeypatch, hot):
+    """The verdicts do not depend on which values are broadcast: none, some or all; one value is in every document."""
+    token = "Qw7eRt9yUi3oPa5sDf1g"
+    rows = [(i, f"secret=everywhere token=value-{i % 5} {token}{i % 30:02d}", "en", f"s{i % 4}", *[None] * 5) for i in range(60)] + [(99, None, "en", "s1", *[None] * 5)]
+    plain = {r["id"]: r for r in digest(scan_secrets(frame(spark, rows))).collect()}
+    monkeypatch.setattr(secret_scan, "HOT", hot)
+    found = scan_secrets(frame(spark, rows))
+    assert {r["id"]: r for r in digest(found).collect()} == plain
+    assert plain[0]["n_assign"] == 2 and plain[0]["n_example"] == 2 and plain[99]["spans"] == ""
+    if hot == 1000:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
 def test_secrets_of_many_repositories(spark):
     token = "aB3dE5fG7hJ9kL1mN3pQ"
     hot = [(i, f"see {token}1 and secret=copied-word", "en", "hot", *[None] * 5) for i in range(COPIED_REPOS)]
