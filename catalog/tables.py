@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberfield.operators.joins import align_by_key, join_daily, join_dimension
@@ -9,6 +11,8 @@ from emberfield.operators.reshape import explode_draws, paired_unpivot, scenario
 from emberfield.operators.clean import filter_window
 from emberfield.operators.summary import daily_mean
 from emberfield.plans.features import bay_features, harvest_features, station_features
+from emberfield.session import ensure_checkpoint_dir
+from emberfield.sources.stages import read_dated, write_clustered, write_dated
 
 from .common import SAMPLES_SQL, WINDOW_END, WINDOW_START, query, r, rq, samples, table
 
@@ -208,3 +212,35 @@ def station(spark, d):
     out = station_features(s, WINDOW_START, WINDOW_END, scaled=["pseudo"])
     return out.select("obs_id", r("log10_phytoplankton").alias("log10_phytoplankton"), F.col("month_of_year").cast("bigint"), "impact",
                       r("pseudo_scaled").alias("pseudo_scaled"), "pseudo_max")
+
+
+# ---------------------------------------------------------------- stages laid out for their readers
+
+
+def stage_path(spark) -> tuple[str, str]:
+    """A fresh table name, and a folder for it in the shared checkpoint folder."""
+    name = f"stage_{uuid.uuid4().hex}"
+    return name, f"{ensure_checkpoint_dir(spark)}/stages/{name}"
+
+
+@query("stage_clustered_join", f"""SELECT l_orderkey, l_linenumber, o_custkey, {rq('l_extendedprice / o_totalprice', 8)} AS share
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 0""")
+def clustered_join(spark, d):
+    """Orders and their lines as stages clustered by order, joined where they lie."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_totalprice").filter("o_totalprice > 0")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_extendedprice")
+    one, two = (write_clustered(df, *stage_path(spark), ["key"]) for df in (orders, lines))
+    share = F.col("l_extendedprice") / F.col("o_totalprice")
+    return one.hint("merge").join(two, "key").select(F.col("key").alias("l_orderkey"), "l_linenumber", "o_custkey", r(share, 8).alias("share"))
+
+
+@query("stage_dated_window", f"""SELECT date, kind, count(*) AS n, {rq('sum(count)', 4)} AS total FROM ({SAMPLES_SQL})
+WHERE date BETWEEN DATE '{WINDOW_START}' AND DATE '{WINDOW_END}' AND (date <> DATE '{WINDOW_END}' OR kind <> 'error') GROUP BY date, kind""")
+def dated_window(spark, d):
+    """Samples in folders by day; the last day of the window is written anew without its errors, and the window read back."""
+    s = samples(spark, d)
+    _, path = stage_path(spark)
+    write_dated(s, path, "date")
+    write_dated(s.filter((F.col("date") == F.lit(WINDOW_END).cast("date")) & (F.col("kind") != "error")), path, "date")
+    window = read_dated(spark, path, "date", WINDOW_START, WINDOW_END)
+    return window.groupBy("date", "kind").agg(F.count("*").alias("n"), r(F.sum("count"), 4).alias("total"))
