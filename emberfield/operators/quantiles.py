@@ -129,9 +129,15 @@ def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    # Places among n - 1 steps in decimals: doubles cannot hold ranks beyond 2^53.
-    place = lambda p: (F.col("_n") - 1).cast("decimal(20,0)") * F.lit(Decimal(str(p)).quantize(Decimal(1).scaleb(-17))).cast("decimal(18,17)")
-    low = lambda p: wide(F.floor(place(p)))
+    # Places among n - 1 steps in decimals: doubles cannot hold ranks beyond 2^53, and n times a share of 17 digits may not fit 38 digits.
+    # So n - 1 is cut in two at 10^17, and each part is multiplied alone: exact for every n below 10^36.
+    unit = F.lit(Decimal(10**17)).cast("decimal(18,0)")
+    part = lambda p: F.lit(Decimal(str(p)).quantize(Decimal(1).scaleb(-17)).scaleb(17).to_integral_value()).cast("decimal(18,0)")
+    times = lambda c: wide((c - c % unit) / unit)
+    steps = F.col("_n") - 1
+    rest = lambda p: (steps % unit).cast("decimal(18,0)") * part(p)
+    low = lambda p: wide(times(steps).cast("decimal(19,0)") * part(p) + times(rest(p)))
+    share = lambda p: ((rest(p) % unit).cast("decimal(17,0)") * F.lit(Decimal(1).scaleb(-17)).cast("decimal(17,17)")).cast("double")
     ranks = F.array_distinct(F.array(*[x for p in probs for x in (low(p) + 1, F.least(low(p) + 2, F.col("_n")))]))
     ranks = durable(sizes.filter("_n > 0").select(*keys, F.explode(ranks).alias("_rank")))
     at = ["_base", "_lo", "_hi"]
@@ -169,7 +175,7 @@ def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     values = []
     for p in probs:
         pick = lambda rank: F.get(F.map_values(F.map_filter("_values", lambda k, _: k == rank.cast("string"))), F.lit(0))  # noqa: B023, E731
-        values.append(_between(pick(low(p) + 1), pick(F.least(low(p) + 2, F.col("_n"))), (place(p) - low(p)).cast("double")))
+        values.append(_between(pick(low(p) + 1), pick(F.least(low(p) + 2, F.col("_n"))), share(p)))
     return out.select(*by, F.col("_n").cast("bigint").alias("n"), F.when(F.col("_n") > 0, F.array(*values)).alias("q"), *extra)
 
 
@@ -184,7 +190,7 @@ def group_quantiles(
     gives the same numbers for groups of any size in two passes. ``auto`` counts the largest
     group (unless ``largest`` tells its size) and picks one of these. ``approximate`` returns stored
     values whose rank is off by at most n / accuracy. ``frequency`` names a column that tells how
-    often a row counts; ``n`` is then the sum over rows with a value. A group without a value has n = 0 and no quantiles.
+    often a row counts; ``n`` is then the sum over rows with a value, and reading an ``n`` beyond a bigint is an error. A group without a value has n = 0 and no quantiles.
     ``extra`` names further aggregates to take along in the same pass.
     """
     by, extra = list(by), dict(extra or {})

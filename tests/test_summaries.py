@@ -315,6 +315,25 @@ def test_weighted_quantiles_of_large_weights(spark, monkeypatch, most, cells):
     assert len(whole) == 1 and whole[0]["q"] == pytest.approx([weighted_quantile(all_rows, 0.5)])
 
 
+def test_weighted_intervals_beyond_long_totals(spark):
+    """Totals of 10^20 to 10^23, beyond 64 bits and 20 digits: ranks and shares between neighbours stay exact."""
+    from emberfield.operators import quantiles
+
+    big = 4 * 10**18
+    groups = {
+        "even": [(float(i), big) for i in range(30)], "many": [(float(i % 1000), big + i) for i in range(30_000)],
+        # The median falls between the two halves of the weight, so the share between neighbours shows.
+        "halves": [(float(i), big) for i in range(50)] + [(100.0 + i, big) for i in range(50)], "light": [(1.0, 1), (2.0, 1), (4.0, 2)],
+    }
+    df = spark.createDataFrame([(g, v, w) for g, rows in groups.items() for v, w in rows], "g string, v double, w long")
+    for most in (1_000_000, 20):
+        got = {r["g"]: r["q"] for r in quantiles.group_quantiles(df, ["g"], "v", [0.5, 0.025, 0.975, 0.0, 1.0, 1 / 3], method="bracketed", frequency="w", max_exact_rows=most).drop("n").collect()}
+        for g, rows in groups.items():
+            assert got[g] == pytest.approx([weighted_quantile(rows, p) for p in (0.5, 0.025, 0.975, 0.0, 1.0, 1 / 3)], rel=1e-12)
+    cells = {r["g"]: (r["value"], r["lower"], r["upper"]) for r in median_qi(df, ["g"], "v", frequency="w", method="bracketed").collect()}
+    assert cells["even"] == (14.5, 0.0, 29.0) and cells["halves"] == (74.5, 2.0, 147.0)
+
+
 def test_packed_forms_skip_missing_draws(spark):
     df = spark.createDataFrame([(1, [None, 1.0, 2.0, 9.0]), (2, [None]), (3, [])], "i int, d array<double>")
     long = df.select("i", F.explode_outer("d").alias("v"))
