@@ -119,12 +119,16 @@ def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     next brackets, until a bracket has at most ``max_rows`` values; these are summed up and selected by cumulative weight.
 
     Cells are cut at quantiles of the rows, so each level leaves a CELLS-th of them or a single value, whatever the weights and values.
+    The rows left by a level are written once: ``df`` is read for the totals, for the cells and for the first rows left, and not again.
     """
     wide = lambda c: c.cast("decimal(38,0)")
     weight = F.when(F.col(value).isNull(), 0).otherwise(_weight(frequency))
     weighed = df.withColumns({"_v": F.col(value).cast("double"), "_w": weight})
-    sizes = durable(weighed.groupBy(*by).agg(F.coalesce(F.sum(wide(F.col("_w"))), wide(F.lit(0))).alias("_n"), *_columns(extra)))
-    rows = weighed.filter("_w > 0").select(*by, "_v", "_w")
+    cuts = [i / CELLS for i in range(1, CELLS)]
+    facts = lambda v: [F.count(v).alias("_rows"), F.min(v).alias("_least"), F.max(v).alias("_most"), F.percentile_approx(v, cuts, ACCURACY).alias("_cuts")]
+    total = F.coalesce(F.sum(wide(F.col("_w"))), wide(F.lit(0)))
+    found = durable(weighed.groupBy(*by).agg(total.alias("_n"), *facts(F.when(F.col("_w") > 0, F.col("_v"))), *_columns(extra)))
+    sizes = found.select(*by, "_n", *extra)
     keys = [F.col(c).alias(f"_k_{c}") for c in by]
     same = F.lit(True)
     for c in by:
@@ -141,22 +145,19 @@ def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
     ranks = F.array_distinct(F.array(*[x for p in probs for x in (low(p) + 1, F.least(low(p) + 2, F.col("_n")))]))
     ranks = durable(sizes.filter("_n > 0").select(*keys, F.explode(ranks).alias("_rank")))
     at = ["_base", "_lo", "_hi"]
-    brackets = sizes.filter("_n > 0").select(*keys, wide(F.lit(0)).alias("_base"), F.lit(None).cast("double").alias("_lo"), F.lit(None).cast("double").alias("_hi"))
-    while True:
-        inside = rows.join(broadcast_if_small(brackets), same & (F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi"))))
-        cuts = [i / CELLS for i in range(1, CELLS)]
-        found = durable(inside.groupBy(*by, *at).agg(
-            F.count("*").alias("_rows"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts")))
-        if found.filter((F.col("_rows") > max_rows) & (F.col("_least") < F.col("_most"))).isEmpty():
-            break
-        halves = F.array(*[F.lit(CELLS >> k) for k in range(1, CELLS.bit_length())])
-        below = F.aggregate(halves, F.lit(0), lambda i, h: F.when(F.get("_cuts", i + h - 1) < F.col("_v"), i + h).otherwise(i))
+    whole = {"_base": wide(F.lit(0)), "_lo": F.lit(None).cast("double"), "_hi": F.lit(None).cast("double")}
+    inside = weighed.filter("_w > 0").select(*by, *_columns(whole), "_v", "_w")
+    found = found.filter("_n > 0").withColumns(whole)
+    while not found.filter((F.col("_rows") > max_rows) & (F.col("_least") < F.col("_most"))).isEmpty():
         place_of = found.select(*keys, *[F.col(c).alias(f"_b{c}") for c in at], "_cuts")
         here = same
         for c in at:
             here = here & F.col(c).eqNullSafe(F.col(f"_b{c}"))
         # A value that is a cut is a cell of its own, so a frequent value cannot keep a bracket as it is.
-        placed = inside.drop(*[f"_k_{c}" for c in by]).join(broadcast_if_small(place_of), here).withColumn("_below", below)
+        placed = inside.join(broadcast_if_small(place_of), here).withColumn("_below", F.lit(0))
+        # Bisection, a column per step: these are compiled, a fold over an array is not.
+        for h in [CELLS >> k for k in range(1, CELLS.bit_length())]:
+            placed = placed.withColumn("_below", F.col("_below") + F.when(F.get("_cuts", F.col("_below") + (h - 1)) < F.col("_v"), h).otherwise(0))
         cells = placed.groupBy(*by, *at, (F.col("_below") * 2 + F.when(F.get("_cuts", F.col("_below")) == F.col("_v"), 1).otherwise(0)).alias("_cell"))
         cells = cells.agg(F.sum(wide(F.col("_w"))).alias("_c"), F.max("_v").alias("_top"))
         order = Window.partitionBy(*by, *at).orderBy("_cell")
@@ -166,6 +167,9 @@ def _weighted(df: DataFrame, by: list[str], value: str, probs: Sequence[float],
         wanted = ranks.select(*[F.col(f"_k_{c}").alias(c) for c in by], "_rank")
         hit = cells.join(wanted, same & (F.col("_from") < F.col("_rank")) & (F.col("_rank") <= F.col("_from") + F.col("_c")), "left_semi")
         brackets = durable(hit.select(*[f"_k_{c}" for c in by], F.col("_from").alias("_base"), "_lo", "_hi"))
+        within = (F.col("_lo").isNull() | (F.col("_v") > F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
+        inside = durable(inside.select(*by, "_v", "_w").join(broadcast_if_small(brackets), same & within).select(*by, *at, "_v", "_w"))
+        found = durable(inside.groupBy(*by, *at).agg(*facts(F.col("_v"))))
     order = Window.partitionBy(*by, "_base").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     summed = inside.groupBy(*by, "_base", "_v").agg(F.sum(wide(F.col("_w"))).alias("_c"))
     summed = summed.withColumn("_upto", F.col("_base") + F.sum("_c").over(order))
@@ -196,7 +200,8 @@ def group_quantiles(
     by, extra = list(by), dict(extra or {})
     if method not in ("auto", "exact", "bracketed", "approximate"):
         raise ValueError(f"unknown method {method!r}")
-    if method == "auto" or (method == "bracketed" and accuracy is None):
+    # Weighted rows are cut at ranks that are counted, so the largest group only decides between the two methods.
+    if method == "auto" or (method == "bracketed" and accuracy is None and not frequency):
         if largest is None:
             largest = largest_group(df, by)
         if method == "auto":

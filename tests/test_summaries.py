@@ -334,6 +334,28 @@ def test_weighted_intervals_beyond_long_totals(spark):
     assert cells["even"] == (14.5, 0.0, 29.0) and cells["halves"] == (74.5, 2.0, 147.0)
 
 
+@pytest.mark.parametrize("most,passes", [(10_000, 2), (5, 3)])
+def test_weighted_quantiles_read_the_rows_few_times(spark, monkeypatch, most, passes):
+    """The rows may be predictions made anew by each pass: however many levels of brackets, they are read at most three times."""
+    from emberfield.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "CELLS", 4)
+    seen, n = spark.sparkContext.accumulator(0), 2000
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("ab"[i % 2], float(i * 7919 % n), 1 + i % 3) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double, w int").mapInPandas(count, "g string, v double, w int")
+    got = {r["g"]: r["q"] for r in quantiles.group_quantiles(df, ["g"], "v", [0.5, 0.025], "bracketed", "w", max_exact_rows=most).collect()}
+    for g in "ab":
+        pairs = [(v, w) for k, v, w in rows if k == g]
+        assert got[g] == pytest.approx([weighted_quantile(pairs, p) for p in (0.5, 0.025)])
+    assert seen.value <= passes * n
+
+
 def test_packed_forms_skip_missing_draws(spark):
     df = spark.createDataFrame([(1, [None, 1.0, 2.0, 9.0]), (2, [None]), (3, [])], "i int, d array<double>")
     long = df.select("i", F.explode_outer("d").alias("v"))
